@@ -1,0 +1 @@
+"""Part of seqmill: Spark jobs for aligned reads and training corpora."""
