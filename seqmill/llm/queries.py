@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, host_rules, pii, warc
+from . import chat, fingerprint, host_rules, mixing, packing, pii, warc
 from .common import tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(tables_of(spark, sf_dir, "documents"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(tables_of(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(tables_of(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "__mix.*")
+
+
 def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -44,7 +57,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_prefix_targets, op5_personal_data, op7_host_rules, op9_warc)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_packing, op3_mixing, op4_prefix_targets, op5_personal_data, op7_host_rules, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
