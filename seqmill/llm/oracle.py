@@ -44,4 +44,16 @@ select page_id, n::bigint as payload_bytes, sha1(html) as payload_digest,
 from q
 """
 
-SQL = {"op4_prefix_targets": CHAT, "op7_host_rules": HOST_RULES, "op9_warc": WARC}
+NEAR_DEDUP = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(ws[i:i + 4], ' ') end as g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from c join n x on a = x.doc_id join n y on b = y.doc_id where 100 * i >= 75 * (x.n + y.n - i)),
+r(id, m) as (select doc_id, doc_id from n union select e.b, r.m from r join e on r.id = e.a where r.m < e.b)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(min(m), d.doc_id) as component_id, d.doc_id = coalesce(min(m), d.doc_id) as kept
+from documents d left join n using (doc_id) left join r on r.id = d.doc_id group by d.doc_id, n.n
+"""
+
+SQL = {"op10_near_dedup": NEAR_DEDUP, "op4_prefix_targets": CHAT, "op7_host_rules": HOST_RULES, "op9_warc": WARC}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, host_rules, mixing, packing, pii, warc
+import corpus_pipeline
+
+from . import chat, fingerprint, host_rules, mixing, near_dedup, packing, pii, warc
 from .common import tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +58,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_components(tables_of(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_packing, op3_mixing, op4_prefix_targets, op5_personal_data, op7_host_rules, op9_warc)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_packing, op3_mixing, op4_prefix_targets, op5_personal_data, op7_host_rules, op9_warc, op10_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
