@@ -162,7 +162,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 @F.arrow_udf(T.StringType())
 def _masked(texts: pa.Array) -> pa.Array:
-    return pa.array((x if x is None else mask(x, find_spans(x)) for x in map(pa.Scalar.as_py, texts)), pa.string())
+    return pa.array((x if x is None else mask(x, find_spans(x)) for x in texts.to_pylist()), pa.string())
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
