@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, fingerprint, host_rules, mixing, near_dedup, packing, pii, warc
+from . import chat, fingerprint, host_rules, mixing, near_dedup, packing, pii, warc, weak_labels
 from .common import tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(tables_of(spark, sf_dir, "documents")).select(columns)
 
 
+def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables_of(spark, sf_dir, "documents")
+    return weak_labels.score(docs, weak_labels.fit(docs, tables_of(spark, sf_dir, "labels")))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_warc(warc.plan_revisits(tables_of(spark, sf_dir, "pages")))
     records = warc.read_warc(archives, with_payload=False)
@@ -67,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_packing, op3_mixing, op4_prefix_targets, op5_personal_data, op7_host_rules, op9_warc, op10_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_packing, op3_mixing, op4_prefix_targets, op5_personal_data, op7_host_rules, op8_weak_labels, op9_warc, op10_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
