@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, fingerprint, host_rules, mixing, near_dedup, packing, pii, warc, weak_labels
+from . import chat, context_mixing, fingerprint, host_rules, mixing, near_dedup, packing, pii, warc, weak_labels
 from .common import tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,11 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), "base_sha256", spans.alias("spans"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables_of(spark, sf_dir, "documents")
+    return context_mixing.score(docs, *context_mixing.fit(docs))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", *host_rules.COUNTS, "base_failed", "kept"]
     return host_rules.judge(tables_of(spark, sf_dir, "documents")).select(columns)
@@ -72,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_packing, op3_mixing, op4_prefix_targets, op5_personal_data, op7_host_rules, op8_weak_labels, op9_warc, op10_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_packing, op3_mixing, op4_prefix_targets, op5_personal_data, op6_context_mixing, op7_host_rules, op8_weak_labels, op9_warc, op10_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
