@@ -7,8 +7,9 @@ minwise tokens that the node chooses, so similar sets keep meeting. A node of at
 again. Whatever a sketch puts at `NEAR` or more is confirmed on full sets, until every such pair
 is either decided or lies within one component already.
 
-Recall of a pair at similarity 0.75: at least 1 - 0.25^16 where nodes are small at once, and
-about 0.998 where all of its nodes are large groups of near copies; NEAR is 3.3 standard
+Recall of a pair at similarity 0.75: at least 1 - 0.25^12 where nodes are small at once, and
+about 0.992 where all of its nodes are large groups of near copies, which hang together by many
+other pairs; NEAR is 3.3 standard
 deviations of a sketch below 0.75.
 
 What keeps this linear: equal sets are one member; nodes with equal members are compared once;
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, keyed_join, stash, text_slices
@@ -39,8 +40,8 @@ from .words import mixed, split_words, vocab_hashes, windows
 SHINGLE = 5
 PERMUTATIONS = 256
 #: Tokens chosen at the roots of all trees: TREES trees of two.
-TREES, ROOT_TOKENS = 8, 16
-LEAF = 400
+TREES, ROOT_TOKENS = 6, 12
+LEAF = 1500
 NEAR, SURE = 0.66, 0.9
 _LOWEST = -(2**63)
 
@@ -88,24 +89,20 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(texts.slice(at, n))
             held = [s for s in sets if len(s)]
             tokens = iter(minwise(held) if held else ())
-            sizes, digests, tokens_out, sketches = [], [], [], []
+            sizes, digests, roots, sketches = [], [], [], []
             for s in sets:
                 sizes.append(len(s))
                 t = next(tokens) if len(s) else None
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                tokens_out.append(t[:128].tobytes() if t is not None else None)
+                roots.append(t[:ROOT_TOKENS].tobytes() if t is not None else None)
                 sketches.append((t * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes() if t is not None else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens_out, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n_shingles", "digest", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(roots, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n_shingles", "digest", "roots", "sketch"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, digest of the set, its first 128 minwise tokens and its sketch, for every row."""
+    """id, n_shingles, digest of the set, its minwise tokens for the roots and its sketch, for every row."""
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_signed, "id bigint, n_shingles bigint, digest binary, tokens binary, sketch binary")
-
-
-def _token(at: Column) -> Column:
-    return F.substring(F.col("tokens"), (at * 4 + 1).cast("int"), F.lit(4))
+    return slim.mapInArrow(_signed, "id bigint, n_shingles bigint, digest binary, roots binary, sketch binary")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -122,12 +119,12 @@ def _pivot_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         own, pivot = (np.frombuffer(b"".join(get(c).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for c in ("sketch", "pivot_sketch"))
         near = (own == pivot).mean(1) >= SURE
         labels = np.where(near, get("pivot").to_numpy(zero_copy_only=False), get("label").to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([get("id"), get("node"), pa.array(labels, pa.int64()), get("tokens")], names=["id", "node", "label", "tokens"])
+        yield pa.RecordBatch.from_arrays([get("id"), get("node"), pa.array(labels, pa.int64()), get("sketch")], names=["id", "node", "label", "sketch"])
 
 
 def chosen_paths(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(node, id) of all leaf nodes, and the edges (a, b) between members and pivots of large ones."""
-    roots = [F.xxhash64(F.lit(i), _token(F.lit(i))) for i in range(ROOT_TOKENS)]
+    roots = [F.xxhash64(F.lit(i), F.substring("roots", 4 * i + 1, 4)) for i in range(ROOT_TOKENS)]
     rows = stash(members.select("id", F.col("id").alias("label"), F.explode(F.array(*roots)).alias("node")), "roots")
     leaves: DataFrame | None = None
     edges: DataFrame | None = None
@@ -140,17 +137,20 @@ def chosen_paths(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         count = large.count()
         if not count:
             return stash(leaves, "leaves"), edges
-        pivots = large.join(members.select(F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch")).dropDuplicates(["pivot"]), "pivot")
-        pivots = stash(pivots, "pivots")
-        inside = keyed_join(rows, pivots, "node", count).join(members.select("id", "tokens", "sketch"), "id")
-        labelled = stash(inside.mapInArrow(_pivot_labels, "id bigint, node bigint, label bigint, tokens binary"), "labels")
+        sketched = members.select("id", "sketch")
+        heads = keyed_join(sketched, large.select(F.col("pivot").alias("id")).distinct(), "id", count).select(F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+        pivots = stash(keyed_join(large, heads, "pivot", count), "pivots")
+        inside = stash(keyed_join(rows, pivots, "node", count), "inside")
+        ids = inside.select("id").distinct()
+        inside = inside.join(keyed_join(sketched, ids, "id", ids.count()), "id")
+        labelled = stash(inside.mapInArrow(_pivot_labels, "id bigint, node bigint, label bigint, sketch binary"), "labels")
         found = keyed_join(labelled, large, "node", count).filter("label = pivot and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         edges = found if edges is None else edges.union(found)
-        # two levels at a time, each node choosing two or three pairs of tokens
+        # two levels at a time, each node choosing two or three pairs of tokens, told apart by their sketch bytes
         picks = F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("node"), F.lit(4)) == 0, 2).otherwise(1))
-        chosen = labelled.select("id", "label", "node", "tokens", F.explode(picks).alias("pick"))
-        at = [F.pmod(F.xxhash64(F.lit(level), "node", "pick"), F.lit(128)) for level in (1, 2)]
-        rows = stash(chosen.select("id", "label", F.xxhash64("node", "pick", _token(at[0]), _token(at[1])).alias("node")), "paths")
+        chosen = labelled.select("id", "label", "node", "sketch", F.explode(picks).alias("pick"))
+        values = [F.substring("sketch", F.pmod(F.xxhash64(F.lit(level), "node", "pick"), F.lit(PERMUTATIONS)).cast("int") + 1, F.lit(1)) for level in (1, 2)]
+        rows = stash(chosen.select("id", "label", F.xxhash64("node", "pick", *values).alias("node")), "paths")
 
 
 def _by_node(rows: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     repeated = stash(digests.filter("n > 1").select("digest", "first"), "repeated")
     n_repeated = repeated.count()
     placed = keyed_join(signed, repeated, "digest", n_repeated, "left").withColumn("first", F.coalesce("first", "id"))
-    members = stash(placed.filter("digest is not null and id = first").select("id", "tokens", "sketch"), "members")
+    members = stash(placed.filter("digest is not null and id = first").select("id", "roots", "sketch"), "members")
 
     leaves, edges = chosen_paths(members)
     sketched = leaves.join(members.select("id", "sketch"), "id")
@@ -305,7 +305,8 @@ def find_components(docs: DataFrame) -> DataFrame:
     decided = with_both.mapInArrow(_confirmed, "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
     decided = stash(decided, "decided")
     linked = decided.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    first = stash(components(linked), "first")
+    n_pairs = decided.count()
+    first = stash(components(linked, n_pairs), "first")
 
     # A refused pair may have stood for others of its node: compare its components' members anew.
     own = wanted.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -319,11 +320,11 @@ def find_components(docs: DataFrame) -> DataFrame:
     final = first
     if n_dirty:
         again = keyed_join(own, dirty, "component", n_dirty).select("id", "component")
-        rows = leaves.join(again, "id").join(members.select("id", "sketch"), "id").select("node", "id", "component", "sketch")
+        rows = keyed_join(leaves, again, "id", n_own).join(members.select("id", "sketch"), "id").select("node", "id", "component", "sketch")
         involved = stash(_by_node(rows).mapInArrow(_involved, "node bigint, id bigint, component bigint"), "involved")
         filled = involved.join(members.select("id", "sketch"), "id").join(sets, "id").select("node", "id", "component", "sketch", "set")
         across = stash(_by_node(filled).mapInArrow(_links_across, "u bigint, v bigint"), "across")
-        merged = components(across).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+        merged = components(across, across.count()).select(F.col("id").alias("component"), F.col("component").alias("merged"))
         final = first.union(across.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(first, "id", "left_anti").select("id", F.col("id").alias("component")))
         final = final.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
     final = stash(final, "components").select(F.col("id").alias("first"), "component")
