@@ -23,6 +23,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -228,13 +229,9 @@ def write_warc(planned: DataFrame, folder: str | None = None, archive_bytes: int
         pending = next(stream, None)
         while pending is not None:
             name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):04d}.warc.zst"
-
-            def one(head: bytes = pending) -> Iterator[bytes]:
-                yield head
-                yield from stream
-
+            # chain, unlike a generator, leaves the stream open when an archive is full
             with fs.open_output_stream(f"{root}/{name}") as sink:
-                counts.append(write_archive(sink, one(), dictionary, archive_bytes))
+                counts.append(write_archive(sink, chain([pending], stream), dictionary, archive_bytes))
             names.append(f"{folder}/{name}")
             pending = next(stream, None)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts, pa.int64())], names=["path", "records"])
