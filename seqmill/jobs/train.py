@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmill.functions.prior import Prior, frequencies
-from seqmill.operators.network import Network
+from seqmill.operators.network import Network, model_input, true_bases
 from seqmill.operators.pileup import COUNTS
 
 SITE = ["chrom", "sample", "pos"]
@@ -102,6 +102,13 @@ def _sums(observations: DataFrame, model: Model, rows: int = 2000) -> tuple[np.n
     return got[:size], got[size : size + model.points], float(got[-2]), int(got[-1])
 
 
+def model_inputs(rows: DataFrame) -> DataFrame:
+    """SITE, counts, in_major and in_minor of rows (x, read_num, is_reverse, major, minor)."""
+    true = true_bases(rows)
+    inputs = [model_input(F.col("x"), F.col("read_num"), F.col(f"true_{a}")).alias(f"in_{a}") for a in ("major", "minor")]
+    return true.select(*SITE, *COUNTS, *inputs)
+
+
 def by_site(observations: DataFrame) -> DataFrame:
     """observations dealt by site and sorted, so that each site lies whole in one task."""
     return observations.repartition(*SITE).sortWithinPartitions(*SITE)

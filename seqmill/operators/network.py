@@ -92,6 +92,30 @@ def model_input(x: Column, read_num: Column, true_base: Column) -> Column:
     return F.concat(x, F.array((read_num - 1).cast("double"), *((true_base == b).cast("double") for b in BASES)))
 
 
+def true_bases(rows: DataFrame) -> DataFrame:
+    """rows (is_reverse, major, minor) with true_major and true_minor in sequencing order.
+
+    A minor allele that was never seen is the first base that is not major.
+    """
+    seen = F.when(F.col("minor") == "N", F.when(F.col("major") == "A", "C").otherwise("A")).otherwise(F.col("minor"))
+    flip = lambda c: F.when(F.col("is_reverse"), F.translate(c, "ACGT", "TGCA")).otherwise(c)
+    return rows.withColumn("true_major", flip(F.col("major"))).withColumn("true_minor", flip(seen))
+
+
+def with_allele_probabilities(rows: DataFrame, network: Network) -> DataFrame:
+    """rows (x, read_num, is_reverse, major, minor) with lp_major and lp_minor, arrays over the observed bases.
+
+    The network is evaluated once for each distinct (x, read_num, true base).
+    """
+    keyed = true_bases(rows)
+    kinds = keyed.select("x", "read_num", F.explode(F.array("true_major", "true_minor")).alias("true_base")).distinct()
+    inputs = kinds.withColumn("input", model_input(F.col("x"), F.col("read_num"), F.col("true_base")))
+    scored = with_log_probabilities(inputs, network).drop("input")
+    for allele in ("major", "minor"):
+        keyed = keyed.join(scored.select("x", "read_num", F.col("true_base").alias(f"true_{allele}"), F.col("log_p").alias(f"lp_{allele}")), ["x", "read_num", f"true_{allele}"])
+    return keyed.drop("true_major", "true_minor")
+
+
 def with_log_probabilities(rows: DataFrame, network: Network, column: str = "input", into: str = "log_p") -> DataFrame:
     """rows with an array of four log-probabilities, from an array column of inputs."""
 

@@ -240,16 +240,7 @@ def posterior_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def network_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most likely frequency of each site under a neural error model, on the packed path."""
-    rows = _labelled(spark, sf_dir)
-    net = fixed_network(7)
-    flip = lambda c: F.when(F.col("is_reverse"), F.translate(c, "ACGT", "TGCA")).otherwise(c)
-    minor = F.when(F.col("minor") == "N", likelihood.other_base(F.col("major"))).otherwise(F.col("minor"))
-    true = {"major": flip(F.col("major")), "minor": flip(minor)}
-    keyed = rows.withColumn("true_major", true["major"]).withColumn("true_minor", true["minor"])
-    kinds = keyed.select("x", "read_num", F.explode(F.array("true_major", "true_minor")).alias("true_base")).distinct()
-    scored = network.with_log_probabilities(kinds.withColumn("input", network.model_input(F.col("x"), F.col("read_num"), F.col("true_base"))), net).drop("input").persist()
-    for allele in ("major", "minor"):
-        keyed = keyed.join(scored.select("x", "read_num", F.col("true_base").alias(f"true_{allele}"), F.col("log_p").alias(f"lp_{allele}")), ["x", "read_num", f"true_{allele}"])
+    keyed = network.with_allele_probabilities(_labelled(spark, sf_dir), fixed_network(7))
     f, lpf = prior.frequencies(POINTS), PRIOR.log_probabilities(POINTS)
     return likelihood.packed_posterior(keyed, f, lpf).select(*SITE, "best_k", "best_freq", F.transform("log_post", lambda x: F.round(x, 6)).alias("log_post"))
 
@@ -262,10 +253,7 @@ def simulated_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trained_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses and prior parameters over a few training steps."""
-    rows = _labelled(spark, sf_dir)
-    flip = lambda c: F.when(F.col("is_reverse"), F.translate(c, "ACGT", "TGCA")).otherwise(c)
-    minor = F.when(F.col("minor") == "N", likelihood.other_base(F.col("major"))).otherwise(F.col("minor"))
-    both = rows.select(*SITE, *pileup.COUNTS, *(network.model_input(F.col("x"), F.col("read_num"), flip(a)).alias(n) for a, n in ((F.col("major"), "in_major"), (minor, "in_minor"))))
+    both = training.model_inputs(_labelled(spark, sf_dir))
     dealt = training.by_site(both).persist()
     model = training.train(dealt, training.Model(network.Network.random(7), PRIOR, POINTS), epochs=3, rate=0.02)
     dealt.unpersist()
