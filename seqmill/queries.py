@@ -207,7 +207,9 @@ def _phred(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = base_calls(reads_of(spark, sf_dir), CallFilter.for_pileup())
     forward = F.when(F.col("is_reverse"), F.translate("base", "ACGT", "TGCA")).otherwise(F.col("base"))
     coarse = calls.groupBy("chrom", "sample", F.col("refpos").alias("pos"), "bq", forward.alias("base")).agg(F.count("*").alias("n"))
-    known = _pileup(spark, sf_dir).select(*SITE, *pileup.alleles())
+    # the pileup is a further sum of the same rows, so reads are exploded once and that shuffle is used twice
+    counts = [F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(c) for b, c in zip(bases.BASES, pileup.COUNTS, strict=True)]
+    known = coarse.groupBy(*SITE).agg(*counts).select(*SITE, *pileup.alleles())
     return likelihood.with_phred_probabilities(coarse.join(known, SITE))
 
 
