@@ -28,6 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded(df: DataFrame, limit: str = "4m") -> DataFrame:
+    """df, with the session's Arrow batches held to a few MB, so that long texts meet Python a few at a time.
+
+    The limit is of rows' bytes, beside Spark's limit of rows; one longer text is a batch of its own.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+    return df
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 

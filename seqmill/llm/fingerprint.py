@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import bounded, column
 
 BUCKETS = 256
 #: Where the bytes of a triplet stand in a window.
@@ -88,7 +88,7 @@ def edited(text: str, following: str) -> str:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every row of docs, in one scan."""
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    slim = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +127,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     first document of each part is known: it is sent to its own part and, as a tail, to the
     part before. One shuffle by part, then each part is read in order; nothing is gathered.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(_FIRST))
     parts = max(slim.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
     cuts = slim.agg(F.min(key).alias("first"), F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], F.lit(max(10_000, 20 * parts))).alias("cuts")).first()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, keyed_join, stash, text_slices
+from .common import bounded, column, keyed_join, stash, text_slices
 from .words import mixed, split_words, windows
 
 WINDOW = 5
@@ -71,7 +71,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rule_table(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and COUNTS of every document."""
-    slim = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
+    slim = bounded(docs).select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([f for f in slim.schema.fields if f.name != "text"] + [T.StructField(c, T.LongType()) for c in COUNTS])
     return slim.mapInArrow(_counted, schema)
 
@@ -124,7 +124,7 @@ def _main_counts(texts: pa.Array) -> pa.Array:
 
 def keep_good(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The rows of docs that pass, with docs' columns: the filter form of judge()."""
-    counted = docs.withColumn("__rules", _main_counts(F.col("text").cast("string")))
+    counted = bounded(docs).withColumn("__rules", _main_counts(F.col("text").cast("string")))
     key = F.coalesce(F.col(host).cast("string"), F.lit(""))
     failed = failed_rules(F.col("__rules.n_words"), F.col("__rules.n_repeat_words"))
     verdicts = host_verdicts(counted.select(key.alias("host"), failed.alias("base_failed")), max_rate)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, keyed_join, stash, text_slices
+from .common import bounded, column, keyed_join, stash, text_slices
 from .components import components
 from .words import mixed, split_words, vocab_hashes, windows
 
@@ -101,7 +101,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """id, n_shingles, digest of the set, its minwise tokens for the roots and its sketch, for every row."""
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
+    slim = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(_signed, "id bigint, n_shingles bigint, digest binary, roots binary, sketch binary")
 
 
@@ -298,7 +298,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     pairs = stash((forests.union(edges) if edges is not None else forests).filter("a <> b").distinct(), "pairs")
 
     wanted = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
+    keyed = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
     sets = stash(keyed_join(keyed, wanted, "id", wanted.count()).mapInArrow(_sets_of, "id bigint, set binary"), "sets")
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     with_both = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import bounded, column
 
 CAPACITY = 1024
 END_ID = 0
@@ -151,5 +151,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None, bl
                 yield from closed()
         yield from closed()
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(packed, _DDL)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import bounded, column
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "national", "secret")
@@ -155,7 +155,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, found (array of kind, start, end, score) and base_sha256 of every row of docs, in one scan."""
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    slim = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     schema = T.StructType([slim.schema["doc_id"], T.StructField("found", T.ArrayType(_SPAN)), T.StructField("base_sha256", T.StringType())])
     return slim.mapInArrow(_found, schema)
 
@@ -167,7 +167,7 @@ def _masked(texts: pa.Array) -> pa.Array:
 
 def mask_documents(docs: DataFrame) -> DataFrame:
     """docs with the spans of each text masked and n_chars, where there is one, counted anew; a null text stays null."""
-    masked = docs.withColumn("text", _masked(F.col("text").cast("string")))
+    masked = bounded(docs).withColumn("text", _masked(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return masked.select([F.col(f"`{c}`") for c in docs.columns])

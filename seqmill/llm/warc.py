@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_join, shared_folder, stash
+from .common import bounded, keyed_join, shared_folder, stash
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 VERSION = b"WARC/1.1"
@@ -236,7 +236,7 @@ def write_warc(planned: DataFrame, folder: str | None = None, archive_bytes: int
             pending = next(stream, None)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(counts, pa.int64())], names=["path", "records"])
 
-    return stash(planned.mapInArrow(written, "path string, records bigint"), "archives")
+    return stash(bounded(planned).mapInArrow(written, "path string, records bigint"), "archives")
 
 
 RECORD = "archive string, position bigint, record_type string, page_id bigint, refers_to bigint, url string, payload binary, payload_bytes bigint, payload_digest string, error string"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, stash, text_slices
+from .common import bounded, column, stash, text_slices
 from .words import Words, mixed, split_words, vocab_hashes, windows
 
 #: Words of abuse.
@@ -157,7 +157,7 @@ def given_labels(labels: DataFrame) -> DataFrame:
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]:
