@@ -489,6 +489,26 @@ def test_salted_join_equals_broadcast(spark, how):
     assert one == two and one
 
 
+def test_operators_with_salted_joins(spark, monkeypatch):
+    """Beyond the broadcast limit every operator joins by key and salt, with the same rows."""
+    import functools
+
+    docs, pages = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "pages"))
+
+    def results():
+        return [
+            sorted(map(str, near_dedup.find_components(docs).collect())),
+            sorted(map(str, mixing.mix_documents(docs).select("doc_id", "__mix").collect())),
+            sorted(map(str, host_rules.judge(docs).drop("rate").collect())),
+            sorted(map(str, warc.plan_revisits(pages).drop("payload").collect())),
+        ]
+
+    want = results()
+    for module in (near_dedup, components, mixing, host_rules, warc):
+        monkeypatch.setattr(module, "keyed_join", functools.partial(keyed_join, limit=0))
+    assert results() == want
+
+
 def test_written_tables_lie_in_the_shared_folder(spark):
     table = stash(spark.range(3), "t")
     assert table.inputFiles()[0].startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").replace("file://", "file:")) or "shared" in table.inputFiles()[0]
