@@ -17,7 +17,7 @@ the words before, so a score depends on the text alone.
 
 Cases: a null or empty text is the end alone; a null doc_id counts as remainder 0 and a null
 language as one of its own; repeated rows are trained on and scored one by one; words over
-`LONGEST` bytes are never frequent, but scored whole; an empty table gives an empty result;
+`LONGEST` bytes, and words that training has once or never, are never frequent, but scored whole; an empty table gives an empty result;
 without training documents all predictions are even and the base counts are 0.
 """
 
@@ -379,8 +379,9 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     by_class = stash(counted.groupBy("word", "cls").agg(*(F.sum(c).alias(c) for c in "abh")), "classes")
     words = stash(by_class.groupBy("word").agg(*(F.sum(c).alias(c) for c in "abh")).withColumn("c", F.col("a") + F.col("b")), "words")
 
-    size = F.floor(F.log2(F.col("c") + F.col("h")) * 16).cast("int")
-    short = F.octet_length("word") <= LONGEST
+    # by training counts alone; words seen once escape, so that escapes are learned from words as rare as unseen ones
+    size = F.floor(F.log2("c") * 16).cast("int")
+    short = (F.octet_length("word") <= LONGEST) & (F.col("c") > 1)
     steps = words.filter(short).groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()
     held, least = 0, 1 << 20
     for r in sorted(steps, key=lambda r: -r["size"]):
@@ -388,8 +389,8 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
             break
         held, least = held + r["n"], r["size"]
     is_frequent = short & (size >= least)
-    frequent = words.filter(is_frequent).select("word", "c", (F.col("c") + F.col("h")).alias("total")).toArrow()
-    order = np.lexsort((np.array(frequent.column("word").to_pylist(), object), -frequent.column("total").to_numpy())) if frequent.num_rows else np.empty(0, np.int64)
+    frequent = words.filter(is_frequent).select("word", "c").toArrow()
+    order = np.lexsort((np.array(frequent.column("word").to_pylist(), object), -frequent.column("c").to_numpy())) if frequent.num_rows else np.empty(0, np.int64)
     known = [frequent.column("word")[i].as_py() for i in order.tolist()]
     place = {w: i + FIRST_WORD for i, w in enumerate(known)}
 

@@ -309,6 +309,16 @@ def test_held_out_gain(spark):
     assert got.s > got.b
 
 
+def test_symbols_are_chosen_by_training_counts(spark):
+    """Held-out documents change neither the symbols nor their order, and their own words escape."""
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2][:10]
+    rest = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    texts = ["once" + "".join(chr(97 + int(d)) for d in str(i)) + " some words, more words" for i in rest]
+    alone, _ = context_mixing.fit(documents(spark, texts, rest))
+    model, _ = context_mixing.fit(documents(spark, texts + ["unheard unheard more more more"] * len(held), rest + held))
+    assert model.words == alone.words == [b"more", b"some", b"words", b"words,"]
+
+
 def test_contexts_see_only_what_is_before():
     one, two = (context_mixing.spell(pa.array([w], pa.binary())) for w in (b"abcdef", b"abcxyz"))
     assert (one.contexts[:, :4] == two.contexts[:, :4]).all() and (one.contexts[:, 4] != two.contexts[:, 4]).all()
