@@ -7,17 +7,18 @@ chooses; the mixed prediction is then refined by an adaptive table. The decision
 * the 17 bits of a symbol: a frequent word, the end, or an escape. Contexts: the state (the
   language that the last telling word before speaks for) and none.
 * after an escape, the bytes of the word and a closing space, eight bits each. Contexts: hashes
-  of the last one to four bytes and of the whole beginning of the word.
+  of the last one to four bytes and of the whole beginning of the word. Words that training has
+  are predicted by their own counts as well, which are joined and grow with the input.
 
 Counts are taken from training documents whose crc32(doc_id as text) mod 7 is not 2 or 6, the
-weights and the refinement are learned online on those of remainder 6, and all documents are
-scored. Every decision has a probability within 0 and 1, so the model is a distribution over
+weights and the refinement are learned online on those of remainder 6, whose counts are then
+added, and all documents are scored. Every decision has a probability within 0 and 1, so the model is a distribution over
 token sequences. In training, the state is the document's language; in scoring it is read off
 the words before, so a score depends on the text alone.
 
 Cases: a null or empty text is the end alone; a null doc_id counts as remainder 0 and a null
 language as one of its own; repeated rows are trained on and scored one by one; words over
-`LONGEST` bytes, and words that training has once or never, are never frequent, but scored whole; an empty table gives an empty result;
+`LONGEST` bytes, and words that counted documents have once or never, are never frequent, but scored whole; an empty table gives an empty result;
 without training documents all predictions are even and the base counts are 0.
 """
 
@@ -163,6 +164,8 @@ class SymbolModel:
                             mixer.learn(odds[at], gate[at], bit, weight[on])
                         else:
                             mixer.adapt(odds[at], gate[at], np.full(len(on), depth), bit, weight[on])
+        # what the weights were taught on is counted as well from here on
+        trees = [n + t for n, t in zip(trees, tests, strict=True)]
         table = np.zeros((states, 1))
         for depth in range(bits):
             deeper = np.empty((states, table.shape[1] * 2))
@@ -251,6 +254,15 @@ def _runs(words: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     yield from text_slices(words, limit)
 
 
+SHARES = np.concatenate([[0.0], 1 / (1 + np.exp(-np.arange(-6, 4.25, 0.25)))])
+
+
+def mixed_with_counts(share: float, counted: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    """log10 of share * counted + (1 - share) * 10 ** spelled: a distribution over words, as both are."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(share * counted), np.log1p(-share) + spelled * _LN10) / _LN10
+
+
 # ---- Spark: counts
 
 
@@ -271,10 +283,17 @@ class LanguageModel:
     end_count: int
     tokens: int
     kinds: int
+    #: Of escaped words: how much the words' own training counts weigh, and their sum.
+    share: float = 0.0
+    rare_tokens: int = 0
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.tokens + self.kinds + 1))
 
+    def escaped(self, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """log10 P(word | escape) from training counts and the log10 probabilities of spelling."""
+        return mixed_with_counts(self.share, c / max(self.rare_tokens, 1), spelled)
+
 
 def _counted(languages: list[str]):
     place = {x: i + 1 for i, x in enumerate(languages)}
@@ -358,6 +377,31 @@ def _mixer_trainer(shared):
     return trained
 
 
+def _share_judge(shared, rare_tokens: int):
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each of SHARES would give a task's escaped words of remainder 6."""
+        model: ByteModel = shared.value
+        gain = np.zeros(len(SHARES))
+        for batch in batches:
+            words, a, b = batch.column(0), *(batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
+            for at, n in _runs(words):
+                spelled = model.log10_probability(words.slice(at, n))
+                gain += [(b[at : at + n] * mixed_with_counts(x, a[at : at + n] / max(rare_tokens, 1), spelled)).sum() for x in SHARES]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(SHARES)), pa.int32()), pa.array(gain)], names=["place", "gain"])
+
+    return judged
+
+
+def _slot_counts(words: DataFrame, cores: int) -> np.ndarray:
+    """Zeros and ones of every slot by order, each word of words counting once."""
+    blocks = words.select("word", F.lit(1).cast("long").alias("n")).coalesce(cores).mapInArrow(_spelling_counts, "block int, counts binary")
+    summed = blocks.repartition(max(1, min(cores, 64)), "block").sortWithinPartitions("block").mapInArrow(_summed, "block int, counts binary").toArrow()
+    tables = np.zeros((2 * len(ORDERS) * SLOTS // BLOCK, BLOCK), np.float32)
+    for block, counts in zip(summed.column("block").to_pylist(), summed.column("counts"), strict=True):
+        tables[block] = np.frombuffer(counts.as_buffer(), "<f4")
+    return tables.reshape(2, len(ORDERS), SLOTS)
+
+
 def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     """The model, and the written table (word, c) of training counts of all words.
 
@@ -379,9 +423,9 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     by_class = stash(counted.groupBy("word", "cls").agg(*(F.sum(c).alias(c) for c in "abh")), "classes")
     words = stash(by_class.groupBy("word").agg(*(F.sum(c).alias(c) for c in "abh")).withColumn("c", F.col("a") + F.col("b")), "words")
 
-    # by training counts alone; words seen once escape, so that escapes are learned from words as rare as unseen ones
-    size = F.floor(F.log2("c") * 16).cast("int")
-    short = (F.octet_length("word") <= LONGEST) & (F.col("c") > 1)
+    # by the counted documents alone, and words they have once escape, so that remainder 6 shows how often words escape
+    size = F.floor(F.log2("a") * 16).cast("int")
+    short = (F.octet_length("word") <= LONGEST) & (F.col("a") > 1)
     steps = words.filter(short).groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()
     held, least = 0, 1 << 20
     for r in sorted(steps, key=lambda r: -r["size"]):
@@ -389,8 +433,8 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
             break
         held, least = held + r["n"], r["size"]
     is_frequent = short & (size >= least)
-    frequent = words.filter(is_frequent).select("word", "c").toArrow()
-    order = np.lexsort((np.array(frequent.column("word").to_pylist(), object), -frequent.column("c").to_numpy())) if frequent.num_rows else np.empty(0, np.int64)
+    frequent = words.filter(is_frequent).select("word", "a", "c").toArrow()
+    order = np.lexsort((np.array(frequent.column("word").to_pylist(), object), -frequent.column("a").to_numpy())) if frequent.num_rows else np.empty(0, np.int64)
     known = [frequent.column("word")[i].as_py() for i in order.tolist()]
     place = {w: i + FIRST_WORD for i, w in enumerate(known)}
 
@@ -417,22 +461,28 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     folds[:, 0] = folds.sum(1)
     symbols = SymbolModel.fit(folds[0], folds[1])
 
-    rare = words.filter(~is_frequent & (F.col("a") > 0)).select("word", "a")
-    blocks = rare.coalesce(cores).mapInArrow(_spelling_counts, "block int, counts binary")
-    summed = blocks.repartition(max(1, min(cores, 64)), "block").sortWithinPartitions("block").mapInArrow(_summed, "block int, counts binary").toArrow()
-    tables = np.zeros((2 * len(ORDERS) * SLOTS // BLOCK, BLOCK), np.float32)
-    for block, counts in zip(summed.column("block").to_pylist(), summed.column("counts"), strict=True):
-        tables[block] = np.frombuffer(counts.as_buffer(), "<f4")
-    tables = tables.reshape(2, len(ORDERS), SLOTS)
+    # a word that escapes looks like one that is new to the counts, so each word is spelled once, and new ones teach
+    tables = _slot_counts(words.filter("a > 0"), cores)
     spelling = ByteModel.of(tables[0], tables[1])
     shared = spark.sparkContext.broadcast(spelling)
-    lessons = words.filter(~is_frequent & (F.col("b") > 0)).select("word", "b").coalesce(cores)
+    lessons = words.filter("a = 0 and b > 0").select("word", F.lit(1).cast("long").alias("b")).coalesce(cores)
     taught = lessons.mapInArrow(_mixer_trainer(shared), "seen double, weights binary, hits binary").toArrow()
     if taught.num_rows:
         seen = taught.column("seen").to_numpy()
         weights = sum(s * np.frombuffer(w.as_buffer(), float) for s, w in zip(seen, taught.column("weights"), strict=True)) / seen.sum()
         spelling.mixer.load(weights, sum(np.frombuffer(h.as_buffer(), float) for h in taught.column("hits")))
-    model = LanguageModel(known, frequent.column("c").to_numpy()[order].astype(np.int64), classes, symbols, spelling, end_a + end_b, int(sums["c"] or 0) + end_a + end_b, int(sums["kinds"] or 0) + (end_a + end_b > 0))
+    rare = words.filter(~is_frequent)
+    in_rare = rare.agg(F.sum("a").alias("a"), F.sum("c").alias("c")).first()
+    shared = spark.sparkContext.broadcast(spelling)
+    judged = rare.filter("b > 0").select("word", "a", "b").coalesce(cores).mapInArrow(_share_judge(shared, int(in_rare["a"] or 0)), "place int, gain double")
+    gains = np.zeros(len(SHARES))
+    for r in judged.groupBy("place").agg(F.sum("gain").alias("gain")).collect():
+        gains[r["place"]] = r["gain"]
+    share = float(SHARES[gains.argmax()]) if in_rare["a"] else 0.0
+    tables += _slot_counts(words.filter("a = 0 and b > 0"), cores)
+    taught_mixer, spelling = spelling.mixer, ByteModel.of(tables[0], tables[1])
+    spelling.mixer = taught_mixer
+    model = LanguageModel(known, frequent.column("c").to_numpy()[order].astype(np.int64), classes, symbols, spelling, end_a + end_b, int(sums["c"] or 0) + end_a + end_b, int(sums["kinds"] or 0) + (end_a + end_b > 0), share, int(in_rare["c"] or 0))
     return model, words.select("word", "c")
 
 
@@ -516,7 +566,7 @@ def _second_pass(shared):
             out = {name: pc.fill_null(get(name), 0).to_numpy(zero_copy_only=False) for name in ("n_known", "base", "score")}
             out["n_known"] = np.where(rest, times * (c > 0), out["n_known"])
             out["base"] = np.where(rest, times * m.base(c), out["base"])
-            out["score"] = np.where(rest, times * value[code], out["score"])
+            out["score"] = np.where(rest, times * m.escaped(c, value[code]), out["score"])
             yield pa.RecordBatch.from_arrays([get("row"), get("doc_id"), get("held_out"), get("n_tokens"), pa.array(out["n_known"], pa.int64()), pa.array(out["base"]), pa.array(out["score"]), get("bytes")], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bytes"])
 
     return passed

@@ -319,6 +319,26 @@ def test_symbols_are_chosen_by_training_counts(spark):
     assert model.words == alone.words == [b"more", b"some", b"words", b"words,"]
 
 
+def test_counts_of_escaped_words_and_of_the_teaching_fold_are_used(spark):
+    spelled = np.array([-3.0, -5.0])
+    np.testing.assert_allclose(10 ** context_mixing.mixed_with_counts(0.25, np.array([0.1, 0.0]), spelled), [0.25 * 0.1 + 0.75e-3, 0.75e-5])
+    counts, checks = np.ones((1, 4)), np.zeros((1, 4))
+    checks[0, 3] = 400  # only the teaching fold has it that often
+    assert (context_mixing.SymbolModel.fit(counts, checks).table[0] > np.log10(0.9)).tolist() == [False, False, False, True]
+    rng = random.Random(12)
+    rare = ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(400)]
+    texts = [f"{rare[i]} and then" for i in range(400)] + [f"{rare[i]} and" for i in range(400)]
+    model, words = context_mixing.fit(documents(spark, texts))
+    model.share, model.rare_tokens = 0.5, max(model.rare_tokens, 1)
+    c = {bytes(r.word).decode(): r.c for r in words.collect()}
+    new = "jjjjiiiihhhh"
+    known = next(w for w in rare if c.get(w) == 1)
+    assert known.encode() not in model.words
+    got = {r.text: r.score for r in context_mixing.score(documents(spark, [known, new]), model, words).join(documents(spark, [known, new]).select("doc_id", "text"), "doc_id").collect()}
+    plain = model.spelling.log10_probability(pa.array([known.encode(), new.encode()], pa.binary()))
+    assert got[known] - got[new] == pytest.approx(np.log10(0.5 / model.rare_tokens + 0.5 * 10 ** plain[0]) - np.log10(0.5) - plain[1], abs=1e-3)
+
+
 def test_contexts_see_only_what_is_before():
     one, two = (context_mixing.spell(pa.array([w], pa.binary())) for w in (b"abcdef", b"abcxyz"))
     assert (one.contexts[:, :4] == two.contexts[:, :4]).all() and (one.contexts[:, 4] != two.contexts[:, 4]).all()
