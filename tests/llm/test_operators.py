@@ -253,6 +253,15 @@ def test_added_kinds_and_masks(spark):
     assert [(r.text, r.n_chars) for r in got] == [(None, None), ("", 0), ("mail é <EMAIL> or <PHONE>.", 26)]
 
 
+def test_ibans_end_before_capitals_and_numbers():
+    for text, ends in [
+        ("DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX", [27]), ("DE89370400440532013000 EUR 500", [22]), ("GB82 WEST 1234 5698 7654 32 OR CALL", [27]),
+        ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 X", [27, 55]), ("AB12 DE89370400440532013000 A", [27]), ("DE89 3704 0044 0532 0130 01 EUR 500", []), ("NO93 8601 1117 947 KR", [18]),
+    ]:
+        assert [s.end for s in pii.find_spans(text) if s.kind == "iban"] == ends, text
+    assert pii.mask("to DE89370400440532013000 EUR 500", pii.find_spans("to DE89370400440532013000 EUR 500")) == "to <IBAN> EUR 500"
+
+
 def test_patterns_are_linear():
     import time
 
