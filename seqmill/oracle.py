@@ -141,4 +141,5 @@ def sql() -> dict[str, str]:
         "map_frequency": f"{post} select {per}, k as best_k, round(f, 6) as best_freq, round(log_post, 6) as log_post from post qualify row_number() over (partition by {per} order by log_post desc, k) = 1",
         "global_loss": f"{post}, ev as (select {per}, max(top) + ln(sum(exp(log_joint - top))) as e from joint group by 1, 2, 3) select round(-avg(e), 5) as loss, count(*) as sites from ev",
         "posterior_table": f"{post} select {per}, k, format('{{:.8e}}', round(log_post, 3)) as log_post from post where k < 2",
+        "posterior_lines": f"{post} select {per}, format('{{:.8e}}', round((list(f order by log_post desc, k))[1], 6)) as best_freq, list(format('{{:.8e}}', round(log_post, 3)) order by k) as log_post from post group by {per}",
     }

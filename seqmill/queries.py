@@ -240,6 +240,14 @@ def posterior_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post.filter("k < 2").select(*SITE, "k", numeric.scientific(F.round("log_post", 3)).alias("log_post"))
 
 
+def posterior_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is written out of each site: best_freq and the log-posterior of every grid point, in scientific notation."""
+    post = likelihood.posterior(_likelihood(spark, sf_dir))
+    best = F.max_by("f", F.struct("log_post", -F.col("k")))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("k", "log_post"))), lambda x: numeric.scientific(F.round(x["log_post"], 3)))
+    return post.groupBy(*SITE).agg(best.alias("best"), values.alias("log_post")).select(*SITE, numeric.scientific(F.round("best", 6)).alias("best_freq"), "log_post")
+
+
 def network_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most likely frequency of each site under a neural error model, on the packed path."""
     keyed = network.with_allele_probabilities(_labelled(spark, sf_dir), fixed_network(7))
@@ -268,7 +276,7 @@ ALL = [
     consensus_calls, major_minor, base_frequencies, candidate_sites, contamination_fractions, region_bins, covariate_rows,
     covariate_dictionary, collapsed_observations, local_row_ids, variable_columns, minmax_normalized, locus_key_parity,
     dense_positions, freq_grid, prior_logprob, prior_betainc_general, multinomial_loglik, multinomial_gradient, nn_forward,
-    grid_loglik, posterior, global_loss, posterior_table, network_posterior, simulated_observations, trained_prior,
+    grid_loglik, posterior, global_loss, posterior_table, posterior_lines, network_posterior, simulated_observations, trained_prior,
 ]
 
 
