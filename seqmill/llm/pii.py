@@ -7,7 +7,8 @@ credentials, which stay if pattern, checksum and nearby words together reach `mi
 
 Cases: a null or empty text has no spans; offsets are code points, ends exclusive; repeated
 rows are searched one by one; an empty table gives an empty result; long texts are read whole,
-and no pattern takes more than linear time in them.
+and no pattern takes more than linear time in them. Numbers may have however many digits: parts of an
+ip are compared as digits, not as numbers.
 """
 
 from __future__ import annotations
@@ -42,16 +43,17 @@ _IBAN_SIZES = dict(
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|password=[^\s]+)")
 
-#: Words that raise the score of a kind when they stand within `reach` code points.
+#: Words that raise the score of a kind when one stands, as a whole word, within `reach` code points.
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("address", "server", "host"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile"),
-    "iban": ("iban", "bank", "account", "konto"),
-    "national": ("ssn", "social", "security", "national"),
-    "secret": ("key", "secret", "password", "login"),
+    "email": "mail email e-mail contact write courriel correo kontakt",
+    "ip": "address server host ip adresse serveur servidor",
+    "card": "card visa credit payment carte tarjeta karte kreditkarte",
+    "phone": "phone call tel mobile telephone telefon teléfono téléphone",
+    "iban": "iban bank account konto banque banco compte cuenta",
+    "national": "ssn social security national",
+    "secret": "key secret password login token",
 }
+_CONTEXT = {k: re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(w) for w in words.split())})s?(?!\w)") for k, words in CONTEXT.items()}
 #: What a pattern is worth alone, and with a checksum that holds.
 PATTERN_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.3, "national": 0.4, "secret": 0.6}
 CHECKSUM_SCORE, CONTEXT_SCORE = 0.4, 0.2
@@ -111,7 +113,7 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
             yield "email", s, e, False
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".") if p.lstrip("0")):
+            if all(len(p) < 3 or (len(p) == 3 and p <= "255") for p in (x.lstrip("0") for x in m[0].split("."))):
                 yield "ip", *m.span(), False
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -136,8 +138,9 @@ def find_spans(text: str, min_score: float = 0.6, reach: int = 40) -> list[Span]
     spans = []
     for kind, start, end, confirmed in _proposed(text):
         score = PATTERN_SCORE[kind] + CHECKSUM_SCORE * confirmed
-        near = text[max(0, start - reach) : start].lower() + " " + text[end : end + reach].lower()
-        score += CONTEXT_SCORE * any(w in near for w in CONTEXT[kind])
+        # one more character on either side shows whether a word at the rim is whole
+        before, after = text[max(0, start - reach - 1) : start].lower(), text[end : end + reach + 1].lower()
+        score += CONTEXT_SCORE * any(_CONTEXT[kind].search(x) is not None for x in (before, after))
         if kind in BASE or score >= min_score:
             spans.append(Span(kind, start, end, round(min(score, 1.0), 3)))
     return sorted(spans, key=lambda s: (s.start, ORDER[s.kind]))
