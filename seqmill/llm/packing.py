@@ -9,8 +9,8 @@ Packing is local to a Spark task, in blocks of `block_pieces` open pieces, so te
 shuffled and a task holds a few numbers for each open piece; each block leaves at most a few
 windows with room. Sequence ids join the task's partition and a running number.
 
-Cases: a null or empty text is the end token alone; special tokens' strings in a text are
-ordinary text; rows with the same doc_id are packed as documents of their own; an empty table
+Cases: a null or empty text is the end token alone; a special token's string in a text gets that
+token's id, as the tokenizer file has it, or is ordinary text with special=False; rows with the same doc_id are packed as documents of their own; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -30,6 +30,8 @@ from .common import bounded, column
 
 CAPACITY = 1024
 END_ID = 0
+#: Fixed value: the only special token of byte_bpe_50k.json.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 class OpenWindows:
@@ -91,7 +93,7 @@ def encoder(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def default_ranks() -> str:
@@ -101,9 +103,13 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def token_ids(text: str, path: str) -> np.ndarray:
-    """The ids of a whole text as little-endian unsigned 32-bit numbers, closed with END_ID."""
-    ids = encoder(path).encode_ordinary(text)
+def token_ids(text: str, path: str, special: bool = False) -> np.ndarray:
+    """The ids of a whole text as little-endian unsigned 32-bit numbers, closed with END_ID.
+
+    special: whether SPECIAL's strings get their ids, as byte_bpe_50k.json does unless told not to.
+    """
+    bpe = encoder(path)
+    ids = bpe.encode(text, allowed_special="all") if special and any(s in text for s in SPECIAL) else bpe.encode_ordinary(text)
     ids.append(END_ID)
     return np.array(ids, "<u4")
 
@@ -112,7 +118,7 @@ _COLUMNS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "id
 _DDL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None, block_pieces: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None, block_pieces: int = 1_000_000, special: bool = True) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence."""
     ranks = ranks or default_ranks()
 
@@ -136,7 +142,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None, bl
         for batch in batches:
             full = []
             for doc_id, text in zip(batch.column(0).to_pylist(), column(batch, "text"), strict=True):
-                ids = token_ids(text.as_py(), ranks)
+                ids = token_ids(text.as_py(), ranks, special)
                 data, n = memoryview(ids.tobytes()), len(ids)
                 for start in range(0, n, capacity):
                     size = min(capacity, n - start)
