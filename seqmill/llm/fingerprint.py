@@ -8,7 +8,7 @@ compared by a difference score that is bounded at `CAP`: likeness is 1 for equal
 
 Cases: a null text is empty; texts under three bytes have empty buckets; equal texts have equal
 digests; in comparisons with the next document, rows are in ascending doc_id (null first), ties
-by text, repeated rows follow each other, the last is followed by the first, and a lone row by
+by text, repeated rows follow each other, rows of one doc_id are read by one task, the last is followed by the first, and a lone row by
 itself; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -125,7 +125,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     doc_id is cut into parts at its approximate quantiles, which are ids of the table, so the
     first document of each part is known: it is sent to its own part and, as a tail, to the
-    part before. One shuffle by part, then each part is read in order; nothing is gathered.
+    part before. One shuffle, a task a part, then each part is read in order; nothing is gathered.
     """
     slim = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(_FIRST))
@@ -145,5 +145,5 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     keyed = slim.withColumn("key", key).withColumn("parts", parts_of(F.col("key")))
     rows = keyed.select(F.explode("parts").alias("p"), "key", "doc_id", "text")
     rows = rows.select(F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("p")).alias("part"), (F.col("p") < 0).alias("tail"), "key", "doc_id", "text")
-    dealt = rows.repartition(last + 1, "part").sortWithinPartitions("part", "tail", "key", "text")
+    dealt = rows.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "tail", "key", "text")
     return dealt.drop("key").mapInArrow(_compared, _COMPARED_DDL)
