@@ -73,6 +73,41 @@ def test_fingerprints_against_brute_force(spark):
         assert (r.edited_fingerprint, r.near_edited, r.near_next) == (b.tobytes().hex(), fingerprint.likeness(a, b), fingerprint.likeness(a, c))
 
 
+def plain_digest(data: bytes) -> str:
+    """The quartile bucket digest, written apart from the library: dictionaries and loops alone."""
+    counts = [0] * 256
+    for at in range(len(data)):
+        for shape, (j, k) in enumerate([(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]):
+            if at + k < len(data):
+                v = data[at] + 256 * data[at + j] + 65536 * data[at + k] + shape * 16777216
+                counts[v * 2654435761 % 2**32 // 2**24] += 1
+    q1, q2, q3 = (sorted(counts)[i] for i in (63, 127, 191))
+    size = 0 if not data else round(math.log(len(data)) / math.log(1.1)) % 256
+    ratios = 0 if not q3 else (q1 * 100 // q3 % 16) * 16 + q2 * 100 // q3 % 16
+    quartile = [(c > q1) + (c > q2) + (c > q3) for c in counts]
+    body = [sum(quartile[4 * i + j] * 4**j for j in range(4)) for i in range(64)]
+    return bytes([hashlib.blake2b(data, digest_size=1).digest()[0], size, ratios, *body]).hex()
+
+
+def test_digests_against_a_plain_loop():
+    rng = random.Random(21)
+    for x in [*(t or "" for t in ODD), "ab", "abc", *(prose(rng, rng.randint(1, 300)) for _ in range(30))]:
+        assert fingerprint.digest_bytes(x.encode()).tobytes().hex() == plain_digest(x.encode())
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    """Rows in ascending (doc_id, text), null first; ids on a part's edge and ids that are all alike too."""
+    rng = random.Random(22)
+    ids = [None, None, *[7] * 30, *(rng.randrange(40) for _ in range(60))]
+    texts = [prose(rng, rng.randint(0, 9)) for _ in ids]
+    got = fingerprint.compare_with_next(documents(spark, texts, ids).repartition(4)).collect()
+    rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    want = [(i, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest(), plain_digest(t.encode())) for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True)]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.edited_sha256, r.fingerprint)) for r in got)
+    same = fingerprint.compare_with_next(documents(spark, texts[:9], [3] * 9)).collect()
+    assert len(same) == 9 and {r.doc_id for r in same} == {3}
+
+
 def test_one_document_is_followed_by_itself(spark):
     r = fingerprint.compare_with_next(documents(spark, ["abcdefgh"])).first()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abcdabcd").hexdigest()
@@ -111,6 +146,28 @@ def test_ids_equal_those_of_the_tokenizer_file():
         assert packing.token_ids(x, packing.default_ranks()).tolist() == [*t.encode(x, add_special_tokens=False).ids, 0]
 
 
+def test_packed_ids_are_those_of_the_file_with_its_own_settings(spark):
+    """Special strings in a text get the ids that the unchanged tokenizer gives them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", " <|endoftext|>  z", "plain"]
+    got = {r.doc_id: r for r in packing.pack(documents(spark, texts)).collect()}
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
+        assert (got[i].doc_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    plain = {r.doc_id: r for r in packing.pack(documents(spark, texts), special=False).collect()}
+    assert plain[5].ids_crc32 == got[5].ids_crc32 and plain[0].doc_tokens > got[0].doc_tokens
+
+
+def test_little_padding(spark):
+    """Of all places in the sequences under one in a hundred is padding."""
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(2))
+    used = rows.agg(F.sum("length").alias("n"), F.countDistinct("sequence_id").alias("s")).first()
+    assert used.n > 0.99 * packing.CAPACITY * used.s
+
+
 def test_packing_holds_every_id_once(spark):
     rng = random.Random(4)
     texts = [*ODD, *(prose(rng, rng.randint(1, 900)) for _ in range(60))]
@@ -253,6 +310,15 @@ def test_added_kinds_and_masks(spark):
     assert [(r.text, r.n_chars) for r in got] == [(None, None), ("", 0), ("mail é <EMAIL> or <PHONE>.", 26)]
 
 
+def test_numbers_of_any_length_and_whole_words():
+    long = "0" * 5000
+    for text in (f"1.2.3.{long}7", f"1.2.3.{long}256", f"{long}.0.0.0", "9" * 5000 + ".1.1.1", f"+1 {long}", f"4539 {long}", f"DE89{long}"):
+        got = [f"{s.kind}:{s.start}:{s.end}" for s in pii.find_spans(text) if s.kind in pii.BASE]
+        assert got == ([f"ip:0:{len(text)}"] if text.startswith(("1", "0")) and not text.endswith("256") else []), text[:20]
+    kinds = lambda text: [s.kind for s in pii.find_spans(text)]
+    assert kinds("nationalities 123-45-6789") == kinds("hassn 123-45-6789") == [] and kinds("(SSN) 123-45-6789") == kinds("123-45-6789 national") == ["national"]
+
+
 def test_ibans_end_before_capitals_and_numbers():
     for text, ends in [
         ("DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX", [27]), ("DE89370400440532013000 EUR 500", [22]), ("GB82 WEST 1234 5698 7654 32 OR CALL", [27]),
