@@ -18,11 +18,14 @@ BROADCAST_ROWS = 200_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder is set instead.
+    Where that is unset, one process that is driver and executor, as in local tests, takes a temporary
+    folder; on a cluster, where each machine would write to a disk of its own, that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seqmill-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -37,14 +40,19 @@ def bounded(df: DataFrame, limit: str = "4m") -> DataFrame:
     return df
 
 
+def stash_at(df: DataFrame, name: str = "table") -> str:
+    """Write df as Parquet to a new folder in the shared one, and return where."""
+    path = f"{shared_folder(df.sparkSession)}/seqmill-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
     This cuts the lineage: later jobs read the files, whichever executors are lost.
     """
-    path = f"{shared_folder(df.sparkSession)}/seqmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stash_at(df, name))
 
 
 def keyed_join(big: DataFrame, small: DataFrame, key: str, rows: int, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:

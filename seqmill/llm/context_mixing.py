@@ -1,25 +1,41 @@
 """A language model by online logistic context mixing, trained on a corpus and scoring all of it.
 
 A text is its words (lower-cased A-Z) and one end. Each token is coded in binary decisions, and
-each decision is predicted by several contexts whose log-odds are mixed with weights that a gate
-chooses; the mixed prediction is then refined by an adaptive table. The decisions are
-
-* the 17 bits of a symbol: a frequent word, the end, or an escape. Contexts: the state (the
-  language that the last telling word before speaks for) and none.
+each decision is predicted by several hashed contexts whose log-odds are mixed with weights that
+a gate (how sure the contexts are) chooses; the mixed prediction is then refined by an adaptive
+table. The decisions are
+
+* whether the corpus has the next passage. A passage ends with a word whose hash says so, one word
+  in `PASSAGE` on average, and at a text's end. A passage of `LEAST` tokens or more that training
+  documents, or the text's own beginning, have is predicted by its count. The counts are a table
+  that grows with the input and is joined.
+* else, for each token, the bits of a symbol: a frequent word, the end, or an escape. Contexts: the
+  state (the language that the last telling word before speaks for), the word before, the two
+  words before, and the last bytes before with the state; see `symbols`.
 * after an escape, the bytes of the word and a closing space, eight bits each. Contexts: hashes
-  of the last one to four bytes and of the whole beginning of the word. Words that training has
+  of the last one to four bytes, of the whole beginning of the word, and of the last two bytes with
+  the state. Words that training has
   are predicted by their own counts as well, which are joined and grow with the input.
 
 Counts are taken from training documents whose crc32(doc_id as text) mod 7 is not 2 or 6, the
-weights and the refinement are learned online on those of remainder 6, whose counts are then
-added, and all documents are scored. Every decision has a probability within 0 and 1, so the model is a distribution over
-token sequences. In training, the state is the document's language; in scoring it is read off
-the words before, so a score depends on the text alone.
+weights and the refinement are learned online on those of remainder 6, text by text in each task
+(tasks learn side by side, and their weights are averaged), whose counts are then added, and all
+documents are scored. A training document's own passages are taken off their counts when it is
+scored, so that it is predicted by the other documents, as held-out ones are. Every decision has a
+probability within 0 and 1, so the probabilities of all token sequences sum to at most 1. The
+state is read off the words before, so a score depends on the text and the model alone.
+
+Bounds of the model, whatever the input: 2^17 symbols, 15 states besides none (rarer languages
+share the state none), 3 x 2^21 and 6 x 2^19 slots of hashed contexts, which are broadcast. The
+tables of words and passages have no bound and are joined. A word or passage that very many
+documents have is one row a document on the documents' side of a join; Spark's adaptive skew join
+splits its partition.
 
 Cases: a null or empty text is the end alone; a null doc_id counts as remainder 0 and a null
 language as one of its own; repeated rows are trained on and scored one by one; words over
-`LONGEST` bytes, and words that counted documents have once or never, are never frequent, but scored whole; an empty table gives an empty result;
-without training documents all predictions are even and the base counts are 0.
+`LONGEST` bytes, and words that counted documents have once or never, are never frequent, but scored
+whole; an empty table gives an empty result; without training documents all predictions are even
+and the base counts are 0; columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +50,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, column, stash, text_slices
-from .words import mixed, split_words
+from .common import bounded, column, stash, stash_at, text_slices
+from .symbols import CONTEXTS, END, ESCAPE, FIRST_WORD, Coder, PrefixCode, Tokens, histories, slot_bits, symbols_of, tokens_of
+from .words import Words, mixed, split_words, vocab_hashes
 
 SYMBOL_BITS = 17
-ESCAPE, END, FIRST_WORD = 0, 1, 2
+#: A passage ends with one word in PASSAGE, and counts as one from LEAST tokens on.
+PASSAGE, LEAST = 16, 5
 LONGEST = 64
 STATES = 15
 ORDERS = (1, 2, 3, 4, 0)  # 0: the whole beginning
+#: Contexts of a byte: those, and the last two bytes with the state.
+SPELLED = len(ORDERS) + 1
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 BLOCK = 4096
@@ -71,6 +91,8 @@ class Mixer:
     inputs: int
     gates: int
     cells: int
+    #: The first weights of the inputs, all alike if not given.
+    begin: tuple[float, ...] | None = None
     weights: np.ndarray = field(init=False)
     slope2: np.ndarray = field(init=False)
     hits: np.ndarray = field(init=False)
@@ -78,12 +100,17 @@ class Mixer:
     def __post_init__(self) -> None:
         self.weights = np.full((self.gates, self.inputs + 1), 1.0 / self.inputs)
         self.weights[:, -1] = 0
+        if self.begin:
+            self.weights[:, :-1] = self.begin
         self.slope2 = np.full_like(self.weights, 1e-2)
         self.hits = np.zeros((self.cells * BINS, 2))
 
     def mix(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        w = self.weights[gate]
-        return np.clip((odds * w[:, :-1]).sum(1) + w[:, -1], -12, 12)
+        weights = np.ascontiguousarray(self.weights.T, odds.dtype)
+        x = weights[-1][gate]
+        for k in range(self.inputs):
+            x += odds[:, k] * weights[k][gate]
+        return np.clip(x, -12, 12)
 
     def learn(self, odds: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, rate: float = 0.05) -> None:
         """One online step on some decisions, each counting `weight` times."""
@@ -107,9 +134,9 @@ class Mixer:
         """P(bit is 1): the mixture, averaged with what its cell has seen as far as that is sure."""
         x = self.mix(odds, gate)
         at = self._cell(x, cell)
-        n = self.hits[at].sum(1)
+        n, ones = self.hits.sum(1).astype(x.dtype), self.hits[:, 1].astype(x.dtype)
         p = squash(x)
-        seen = (self.hits[at, 1] + 8 * p) / (n + 8)
+        seen = (ones[at] + 8 * p) / (n[at] + 8)
         return np.clip((p + seen) / 2, _EDGE, 1 - _EDGE)
 
     def numbers(self) -> np.ndarray:
@@ -176,6 +203,50 @@ class SymbolModel:
         return SymbolModel(table.astype(np.float32))
 
 
+def symbol_mixer() -> Mixer:
+    return Mixer(1 + CONTEXTS, 512, 64, (1.0, *[0.3] * CONTEXTS))
+
+
+def log10_symbols(coder: Coder, table: np.ndarray, mixer: Mixer, t: Tokens) -> np.ndarray:
+    """log10 P(symbol) of each token, given the tokens before it; table: histories of CONTEXTS x slots."""
+    out = np.empty(len(t.symbol))
+    for some, begin, decisions in coder.runs(t):
+        odds, gate, cell = decisions.inputs(table)
+        p = mixer.predict(odds, gate, cell)
+        out[some] = np.add.reduceat(np.log(np.where(decisions.bit, p, 1 - p)), begin) / _LN10
+    return out
+
+
+# ---- passages
+
+
+@dataclass
+class Passages:
+    """The passages of some texts: where each begins among the tokens, its size, text and key."""
+
+    begin: np.ndarray
+    size: np.ndarray
+    text: np.ndarray
+    key: np.ndarray
+
+
+def passages_of(w: Words, place: np.ndarray, first: np.ndarray) -> Passages:
+    """place, first: where words and texts lie among the tokens, as in Tokens."""
+    n = int(first[-1])
+    token = np.full(n, 0x5851F42D4C957F2D, np.uint64)
+    if len(w.codes):
+        token[place] = vocab_hashes(w.vocab)[w.codes]
+    last = (mixed(token) % np.uint64(PASSAGE)) == 0
+    last[first[1:] - 1] = True
+    stop = np.flatnonzero(last) + 1
+    begin = np.concatenate([[0], stop[:-1]]).astype(np.int64) if len(stop) else np.empty(0, np.int64)
+    size = stop - begin
+    inside = np.arange(n) - np.repeat(begin, size)
+    terms = mixed(token + inside.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = mixed(np.add.reduceat(terms, begin) + size.astype(np.uint64)) if n else np.empty(0, np.uint64)
+    return Passages(begin, size, np.searchsorted(first, begin, side="right") - 1, key.view(np.int64))
+
+
 # ---- bytes of words after an escape
 
 
@@ -195,8 +266,8 @@ class Spelled:
         return at.astype(np.int64), (self.data >> (7 - bit)) & 1
 
 
-def spell(words: pa.Array) -> Spelled:
-    """words: binary."""
+def spell(words: pa.Array, states: np.ndarray | None = None) -> Spelled:
+    """words: binary; states: the state before each of them, none if not given."""
     closed = pc.binary_join_element_wise(words, pa.scalar(b"", pa.binary()), b" ")
     sizes = pc.binary_length(closed).to_numpy(zero_copy_only=False).astype(np.int64)
     data = np.frombuffer(b"".join(closed.to_pylist()), np.uint8)
@@ -214,6 +285,9 @@ def spell(words: pa.Array) -> Spelled:
     running = np.cumsum(terms, dtype=np.uint64)
     base = running[first] - terms[first] if len(data) else running
     contexts.append(mixed(running - terms - base[owner] + place.astype(np.uint64)))
+    told = np.zeros(len(sizes), np.int64) if states is None else states
+    two = np.where(place >= 2, np.roll(data, 2), 32).astype(np.int64) << 8 | np.where(place >= 1, np.roll(data, 1), 32)
+    contexts.append(mixed((two << 5 | told[owner]).astype(np.uint64) + np.uint64(9 << 48)))
     return Spelled(data, owner, np.stack(contexts))
 
 
@@ -227,7 +301,7 @@ class ByteModel:
 
     @staticmethod
     def new_mixer() -> Mixer:
-        return Mixer(len(ORDERS), LEVELS * LEVELS, 8 * LEVELS)
+        return Mixer(SPELLED, LEVELS * LEVELS, 8 * LEVELS)
 
     @staticmethod
     def of(zeros: np.ndarray, ones: np.ndarray) -> ByteModel:
@@ -236,12 +310,12 @@ class ByteModel:
     def decisions(self, s: Spelled, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """odds, gate, cell and bit of every byte's bit."""
         at, value = s.slots(bit)
-        odds = np.stack([self.odds[k][at[k]] for k in range(len(ORDERS))], axis=1).astype(np.float32)
-        sure = [self.sure[k][at[k]].astype(np.int64) for k in range(len(ORDERS))]
-        return odds, sure[-1] * LEVELS + sure[2], bit * LEVELS + sure[1], value
+        odds = np.stack([self.odds[k][at[k]] for k in range(SPELLED)], axis=1).astype(np.float32)
+        sure = [self.sure[k][at[k]].astype(np.int64) for k in range(SPELLED)]
+        return odds, sure[4] * LEVELS + sure[2], bit * LEVELS + sure[1], value
 
-    def log10_probability(self, words: pa.Array) -> np.ndarray:
-        s = spell(words)
+    def log10_probability(self, words: pa.Array, states: np.ndarray | None = None) -> np.ndarray:
+        s = spell(words, states)
         total = np.zeros(len(s.data))
         for bit in range(8):
             odds, gate, cell, value = self.decisions(s, bit)
@@ -273,16 +347,23 @@ def fold(doc_id: Column) -> Column:
 
 @dataclass
 class LanguageModel:
-    """What scoring needs; each array has a fixed bound: 2^17 symbols, 16 states, 5 x 2^19 slots."""
+    """What scoring broadcasts; each array has a fixed bound."""
 
     words: list[bytes]
     counts: np.ndarray
-    classes: np.ndarray
     symbols: SymbolModel
+    coder: Coder
+    table: np.ndarray
+    mixer: Mixer
     spelling: ByteModel
     end_count: int
     tokens: int
     kinds: int
+    #: Where the written table of passages lies: passage, a, b, h.
+    passages: str
+    #: How many passages training has, and how likely the next one is among those counted.
+    n_passages: int
+    known_share: float
     #: Of escaped words: how much the words' own training counts weigh, and their sum.
     share: float = 0.0
     rare_tokens: int = 0
@@ -294,6 +375,11 @@ class LanguageModel:
         """log10 P(word | escape) from training counts and the log10 probabilities of spelling."""
         return mixed_with_counts(self.share, c / max(self.rare_tokens, 1), spelled)
 
+    def passage(self, count: np.ndarray, times: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """log10 P of taking a passage `times` times from those counted, the first time with this count; others: passages of the text."""
+        rising = np.array([math.lgamma(c + n) - math.lgamma(c) if n > 1 else math.log(c) for c, n in zip(count.tolist(), times.tolist(), strict=True)]) / _LN10
+        return rising + times * (math.log10(self.known_share) - np.log10(self.n_passages + others))
+
 
 def _counted(languages: list[str]):
     place = {x: i + 1 for i, x in enumerate(languages)}
@@ -302,7 +388,7 @@ def _counted(languages: list[str]):
         """word, cls and its counts in the three folds, for some MB of texts at a time."""
         for batch in batches:
             texts = column(batch, "text")
-            folds = np.array([{2: 2, 6: 1}.get(f, 0) for f in batch.column(batch.schema.get_field_index("fold")).to_pylist()], np.int64)
+            folds = _fold_places(batch)
             cls = np.array([place.get(x, 0) for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()], np.int64)
             for at, n in text_slices(texts, 4 << 20):
                 w = split_words(texts.slice(at, n), lower=True)
@@ -319,25 +405,99 @@ def _counted(languages: list[str]):
     return counted
 
 
+def _passage_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """passage, and its counts in the three folds."""
+    for batch in batches:
+        texts, folds = column(batch, "text"), _fold_places(batch)
+        for at, n in text_slices(texts, 4 << 20):
+            w = split_words(texts.slice(at, n), lower=True)
+            p = passages_of(w, np.arange(len(w.codes)) + w.parent, np.concatenate([[0], np.cumsum(w.counts + 1)]))
+            held = p.size >= LEAST
+            keys, where = np.unique(p.key[held], return_inverse=True)
+            counts = np.bincount(where * 3 + folds[at : at + n][p.text[held]], minlength=3 * len(keys)).reshape(-1, 3)
+            for begin in range(0, len(keys), 100_000):
+                part = slice(begin, begin + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *(pa.array(counts[part, k], pa.int32()) for k in range(3))], names=["passage", "a", "b", "h"])
+
+
+def _blocks(tables: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Numbered blocks of BLOCK counts, but for empty ones."""
+    blocks = tables.astype("<f4").reshape(-1, BLOCK)
+    held = np.flatnonzero(blocks.any(1))
+    for begin in range(0, len(held), 64):
+        part = held[begin : begin + 64]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([blocks[i].tobytes() for i in part], pa.binary())], names=["block", "counts"])
+
+
+def _context_counts(shared):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of how often each slot of the symbols' contexts has seen a zero and a one in a task's texts."""
+        coder: Coder = shared.value
+        known = coder.known()
+        tables = np.zeros((CONTEXTS, 2 << coder.bits), np.float32)
+        for batch in batches:
+            texts = column(batch, "text")
+            for at, n in text_slices(texts, 1 << 20):
+                _, _, t = tokens_of(coder, texts.slice(at, n), known)
+                for _, _, decisions in coder.runs(t):
+                    for k in range(CONTEXTS):
+                        np.add.at(tables[k], 2 * decisions.slots(k) + decisions.bit, np.float32(1))
+        yield from _blocks(tables)
+
+    return counted
+
+
+def _histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [np.frombuffer(c.as_buffer(), "<f4").reshape(-1, 2) for c in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([histories(c[:, 0], c[:, 1]).tobytes() for c in counts], pa.binary())], names=["block", "histories"])
+
+
+def _symbol_trainer(shared):
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The weights that a task's texts teach one after another, and what they refine."""
+        coder, table = shared.value
+        known, mixer, seen, step = coder.known(), symbol_mixer(), 0.0, 0
+        for batch in batches:
+            texts = column(batch, "text")
+            for at, n in text_slices(texts, 1 << 20):
+                _, _, t = tokens_of(coder, texts.slice(at, n), known)
+                for _, _, decisions in coder.runs(t):
+                    odds, gate, cell = decisions.inputs(table)
+                    bit = decisions.bit.astype(float)
+                    for begin in range(0, len(bit), 1 << 14):
+                        some = slice(begin, begin + (1 << 14))
+                        weight = np.ones(len(bit[some]))
+                        if step >= 8:
+                            mixer.adapt(odds[some], gate[some], cell[some], bit[some], weight)
+                        mixer.learn(odds[some], gate[some], bit[some], weight, 0.02)
+                        seen, step = seen + len(weight), step + 1
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([mixer.weights.tobytes()], pa.binary()), pa.array([mixer.hits.tobytes()], pa.binary())], names=["seen", "weights", "hits"])
+
+    return trained
+
+
+def _fold_places(batch: pa.RecordBatch) -> np.ndarray:
+    """0: counted, 1: teaches, 2: held out."""
+    fold_ = batch.column(batch.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
+    return np.where(fold_ == 2, 2, np.where(fold_ == 6, 1, 0)).astype(np.int64)
+
+
 def _spelling_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the slot counts of all words of a task."""
-    tables = np.zeros((2, len(ORDERS), SLOTS))
+    tables = np.zeros((2, SPELLED, SLOTS), np.float32)
     for batch in batches:
-        words, a = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+        words, states = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
         for at, n in _runs(words):
-            s = spell(words.slice(at, n))
-            weight = a[at : at + n][s.owner]
+            s = spell(words.slice(at, n), states[at : at + n])
             for bit in range(8):
                 slots, value = s.slots(bit)
                 for side in (0, 1):
                     on = value == side
-                    for k in range(len(ORDERS)):
-                        tables[side, k] += np.bincount(slots[k][on], weights=weight[on], minlength=SLOTS)
-    blocks = tables.astype("<f4").reshape(2 * len(ORDERS) * SLOTS // BLOCK, BLOCK)
-    held = np.flatnonzero(blocks.any(1))
-    for begin in range(0, len(held), 64):
-        part = held[begin : begin + 64]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([blocks[i].tobytes() for i in part], pa.binary())], names=["block", "counts"])
+                    for k in range(SPELLED):
+                        np.add.at(tables[side, k], slots[k][on], np.float32(1))
+    yield from _blocks(tables)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,10 +521,10 @@ def _mixer_trainer(shared):
         mixer, seen, step = ByteModel.new_mixer(), 0.0, 0
         model = ByteModel(model.odds, model.sure, mixer)
         for batch in batches:
-            words, b = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            words, states = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             for at, n in _runs(words, 1 << 16):
-                s = spell(words.slice(at, n))
-                weight = b[at : at + n][s.owner]
+                s = spell(words.slice(at, n), states[at : at + n])
+                weight = np.ones(len(s.owner))
                 for bit in range(8):
                     odds, gate, cell, value = model.decisions(s, bit)
                     mixer.learn(odds, gate, value.astype(float), weight)
@@ -383,23 +543,65 @@ def _share_judge(shared, rare_tokens: int):
         model: ByteModel = shared.value
         gain = np.zeros(len(SHARES))
         for batch in batches:
-            words, a, b = batch.column(0), *(batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
+            words, states = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (2, 3))
             for at, n in _runs(words):
-                spelled = model.log10_probability(words.slice(at, n))
+                spelled = model.log10_probability(words.slice(at, n), states[at : at + n])
                 gain += [(b[at : at + n] * mixed_with_counts(x, a[at : at + n] / max(rare_tokens, 1), spelled)).sum() for x in SHARES]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(SHARES)), pa.int32()), pa.array(gain)], names=["place", "gain"])
 
     return judged
 
 
+def _taught(mixer: Mixer, lessons: DataFrame) -> Mixer:
+    """mixer with the weights of all tasks, averaged by what they saw, and the sums of their hits."""
+    taught = lessons.toArrow()
+    if taught.num_rows:
+        seen = taught.column("seen").to_numpy()
+        weights = sum(s * np.frombuffer(w.as_buffer(), float) for s, w in zip(seen, taught.column("weights"), strict=True)) / seen.sum()
+        mixer.load(weights, sum(np.frombuffer(h.as_buffer(), float) for h in taught.column("hits")))
+    return mixer
+
+
+_LESSON = "seen double, weights binary, hits binary"
+
+
+def _summed_blocks(blocks: DataFrame, cores: int) -> DataFrame:
+    return blocks.repartition(max(1, min(cores, 64)), "block").sortWithinPartitions("block").mapInArrow(_summed, "block int, counts binary")
+
+
+def _history_table(blocks: DataFrame, bits: int) -> np.ndarray:
+    """The histories of all slots, from summed blocks: a byte a slot, made in the tasks."""
+    table = np.full((CONTEXTS << bits) * 2 // BLOCK * (BLOCK // 2), histories(np.zeros(1), np.zeros(1))[0], np.uint8).reshape(-1, BLOCK // 2)
+    found = blocks.mapInArrow(_histories, "block int, histories binary").toArrow()
+    for block, h in zip(found.column("block").to_pylist(), found.column("histories"), strict=True):
+        table[block] = np.frombuffer(h.as_buffer(), np.uint8)
+    return table.reshape(CONTEXTS, -1)
+
+
+def fit_symbols(texts: DataFrame, coder: Coder, cores: int) -> tuple[np.ndarray, Mixer]:
+    """Histories of the contexts' slots, and the mixer over them, from texts with their fold.
+
+    One task a core counts, as each holds a table of all slots; the tables are summed block by block.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(coder)
+    counted = lambda some: some.select("text").coalesce(cores).mapInArrow(_context_counts(shared), "block int, counts binary")
+    blocks = stash(_summed_blocks(counted(texts.filter(~F.col("fold").isin(2, 6))), cores), "contexts")
+    lesson = texts.sparkSession.sparkContext.broadcast((coder, _history_table(blocks, coder.bits)))
+    lessons = texts.filter("fold = 6").select("text").coalesce(cores).mapInArrow(_symbol_trainer(lesson), _LESSON)
+    mixer = _taught(symbol_mixer(), lessons)
+    # what the weights were taught on is counted as well from here on
+    return _history_table(_summed_blocks(blocks.union(counted(texts.filter("fold = 6"))), cores), coder.bits), mixer
+
+
 def _slot_counts(words: DataFrame, cores: int) -> np.ndarray:
     """Zeros and ones of every slot by order, each word of words counting once."""
-    blocks = words.select("word", F.lit(1).cast("long").alias("n")).coalesce(cores).mapInArrow(_spelling_counts, "block int, counts binary")
-    summed = blocks.repartition(max(1, min(cores, 64)), "block").sortWithinPartitions("block").mapInArrow(_summed, "block int, counts binary").toArrow()
-    tables = np.zeros((2 * len(ORDERS) * SLOTS // BLOCK, BLOCK), np.float32)
+    blocks = words.select("word", "cls").coalesce(cores).mapInArrow(_spelling_counts, "block int, counts binary")
+    summed = _summed_blocks(blocks, cores).toArrow()
+    tables = np.zeros((2 * SPELLED * SLOTS // BLOCK, BLOCK), np.float32)
     for block, counts in zip(summed.column("block").to_pylist(), summed.column("counts"), strict=True):
         tables[block] = np.frombuffer(counts.as_buffer(), "<f4")
-    return tables.reshape(2, len(ORDERS), SLOTS)
+    return tables.reshape(2, SPELLED, SLOTS)
 
 
 def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
@@ -421,7 +623,7 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
 
     counted = rows.mapInArrow(_counted(languages), "word binary, cls int, a bigint, b bigint, h bigint")
     by_class = stash(counted.groupBy("word", "cls").agg(*(F.sum(c).alias(c) for c in "abh")), "classes")
-    words = stash(by_class.groupBy("word").agg(*(F.sum(c).alias(c) for c in "abh")).withColumn("c", F.col("a") + F.col("b")), "words")
+    words = stash(by_class.groupBy("word").agg(*(F.sum(c).alias(c) for c in "abh"), F.max_by("cls", F.struct(F.col("a") + F.col("b"), "cls")).alias("cls")).withColumn("c", F.col("a") + F.col("b")), "words")
 
     # by the counted documents alone, and words they have once escape, so that remainder 6 shows how often words escape
     size = F.floor(F.log2("a") * 16).cast("int")
@@ -460,21 +662,25 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     classes[:FIRST_WORD] = 0
     folds[:, 0] = folds.sum(1)
     symbols = SymbolModel.fit(folds[0], folds[1])
+    tokens = int(sums["c"] or 0) + end_a + end_b
+    n_symbols = FIRST_WORD + len(known)
+    coder = Coder(known, classes[:n_symbols], PrefixCode.of(symbols.table[:, :n_symbols]), slot_bits(tokens))
+    table, mixer = fit_symbols(rows, coder, cores)
+
+    path = stash_at(rows.mapInArrow(_passage_counts, "passage bigint, a int, b int, h int").groupBy("passage").agg(*(F.sum(c).alias(c) for c in "abh")), "passages")
+    told_passages = spark.read.parquet(path).agg(F.sum(F.col("a") + F.col("b")).alias("n"), F.sum("b").alias("b"), F.sum(F.when(F.col("a") > 0, F.col("b"))).alias("known")).first()
+    known_share = ((told_passages["known"] or 0) + 1) / ((told_passages["b"] or 0) + 20)
 
     # a word that escapes looks like one that is new to the counts, so each word is spelled once, and new ones teach
     tables = _slot_counts(words.filter("a > 0"), cores)
     spelling = ByteModel.of(tables[0], tables[1])
     shared = spark.sparkContext.broadcast(spelling)
-    lessons = words.filter("a = 0 and b > 0").select("word", F.lit(1).cast("long").alias("b")).coalesce(cores)
-    taught = lessons.mapInArrow(_mixer_trainer(shared), "seen double, weights binary, hits binary").toArrow()
-    if taught.num_rows:
-        seen = taught.column("seen").to_numpy()
-        weights = sum(s * np.frombuffer(w.as_buffer(), float) for s, w in zip(seen, taught.column("weights"), strict=True)) / seen.sum()
-        spelling.mixer.load(weights, sum(np.frombuffer(h.as_buffer(), float) for h in taught.column("hits")))
+    lessons = words.filter("a = 0 and b > 0").select("word", "cls").coalesce(cores)
+    _taught(spelling.mixer, lessons.mapInArrow(_mixer_trainer(shared), _LESSON))
     rare = words.filter(~is_frequent)
     in_rare = rare.agg(F.sum("a").alias("a"), F.sum("c").alias("c")).first()
     shared = spark.sparkContext.broadcast(spelling)
-    judged = rare.filter("b > 0").select("word", "a", "b").coalesce(cores).mapInArrow(_share_judge(shared, int(in_rare["a"] or 0)), "place int, gain double")
+    judged = rare.filter("b > 0").select("word", "cls", "a", "b").coalesce(cores).mapInArrow(_share_judge(shared, int(in_rare["a"] or 0)), "place int, gain double")
     gains = np.zeros(len(SHARES))
     for r in judged.groupBy("place").agg(F.sum("gain").alias("gain")).collect():
         gains[r["place"]] = r["gain"]
@@ -482,108 +688,176 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     tables += _slot_counts(words.filter("a = 0 and b > 0"), cores)
     taught_mixer, spelling = spelling.mixer, ByteModel.of(tables[0], tables[1])
     spelling.mixer = taught_mixer
-    model = LanguageModel(known, frequent.column("c").to_numpy()[order].astype(np.int64), classes, symbols, spelling, end_a + end_b, int(sums["c"] or 0) + end_a + end_b, int(sums["kinds"] or 0) + (end_a + end_b > 0), share, int(in_rare["c"] or 0))
+    counts = frequent.column("c").to_numpy()[order].astype(np.int64)
+    model = LanguageModel(known, counts, symbols, coder, table, mixer, spelling, end_a + end_b, tokens, int(sums["kinds"] or 0) + (end_a + end_b > 0), path, int(told_passages["n"] or 0), known_share, share, int(in_rare["c"] or 0))
     return model, words.select("word", "c")
 
 
 # ---- Spark: scores
 
 
-def _states(classes: np.ndarray, parent: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The state before each word and at each text's end, from the words' classes (0: says nothing)."""
-    size = len(classes)
-    last = np.maximum.accumulate(np.where(classes > 0, np.arange(size), -1)) if size else np.empty(0, np.int64)
-    first = np.searchsorted(parent, np.arange(n))
-    stop = np.searchsorted(parent, np.arange(n), side="right")
-    before = np.concatenate([[-1], last[:-1]]) if size else last
-    state = np.where(before >= first[parent], classes[before], 0) if size else last
-    at_end = np.where(stop > first, last[stop - 1] if size else -1, -1)
-    return state, np.where(at_end >= first, classes[at_end] if size else 0, 0)
+_FIRST = {
+    "passage": pa.int64(), "row": pa.int64(), "times": pa.int32(), "own": pa.int32(), "others": pa.int32(), "score": pa.float64(), "rare": pa.list_(pa.binary()), "states": pa.list_(pa.int8()),
+    "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "bytes": pa.int64(),
+}
+_FIRST_DDL = "passage bigint, row bigint, times int, own int, others int, score double, rare array<binary>, states array<tinyint>, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, bytes bigint"
+_WORD = {"word": pa.binary(), "state": pa.int8(), "row": pa.int64(), "times": pa.int32(), "scored": pa.int32(), "score": pa.float64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "bytes": pa.int64()}
+_WORD_DDL = "word binary, state tinyint, row bigint, times int, scored int, score double, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, bytes bigint"
+_DOC = ("doc_id", "held_out", "n_tokens", "n_known", "base", "bytes")
+_ROW_DDL = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, bytes bigint"
+
 
+def _batch(types: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
+    """Columns that are not given are null."""
+    n = len(columns["row"])
+    arrays = [pa.nulls(n, t) if columns.get(c) is None else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in types.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(types))
 
-_ROW = ["word", "row", "doc_id", "held_out", "times", "n_tokens", "n_known", "base", "score", "bytes"]
-_ROW_DDL = "word binary, row bigint, doc_id bigint, held_out boolean, times bigint, n_tokens bigint, n_known bigint, base double, score double, bytes bigint"
-_ROW_TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
-def _first_pass(shared):
+
+def _first_pass(shared, own: bool):
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text one row with what frequent words give, and one for each other word of it."""
+        """Of each text one row with what its symbols and short passages give, and one for each other passage.
+
+        A passage's row has the score of its symbols where it first stands, and the words that escape there;
+        whether it is known, and how likely the words are, is told by the joins.
+        """
         m: LanguageModel = shared.value
-        known = pa.array(m.words, pa.binary())
-        counts, base = m.counts, m.base(m.counts)
+        known, base = m.coder.known(), m.base(m.counts)
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            texts, ids, rows, folds = column(batch, "text"), get("doc_id"), get("row"), get("fold").to_numpy(zero_copy_only=False)
-            for at, n in text_slices(texts, 4 << 20):
-                part = texts.slice(at, n)
-                w = split_words(part, lower=True)
+            texts, ids, rows, fold_ = column(batch, "text"), get("doc_id"), get("row").to_numpy(zero_copy_only=False), _fold_places(batch)
+            for at, n in text_slices(texts, 1 << 20):
+                part, row, held_out = texts.slice(at, n), rows[at : at + n], fold_[at : at + n] == 2
+                w, symbol, t = tokens_of(m.coder, part, known)
                 vocab = w.vocab.cast(pa.binary())
-                symbol = pc.fill_null(pc.index_in(vocab, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                token = symbol[w.codes] if len(w.codes) else np.empty(0, np.int64)
-                frequent = token >= 0
-                sym = np.where(frequent, token + FIRST_WORD, ESCAPE)
-                state, at_end = _states(m.classes[sym], w.parent, n)
-                add = lambda values: np.bincount(w.parent, weights=values, minlength=n)  # noqa: B023, E731
-                score = add(m.symbols.table[state, sym].astype(float)) + m.symbols.table[at_end, END]
-                own = np.where(frequent, token, 0)
-                got = base[own] if len(base) else np.zeros(len(own))
-                seen = counts[own] > 0 if len(counts) else np.zeros(len(own), bool)
-                base_sum = add(np.where(frequent, got, 0.0)) + m.base(np.array(m.end_count))
-                n_known = add((frequent & seen).astype(float)).astype(np.int64) + (m.end_count > 0)
-                row_ids = rows.slice(at, n).to_numpy(zero_copy_only=False)
-                # no word holds a space, so these keys meet no word, and are spread over the tasks
-                keys = [b" " + int(r).to_bytes(8, "big", signed=True) for r in row_ids]
+                place, value = symbol - FIRST_WORD, np.zeros(len(symbol))
+                frequent = place >= 0
+                value[frequent] = base[place[frequent]]
+                seen = np.zeros(len(symbol), bool)
+                seen[frequent] = m.counts[place[frequent]] > 0
+                add = lambda of_words: np.bincount(w.parent, weights=of_words[w.codes] if len(w.codes) else None, minlength=n)  # noqa: B023, E731
+                p = passages_of(w, t.place, t.first)
+                each = log10_symbols(m.coder, m.table, m.mixer, t)
+                of_passage = np.add.reduceat(each, p.begin)
+                escapes = np.flatnonzero(t.symbol == ESCAPE)
+                code = np.full(len(t.symbol), -1, np.int64)
+                code[t.place] = w.codes
+                rare_in = np.searchsorted(p.begin, escapes, side="right") - 1
+                long = p.size >= LEAST
+                # each long passage of a text once, where it first stands
+                key = p.key.view(np.uint64) ^ mixed(p.text.astype(np.uint64))
+                _, once, where, times = np.unique(np.where(long, key, 0), return_index=True, return_inverse=True, return_counts=True)
+                leads = np.zeros(len(key), bool)
+                leads[once] = True
+                leads &= long
+                flag = math.log10(1 - m.known_share)
+                short = np.bincount(p.text[~long], weights=of_passage[~long] + flag, minlength=n)
+                sizes = np.bincount(p.text[rare_in[~long[rare_in]]], minlength=n)
+                row_keys = mixed(row.astype(np.uint64) + np.uint64(1 << 60)).view(np.int64)
                 size = pc.binary_length(part).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([keys, row_ids, ids.slice(at, n), folds[at : at + n] == 2, np.zeros(n, np.int64), w.counts + 1, n_known, base_sum, score, size], _ROW_TYPES, strict=True)], names=_ROW)
-                kinds = max(len(vocab), 1)
-                pairs, times = np.unique(w.parent[~frequent] * kinds + w.codes[~frequent], return_counts=True)
-                for begin in range(0, len(pairs), 100_000):
-                    p = pairs[begin : begin + 100_000]
-                    k = len(p)
-                    nothing = pa.nulls(k, pa.int64())
-                    yield pa.RecordBatch.from_arrays([vocab.take(pa.array(p % kinds)), pa.array(row_ids[p // kinds]), nothing, pa.nulls(k, pa.bool_()), pa.array(times[begin : begin + 100_000], pa.int64()), nothing, nothing, pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), nothing], names=_ROW)
+                listed = escapes[~long[rare_in]]
+                yield _batch(
+                    _FIRST, passage=row_keys, row=row, times=np.zeros(n), own=np.zeros(n), others=np.zeros(n), score=short, rare=_lists(vocab.take(pa.array(code[listed])), sizes), states=_lists(pa.array(t.state[listed], pa.int8()), sizes), doc_id=ids.slice(at, n), held_out=held_out, n_tokens=w.counts + 1,
+                    n_known=add(seen.astype(float)).astype(np.int64) + (m.end_count > 0), base=add(value) + m.base(np.array(m.end_count)), bytes=size,
+                )
+                others = np.bincount(p.text[long], minlength=n)
+                lead = np.flatnonzero(leads)
+                count, text = times[where[lead]], p.text[lead]
+                chosen = leads[rare_in]
+                sizes = np.bincount(rare_in[chosen], minlength=len(key))[lead]
+                listed = escapes[chosen]
+                rare, states = _lists(vocab.take(pa.array(code[listed])), sizes), _lists(pa.array(t.state[listed], pa.int8()), sizes)
+                for begin in range(0, len(lead), 20_000):
+                    some = slice(begin, begin + 20_000)
+                    yield _batch(_FIRST, passage=p.key[lead[some]], row=row[text[some]], times=count[some], own=np.where(held_out[text[some]] | (not own), 0, count[some]), others=others[text[some]], score=of_passage[lead[some]], rare=rare[some], states=states[some])
 
     return passed
 
 
+def _resolve(shared):
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each word that escapes, the first of a passage with the passage's score; c: the passage's training count."""
+        m: LanguageModel = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            number = lambda c: pc.fill_null(get(c), 0).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            times, others, score, row = number("times").astype(np.int64), number("others"), number("score"), number("row")
+            count = np.where(times > 0, np.maximum(number("c") - number("own"), 0), 0)
+            known, again = np.flatnonzero(count > 0), np.flatnonzero((count == 0) & (times > 1))
+            total = score + np.where(times > 0, math.log10(1 - m.known_share), 0)
+            total[known] = m.passage(count[known], times[known], others[known])
+            total[again] += m.passage(np.ones(len(again), np.int64), times[again] - 1, others[again])
+            rare = get("rare")
+            sizes = pc.list_value_length(rare).to_numpy(zero_copy_only=False).astype(np.int64)
+            # a row without escapes gets a key that no word is (no word holds a space), spread over the tasks
+            none = np.flatnonzero(sizes == 0)
+            markers = pa.array([b" " + int(r).to_bytes(8, "big", signed=True) + int(i).to_bytes(4, "big") for i, r in zip(none.tolist(), row[none].tolist(), strict=True)], pa.binary())
+            owner = np.concatenate([np.repeat(np.arange(len(sizes)), sizes), none])
+            lead = np.concatenate([(np.cumsum(sizes) - sizes)[sizes > 0], int(sizes.sum()) + np.arange(len(none))])
+            words = pa.concat_arrays([rare.flatten().cast(pa.binary()), markers])
+            carried = np.zeros(len(owner))
+            carried[lead] = total[owner[lead]]
+            is_word = np.arange(len(owner)) < sizes.sum()
+            leads = np.zeros(len(owner), bool)
+            leads[lead] = True
+            # of other rows than a text's own the document's columns are null already
+            document = {c: pc.if_else(pa.array(leads), get(c).take(pa.array(owner)), pa.scalar(None, get(c).type)) for c in _DOC}
+            states = pa.concat_arrays([get("states").flatten(), pa.array(np.zeros(len(none), np.int8))])
+            yield _batch(_WORD, word=words, state=states, row=row[owner], times=np.where(is_word, np.maximum(times[owner], 1), 0), scored=(is_word & (count[owner] == 0)).astype(np.int32), score=carried, **document)
+
+    return resolved
+
+
 def _second_pass(shared):
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of words get their base and spelling scores; each word of a batch is spelled once."""
+        """Rows of words get their base and spelling scores; each word of a batch is spelled once for a state."""
         m: LanguageModel = shared.value
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            times = get("times").to_numpy(zero_copy_only=False)
+            number = lambda c: pc.fill_null(get(c), 0).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            times, scored = number("times"), number("scored")
             words = get("word").dictionary_encode()
             code, vocab = words.indices.to_numpy(zero_copy_only=False), words.dictionary
-            rest = times > 0
-            used = np.unique(code[rest])
-            value = np.zeros(len(vocab))
-            spelled = vocab.take(pa.array(used))
+            # the kinds of (word, state)
+            used, kind = np.unique(code.astype(np.int64) << 5 | number("state"), return_inverse=True)
+            wanted = np.bincount(kind, weights=scored, minlength=len(used)) > 0
+            used, value = used[wanted], np.zeros(len(used))
+            spelled, places = vocab.take(pa.array(used >> 5)), np.flatnonzero(wanted)
             for at, n in _runs(spelled):
-                value[used[at : at + n]] = m.spelling.log10_probability(spelled.slice(at, n))
-            c = pc.fill_null(get("c"), 0).to_numpy(zero_copy_only=False)
-            out = {name: pc.fill_null(get(name), 0).to_numpy(zero_copy_only=False) for name in ("n_known", "base", "score")}
-            out["n_known"] = np.where(rest, times * (c > 0), out["n_known"])
-            out["base"] = np.where(rest, times * m.base(c), out["base"])
-            out["score"] = np.where(rest, times * m.escaped(c, value[code]), out["score"])
+                value[places[at : at + n]] = m.spelling.log10_probability(spelled.slice(at, n), used[at : at + n] & 31)
+            c = number("c")
+            out = {
+                "n_known": number("n_known") + np.where(c > 0, times, 0),
+                "base": number("base") + np.where(times > 0, times * m.base(c), 0),
+                "score": number("score") + np.where(scored > 0, m.escaped(c, value[kind]), 0),
+            }
             yield pa.RecordBatch.from_arrays([get("row"), get("doc_id"), get("held_out"), get("n_tokens"), pa.array(out["n_known"], pa.int64()), pa.array(out["base"]), pa.array(out["score"]), get("bytes")], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "bytes"])
 
     return passed
 
 
-def score(docs: DataFrame, model: LanguageModel, words: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: LanguageModel, words: DataFrame, own: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
-    Frequent words, most of all tokens, are scored where the text is read. Every other word of a
-    text becomes a row and meets its count in one join; no such word is hot, since all words
-    above a bounded rank are frequent.
+    own: the model was fitted on docs, so that training documents' own passages are taken off the counts.
+    Symbols are scored where the text is read. The passages of a text meet their counts in one join,
+    the words that escape, by then a row each, in a second one; texts are not shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold(F.col("doc_id")).alias("fold"), F.monotonically_increasing_id().alias("row"))
-    first = rows.mapInArrow(_first_pass(shared), _ROW_DDL)
-    joined = first.join(words.filter("c > 0"), "word", "left")
-    second = joined.mapInArrow(_second_pass(shared), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, bytes bigint")
+    first = rows.mapInArrow(_first_pass(shared, own), _FIRST_DDL)
+    counted = spark.read.parquet(model.passages).withColumn("c", F.col("a") + F.col("b")).filter("c > 0")
+    counted = counted.filter("c + h > 1") if own else counted  # what only one document has, itself may not use
+    resolved = first.join(counted.select("passage", "c"), "passage", "left").mapInArrow(_resolve(shared), _WORD_DDL)
+    joined = resolved.join(words.filter("c > 0"), "word", "left")
+    second = joined.mapInArrow(_second_pass(shared), _ROW_DDL)
     per = second.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.max("bytes").alias("bytes"))
     bits = -F.col("score") * math.log2(10) / F.greatest("bytes", F.lit(1))
     return per.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
