@@ -404,14 +404,141 @@ def test_counts_of_escaped_words_and_of_the_teaching_fold_are_used(spark):
     rare = ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(400)]
     texts = [f"{rare[i]} and then" for i in range(400)] + [f"{rare[i]} and" for i in range(400)]
     model, words = context_mixing.fit(documents(spark, texts))
-    model.share, model.rare_tokens = 0.5, max(model.rare_tokens, 1)
     c = {bytes(r.word).decode(): r.c for r in words.collect()}
     new = "jjjjiiiihhhh"
     known = next(w for w in rare if c.get(w) == 1)
     assert known.encode() not in model.words
-    got = {r.text: r.score for r in context_mixing.score(documents(spark, [known, new]), model, words).join(documents(spark, [known, new]).select("doc_id", "text"), "doc_id").collect()}
+    got = []
+    for share in (0.0, 0.5):
+        model.share, model.rare_tokens = share, max(model.rare_tokens, 1)
+        docs = documents(spark, [known, new])
+        got.append({r.text: r.score for r in context_mixing.score(docs, model, words).join(docs.select("doc_id", "text"), "doc_id").collect()})
     plain = model.spelling.log10_probability(pa.array([known.encode(), new.encode()], pa.binary()))
-    assert got[known] - got[new] == pytest.approx(np.log10(0.5 / model.rare_tokens + 0.5 * 10 ** plain[0]) - np.log10(0.5) - plain[1], abs=1e-3)
+    for w, p, n in ((known, plain[0], 1), (new, plain[1], 0)):
+        assert got[1][w] - got[0][w] == pytest.approx(np.log10(0.5 * n / model.rare_tokens + 0.5 * 10**p) - p, abs=1e-6)
+
+
+def plain_score(m, text, c, passages, training):
+    """log10 P of a text by the model's own numbers, token by token and bit by bit; c, passages: training counts."""
+    import xxhash
+
+    mask, nodes = 2**64 - 1, m.coder.code
+
+    def mix64(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def predict(mixer, odds, gate, cell):
+        x = min(max(sum(w * o for w, o in zip(mixer.weights[gate], [*odds, 1.0], strict=True)), -12), 12)
+        p = 1 / (1 + math.exp(-x))
+        zeros, ones = mixer.hits[cell * context_mixing.BINS + min(int((x + 12) * context_mixing.BINS / 24), context_mixing.BINS - 1)]
+        return min(max((p + (ones + 8 * p) / (zeros + ones + 8)) / 2, 1e-4), 1 - 1e-4)
+
+    def counts(history):
+        n = [0, 1, 2.5, 5.5, 16, 64, 360, 3000][history >> 5]
+        ones = n / (1 + math.exp(-((history & 31) / 2 - 8)))
+        return n - ones, ones
+
+    place = {w: i + 2 for i, w in enumerate(m.words)}
+    words = text.encode().lower().split()
+    symbols = [place.get(w, 0) for w in words] + [1]
+    tails = [sum(b << 8 * i for i, b in enumerate(reversed(w[-3:]))) for w in words]
+    kinds = [s if 2 <= s < 4096 else 4096 + mix64(t) % 4096 for s, t in zip(symbols, tails, strict=False)]
+    each, state = [], 0
+    for i, symbol in enumerate(symbols):
+        one, two, tail = (kinds[i - 1] if i else 0), (kinds[i - 2] if i > 1 else 0), (tails[i - 1] if i else 0)
+        keys = [mix64(one + (1 << 50)), mix64((two << 13) + one + (2 << 50)), mix64((tail << 5) + state + (3 << 50))]
+        total = 0.0
+        for at in range(nodes.starts[symbol], nodes.starts[symbol + 1]):
+            node, bit = int(nodes.nodes[at]), int(nodes.bits[at])
+            x = float(nodes.odds[state, node])
+            p = 1 / (1 + math.exp(-x))
+            odds, sure = [x], []
+            for k, key in enumerate(keys):
+                h = int(m.table[k][(key ^ node * 0x9E3779B97F4A7C15 & mask) * 0xD6E8FEB86659FD93 % 2**64 >> 64 - m.coder.bits])
+                zeros, ones = counts(h)
+                odds.append(math.log((ones + p) / (zeros + 1 - p)) - x)
+                sure.append(h >> 5)
+            p = predict(m.mixer, odds, sure[0] * 64 + sure[1] * 8 + sure[2], sure[0] * 8 + sure[1])
+            total += math.log10(p if bit else 1 - p)
+        if symbol == 0:
+            plain = m.spelling.log10_probability(pa.array([words[i]], pa.binary()), np.array([state]))[0]
+            total += math.log10(m.share * c.get(words[i], 0) / max(m.rare_tokens, 1) + (1 - m.share) * 10**plain)
+        each.append(total)
+        state = int(m.coder.classes[symbol]) or state
+    hashes = [xxhash.xxh3_64_intdigest(w) for w in words] + [0x5851F42D4C957F2D]
+    cut, found = 0, []
+    for i, h in enumerate(hashes):
+        if mix64(h) % context_mixing.PASSAGE == 0 or i == len(words):
+            key = mix64((sum(mix64((x + k * 0x9E3779B97F4A7C15) & mask) for k, x in enumerate(hashes[cut : i + 1])) + i + 1 - cut) & mask)
+            found.append((key - 2**64 if key >= 2**63 else key, cut, i + 1))
+            cut = i + 1
+    long = Counter(k for k, a, b in found if b - a >= context_mixing.LEAST)
+    seen, result = Counter(), 0.0
+    for key, a, b in found:
+        have = max(passages.get(key, 0) - (long[key] if training else 0), 0) + seen[key] if b - a >= context_mixing.LEAST else 0
+        result += math.log10(m.known_share * have / (m.n_passages + sum(long.values()))) if have else math.log10(1 - m.known_share) + sum(each[a:b])
+        seen[key] += 1
+    return result
+
+
+def test_scores_against_a_plain_loop(spark):
+    """Every score of a small corpus with copies, repeated passages, odd and long texts, once with passages of their own and once as new documents."""
+    rng = random.Random(13)
+    shared = [prose(rng, 40) for _ in range(3)]
+    texts = [*ODD, *(prose(rng, rng.randint(0, 50)) + " " + rng.choice(shared) + " " + prose(rng, 9) for _ in range(80)), " ".join([shared[0]] * 5), "é" * 90 + " " + "x" * 200, "A" + shared[1][1:].upper()]
+    texts += texts[20:40]
+    ids = [None if i == 30 else i for i in range(len(texts))]
+    docs = documents(spark, texts, ids).repartition(3)
+    m, words = context_mixing.fit(docs)
+    c = {bytes(r.word): r.c for r in words.collect()}
+    passages = {r.passage: r.a + r.b for r in spark.read.parquet(m.passages).collect()}
+    for own in (True, False):
+        got = {r.doc_id: r.score for r in context_mixing.score(docs, m, words, own).collect()}
+        for i, x in zip(ids, texts, strict=True):
+            training = own and (i is None or zlib.crc32(str(i).encode()) % 7 != 2)
+            assert got[i] == pytest.approx(plain_score(m, x or "", c, passages, training), rel=1e-4, abs=1e-4), (i, x)
+
+
+def test_held_out_texts_change_no_other_score(spark):
+    rng = random.Random(14)
+    texts, others = ([prose(rng, rng.randint(5, 60)) for _ in range(120)] for _ in range(2))
+    held = {i for i in range(120) if zlib.crc32(str(i).encode()) % 7 == 2}
+    mixed_texts = [others[i] if i in held else t for i, t in enumerate(texts)]
+    one, two = ({r.doc_id: (r.score, r.base_score) for r in context_mixing.score(d, *context_mixing.fit(d)).collect()} for d in (documents(spark, x).coalesce(1) for x in (texts, mixed_texts)))
+    assert all(one[i] == pytest.approx(two[i], rel=1e-9) for i in one if i not in held) and all(one[i] != two[i] for i in held)
+
+
+def test_the_words_before_matter(spark):
+    """A text in the order that training shows is likelier than its words in another order."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+    follow = {w: rng.sample(words, 2) for w in words}
+    texts = []
+    for _ in range(400):
+        line = [rng.choice(words)]
+        while len(line) < 30:
+            line.append(rng.choice(follow[line[-1]]))
+        texts.append(" ".join(line))
+    texts += [" ".join(rng.sample(t.split(), 30)) for t in texts[:40]]
+    docs = documents(spark, texts, [*range(400), *range(400, 440)])
+    model = context_mixing.fit(docs.filter("doc_id < 380"))
+    got = {r.doc_id: r.score for r in context_mixing.score(docs, *model, own=False).collect()}
+    assert np.mean([got[i] for i in range(380, 400)]) > np.mean([got[i] for i in range(400, 440)]) + 15
+
+
+def test_the_symbols_code_is_a_prefix_code():
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.full(200, 0.2), 3)
+    code = context_mixing.PrefixCode.of(np.log10(np.maximum(p, 1e-12)))
+    size = np.diff(code.starts)
+    assert (0.5 ** size).sum() == pytest.approx(1) and (size * p[0]).sum() < -(p[0] * np.log2(np.maximum(p[0], 1e-12))).sum() + 1
+    for state in range(3):  # the nodes' odds give back the state's probabilities
+        x = code.odds[state][code.nodes]
+        got = np.add.reduceat(np.log10(1 / (1 + np.exp(np.where(code.bits, -x, x)))), code.starts[:-1])
+        held = p[state] > 1e-4
+        np.testing.assert_allclose(got[held], np.log10(p[state])[held], atol=2e-3)
 
 
 def test_contexts_see_only_what_is_before():
