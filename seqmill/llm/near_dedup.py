@@ -7,29 +7,35 @@ minwise tokens that the node chooses, so similar sets keep meeting. A node of at
 again. Whatever a sketch puts at `NEAR` or more is confirmed on full sets, until every such pair
 is either decided or lies within one component already.
 
-Recall of a pair at similarity 0.75: at least 1 - 0.25^12 where nodes are small at once, and
-about 0.992 where all of its nodes are large groups of near copies, which hang together by many
-other pairs; NEAR is 3.3 standard
-deviations of a sketch below 0.75.
+The number of trees follows from `target_recall`: with r of them, a pair at similarity 0.75 meets at
+a root with probability 1 - 0.25^r, and pairs that are more alike do more often. NEAR is 3.3 standard
+deviations of a sketch below 0.75. In a node of over `LEAF` members some members are pivots: the least id
+and a few by hash, other ones in every node. All members are compared with them, and what is NEAR is
+confirmed; members at `SURE` to a pivot share its label, a node of one label ends, and what is left after
+`LEVELS` levels is compared exhaustively block by block, each member with all of other labels. So no
+group of copies is cut or left out, however large it is.
 
-What keeps this linear: equal sets are one member; nodes with equal members are compared once;
-in a large node, members that a sketch puts at `SURE` to the node's pivot share a label, and
-children of one label end there; a node returns a spanning forest, never all of its pairs.
+What keeps this linear: equal sets are one member; nodes with equal members are worked on once, whether
+small or large; one node returns a spanning forest, never all of its pairs.
 
 Cases: texts without words (null, empty) have an empty set and are linked with nothing; of
 fewer than five words the whole sequence is the one shingle; a null doc_id is a document of
 its own below all others, with null as its component_id; rows with one doc_id are one document,
-whose links are those of all its texts; an empty table gives an empty result; other columns are
-ignored.
+whose links are those of all its texts (together with ids over 2^62 that is an error, as ids for
+the further texts are made above the largest one); repeated rows are one text; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +45,11 @@ from .words import mixed, split_words, vocab_hashes, windows
 
 SHINGLE = 5
 PERMUTATIONS = 256
-#: Tokens chosen at the roots of all trees: TREES trees of two.
-TREES, ROOT_TOKENS = 6, 12
+#: At 0.75; twelve trees.
+TARGET_RECALL = 1 - 1e-7
 LEAF = 1500
+#: Pivots of a large node, and how often large nodes branch before they are compared block by block.
+PIVOTS, LEVELS = 4, 8
 NEAR, SURE = 0.66, 0.9
 _LOWEST = -(2**63)
 
@@ -50,6 +58,11 @@ _XOR = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _MULTIPLY = _rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def trees_for(target_recall: float) -> int:
+    """How many trees find a pair at similarity 0.75 with that probability."""
+    return max(1, min(PERMUTATIONS, math.ceil(math.log(max(1 - target_recall, 1e-15)) / math.log(0.25) - 1e-9)))
+
+
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted 64-bit shingle hashes of each text without nulls."""
     w = split_words(texts, lower=True)
@@ -82,75 +95,110 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = column(batch, "text")
-        for at, n in text_slices(texts, 1 << 20):
-            sets = shingle_sets(texts.slice(at, n))
-            held = [s for s in sets if len(s)]
-            tokens = iter(minwise(held) if held else ())
-            sizes, digests, roots, sketches = [], [], [], []
-            for s in sets:
-                sizes.append(len(s))
-                t = next(tokens) if len(s) else None
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                roots.append(t[:ROOT_TOKENS].tobytes() if t is not None else None)
-                sketches.append((t * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes() if t is not None else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(roots, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n_shingles", "digest", "roots", "sketch"])
-
-
-def signatures(docs: DataFrame) -> DataFrame:
+def _signer(trees: int):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = column(batch, "text")
+            for at, n in text_slices(texts, 1 << 20):
+                sets = shingle_sets(texts.slice(at, n))
+                held = [s for s in sets if len(s)]
+                tokens = iter(minwise(held) if held else ())
+                sizes, digests, roots, sketches = [], [], [], []
+                for s in sets:
+                    sizes.append(len(s))
+                    t = next(tokens) if len(s) else None
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    roots.append(t[:trees].tobytes() if t is not None else None)
+                    sketches.append((t * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.uint8).tobytes() if t is not None else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(roots, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n_shingles", "digest", "roots", "sketch"])
+
+    return signed
+
+
+def signatures(docs: DataFrame, trees: int) -> DataFrame:
     """id, n_shingles, digest of the set, its minwise tokens for the roots and its sketch, for every row."""
     slim = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_signed, "id bigint, n_shingles bigint, digest binary, roots binary, sketch binary")
+    return slim.mapInArrow(_signer(trees), "id bigint, n_shingles bigint, digest binary, roots binary, sketch binary")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """node, n, members (a hash of them), low and high label of the nodes of rows with two members or more."""
-    return rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("id"), 12)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("pivot")).filter("n > 1 and low <> high")
+    """node, n, members (a hash of them), low and high label, and pivots of the nodes of rows with more than one label."""
+    picks = [F.min("id"), *(F.min_by("id", F.xxhash64(F.lit(k), "node", "id")) for k in range(1, PIVOTS))]
+    return rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.array(*picks).alias("pivots")).filter("n > 1 and low <> high")
 
 
 def _pivot_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the pivot's sketch: the label becomes the pivot where the sketches agree at SURE."""
+    """Rows with their node's pivots: the label becomes the least pivot whose sketch agrees at SURE; near: the pivots at NEAR."""
     for batch in batches:
         if not batch.num_rows:
             continue
         get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-        own, pivot = (np.frombuffer(b"".join(get(c).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for c in ("sketch", "pivot_sketch"))
-        near = (own == pivot).mean(1) >= SURE
-        labels = np.where(near, get("pivot").to_numpy(zero_copy_only=False), get("label").to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([get("id"), get("node"), pa.array(labels, pa.int64()), get("sketch")], names=["id", "node", "label", "sketch"])
-
-
-def chosen_paths(members: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(node, id) of all leaf nodes, and the edges (a, b) between members and pivots of large ones."""
-    roots = [F.xxhash64(F.lit(i), F.substring("roots", 4 * i + 1, 4)) for i in range(ROOT_TOKENS)]
+        ids, labels, heads = get("id").to_numpy(), get("label").to_numpy().copy(), get("heads")
+        owner, flat = pc.list_parent_indices(heads).to_numpy(zero_copy_only=False).astype(np.int64), heads.flatten()
+        own, theirs = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for x in (get("sketch"), flat.field("sketch")))
+        pivot = flat.field("pivot").to_numpy(zero_copy_only=False)
+        same = (own[owner] == theirs).mean(1)
+        sure = same >= SURE
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, owner[sure], pivot[sure])
+        hit = np.zeros(len(ids), bool)
+        hit[owner[sure]] = True
+        near = np.flatnonzero((same >= NEAR) & (ids[owner] != pivot))
+        sizes = np.bincount(owner[near], minlength=len(ids))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(pivot[near]))
+        yield pa.RecordBatch.from_arrays([get("id"), get("node"), pa.array(np.where(hit, least, labels)), get("sketch"), lists], names=["id", "node", "label", "sketch", "near"])
+
+
+def _distinct_nodes(nodes: DataFrame) -> DataFrame:
+    """Of nodes with equal members one."""
+    return nodes.groupBy("n", "members").agg(F.min_by(F.struct("node", "pivots"), "node").alias("kept")).select("n", "kept.*")
+
+
+def chosen_paths(members: DataFrame, trees: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, id) of all leaf nodes, and the edges (a, b) that large nodes have given."""
+    roots = [F.xxhash64(F.lit(i), F.substring("roots", 4 * i + 1, 4)) for i in range(trees)]
     rows = stash(members.select("id", F.col("id").alias("label"), F.explode(F.array(*roots)).alias("node")), "roots")
+    sketched = members.select("id", "sketch")
     leaves: DataFrame | None = None
-    edges: DataFrame | None = None
-    while True:
+    edges: list[DataFrame] = []
+    for level in range(LEVELS + 1):
         nodes = stash(_sized(rows), "nodes")
-        small = nodes.filter(F.col("n") <= LEAF).groupBy("n", "members").agg(F.min("node").alias("node")).select("node")
-        small, large = stash(small, "small"), nodes.filter(F.col("n") > LEAF).select("node", "pivot")
+        small = stash(_distinct_nodes(nodes.filter(F.col("n") <= LEAF)).select("node"), "small")
         found = keyed_join(rows, small, "node", small.count()).select("node", "id")
         leaves = found if leaves is None else leaves.union(found)
+        large = stash(_distinct_nodes(nodes.filter(F.col("n") > LEAF)), "large")
         count = large.count()
         if not count:
-            return stash(leaves, "leaves"), edges
-        sketched = members.select("id", "sketch")
-        heads = keyed_join(sketched, large.select(F.col("pivot").alias("id")).distinct(), "id", count).select(F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-        pivots = stash(keyed_join(large, heads, "pivot", count), "pivots")
-        inside = stash(keyed_join(rows, pivots, "node", count), "inside")
+            break
+        if level == LEVELS:
+            edges.append(_block_by_block(rows, large, sketched, count))
+            break
+        wanted = large.select("node", F.explode(F.array_distinct("pivots")).alias("id"))
+        heads = keyed_join(sketched, wanted.select("id").distinct(), "id", PIVOTS * count)
+        heads = wanted.join(heads, "id").groupBy("node").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), "sketch")).alias("heads"))
+        inside = stash(keyed_join(rows, stash(heads, "pivots"), "node", count), "inside")
         ids = inside.select("id").distinct()
         inside = inside.join(keyed_join(sketched, ids, "id", ids.count()), "id")
-        labelled = stash(inside.mapInArrow(_pivot_labels, "id bigint, node bigint, label bigint, sketch binary"), "labels")
-        found = keyed_join(labelled, large, "node", count).filter("label = pivot and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        edges = found if edges is None else edges.union(found)
+        labelled = stash(inside.mapInArrow(_pivot_labels, "id bigint, node bigint, label bigint, sketch binary, near array<bigint>"), "labels")
+        found = labelled.select("id", F.explode("near").alias("pivot"))
+        edges.append(found.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
         # two levels at a time, each node choosing two or three pairs of tokens, told apart by their sketch bytes
         picks = F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("node"), F.lit(4)) == 0, 2).otherwise(1))
         chosen = labelled.select("id", "label", "node", "sketch", F.explode(picks).alias("pick"))
-        values = [F.substring("sketch", F.pmod(F.xxhash64(F.lit(level), "node", "pick"), F.lit(PERMUTATIONS)).cast("int") + 1, F.lit(1)) for level in (1, 2)]
+        values = [F.substring("sketch", F.pmod(F.xxhash64(F.lit(k), "node", "pick"), F.lit(PERMUTATIONS)).cast("int") + 1, F.lit(1)) for k in (1, 2)]
         rows = stash(chosen.select("id", "label", F.xxhash64("node", "pick", *values).alias("node")), "paths")
+    return stash(leaves, "leaves"), edges
+
+
+def _block_by_block(rows: DataFrame, large: DataFrame, sketched: DataFrame, count: int) -> DataFrame:
+    """Edges between members of different labels of large nodes, each pair of blocks of a node being one task's group."""
+    half = max(1, LEAF // 2)
+    blocks = F.ceil(F.col("n") / half).cast("int")
+    held = keyed_join(rows, large.select("node", blocks.alias("blocks")), "node", count).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = held.select("id", "label", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = pairs.select("id", "label", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"))
+    filled = keyed.join(sketched, "id").select("node", "id", "label", "sketch")
+    return _by_node(filled).mapInArrow(_forests_across, "a bigint, b bigint")
 
 
 def _by_node(rows: DataFrame) -> DataFrame:
@@ -219,19 +267,29 @@ def _sketches(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(table: pa.Table, apart: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Of each node, the spanning forest of its NEAR pairs, the most alike first."""
+    nodes, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
+    i, j, same = _near_pairs(nodes, _sketches(table), apart)
+    order = np.argsort(-same, kind="stable")
+    trees, held = Union(), []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if trees.join(x, y):
+            held.append((x, y))
+    if held:
+        x, y = np.array(held).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _whole_nodes(batches):
-        nodes, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
-        i, j, same = _near_pairs(nodes, _sketches(table))
-        order = np.argsort(-same, kind="stable")
-        trees, held = Union(), []
-        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            if trees.join(x, y):
-                held.append((x, y))
-        if held:
-            x, y = np.array(held).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
+        yield from _forest(table, None)
+
+
+def _forests_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _forests, between different labels."""
+    for table in _whole_nodes(batches):
+        yield from _forest(table, table.column("label").to_numpy())
 
 
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,19 +341,40 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
-def find_components(docs: DataFrame) -> DataFrame:
+def _told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """signed with `doc` (its id) and an `id` for each text, and the docs of several rows, if there are any.
+
+    The text with the least digest keeps the doc's id, the others get ids above all docs.
+    """
+    several = stash(signed.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count("*").alias("n")).filter("n > 1"), "several")
+    n = several.count()
+    if not n:
+        return signed.withColumn("doc", F.col("id")), None
+    top = signed.agg(F.max("id")).first()[0]
+    texts = keyed_join(signed, several.filter("least <> most").select("id", "least"), "id", n).filter("digest <> least").select("id", "digest").distinct()
+    texts = stash(texts, "texts")
+    if top > 1 << 62 and texts.limit(1).count():
+        raise ValueError("no room above the largest doc_id for further texts of repeated ids")
+    new = stash(texts.withColumn("made", F.lit(top + 1) + F.monotonically_increasing_id()), "new")
+    told = signed.join(new, ["id", "digest"], "left")
+    return told.withColumn("doc", F.col("id")).withColumn("id", F.coalesce("made", "id")).drop("made"), several.select(F.col("id").alias("doc"))
+
+
+def find_components(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
-    signed = stash(signatures(docs), "signatures")
+    trees = trees_for(target_recall)
+    signed, several = _told_apart(stash(signatures(docs, trees), "signatures"))
     digests = signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     repeated = stash(digests.filter("n > 1").select("digest", "first"), "repeated")
     n_repeated = repeated.count()
     placed = keyed_join(signed, repeated, "digest", n_repeated, "left").withColumn("first", F.coalesce("first", "id"))
-    members = stash(placed.filter("digest is not null and id = first").select("id", "roots", "sketch"), "members")
+    members = placed.filter("digest is not null and id = first").select("id", "roots", "sketch")
+    members = stash(members.dropDuplicates(["id"]) if several is not None else members, "members")
 
-    leaves, edges = chosen_paths(members)
+    leaves, edges = chosen_paths(members, trees)
     sketched = leaves.join(members.select("id", "sketch"), "id")
     forests = _by_node(sketched.select("node", "id", "sketch")).mapInArrow(_forests, "a bigint, b bigint")
-    pairs = stash((forests.union(edges) if edges is not None else forests).filter("a <> b").distinct(), "pairs")
+    pairs = stash(reduce(DataFrame.union, edges, forests).filter("a <> b").distinct(), "pairs")
 
     wanted = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
     keyed = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
@@ -306,6 +385,9 @@ def find_components(docs: DataFrame) -> DataFrame:
     decided = stash(decided, "decided")
     linked = decided.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     n_pairs = decided.count()
+    if several is not None:  # the texts of one document hang together
+        own = stash(keyed_join(placed, several, "doc", several.count()).select(F.col("doc").alias("u"), F.col("first").alias("v")).distinct(), "same")
+        linked, n_pairs = linked.union(own), n_pairs + own.count()
     first = stash(components(linked, n_pairs), "first")
 
     # A refused pair may have stood for others of its node: compare its components' members anew.
@@ -328,10 +410,10 @@ def find_components(docs: DataFrame) -> DataFrame:
         final = first.union(across.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(first, "id", "left_anti").select("id", F.col("id").alias("component")))
         final = final.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
     final = stash(final, "components").select(F.col("id").alias("first"), "component")
-    result = keyed_join(placed.select("id", "n_shingles", "first"), final, "first", final.count(), "left")
+    result = keyed_join(placed.select("doc", "n_shingles", "first"), final, "first", final.count(), "left")
     component = F.coalesce("component", "first")
     shown = lambda c: F.when(c != _LOWEST, c)
-    return result.select(shown(F.col("id")).alias("doc_id"), "n_shingles", shown(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    return result.select(shown(F.col("doc")).alias("doc_id"), "n_shingles", shown(component).alias("component_id"), (F.col("doc") == component).alias("kept"))
 
 
 def keep_firsts(docs: DataFrame) -> DataFrame:
