@@ -349,7 +349,6 @@ def fold(doc_id: Column) -> Column:
 class LanguageModel:
     """What scoring broadcasts; each array has a fixed bound."""
 
-    words: list[bytes]
     counts: np.ndarray
     symbols: SymbolModel
     coder: Coder
@@ -368,6 +367,11 @@ class LanguageModel:
     share: float = 0.0
     rare_tokens: int = 0
 
+    @property
+    def words(self) -> list[bytes]:
+        """The frequent words, in the order of their symbols."""
+        return self.coder.words.to_pylist()
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.tokens + self.kinds + 1))
 
@@ -422,7 +426,7 @@ def _passage_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _blocks(tables: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Numbered blocks of BLOCK counts, but for empty ones."""
-    blocks = tables.astype("<f4").reshape(-1, BLOCK)
+    blocks = np.asarray(tables, "<f4").reshape(-1, BLOCK)
     held = np.flatnonzero(blocks.any(1))
     for begin in range(0, len(held), 64):
         part = held[begin : begin + 64]
@@ -433,12 +437,11 @@ def _context_counts(shared):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of how often each slot of the symbols' contexts has seen a zero and a one in a task's texts."""
         coder: Coder = shared.value
-        known = coder.known()
         tables = np.zeros((CONTEXTS, 2 << coder.bits), np.float32)
         for batch in batches:
             texts = column(batch, "text")
             for at, n in text_slices(texts, 1 << 20):
-                _, _, t = tokens_of(coder, texts.slice(at, n), known)
+                _, _, t = tokens_of(coder, texts.slice(at, n))
                 for _, _, decisions in coder.runs(t):
                     for k in range(CONTEXTS):
                         np.add.at(tables[k], 2 * decisions.slots(k) + decisions.bit, np.float32(1))
@@ -447,21 +450,15 @@ def _context_counts(shared):
     return counted
 
 
-def _histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = [np.frombuffer(c.as_buffer(), "<f4").reshape(-1, 2) for c in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([histories(c[:, 0], c[:, 1]).tobytes() for c in counts], pa.binary())], names=["block", "histories"])
-
-
 def _symbol_trainer(shared):
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The weights that a task's texts teach one after another, and what they refine."""
         coder, table = shared.value
-        known, mixer, seen, step = coder.known(), symbol_mixer(), 0.0, 0
+        mixer, seen, step = symbol_mixer(), 0.0, 0
         for batch in batches:
             texts = column(batch, "text")
             for at, n in text_slices(texts, 1 << 20):
-                _, _, t = tokens_of(coder, texts.slice(at, n), known)
+                _, _, t = tokens_of(coder, texts.slice(at, n))
                 for _, _, decisions in coder.runs(t):
                     odds, gate, cell = decisions.inputs(table)
                     bit = decisions.bit.astype(float)
@@ -500,18 +497,26 @@ def _spelling_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield from _blocks(tables)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block, from rows that are sorted by block."""
-    held, total = None, None
-    for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if block != held:
-                if held is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
-                held, total = block, np.zeros(BLOCK, "<f4")
-            total = total + np.frombuffer(counts.as_buffer(), "<f4")
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+def _summer(to_histories: bool):
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each block, from rows that are sorted by block: the sums of its counts, or the histories of its slots."""
+        held, total = None, None
+
+        def row() -> pa.RecordBatch:
+            data = histories(total[0::2], total[1::2]) if to_histories else total
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["block", "counts"])
+
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != held:
+                    if held is not None:
+                        yield row()
+                    held, total = block, np.zeros(BLOCK, "<f4")
+                total = total + np.frombuffer(counts.as_buffer(), "<f4")
+        if held is not None:
+            yield row()
+
+    return summed
 
 
 def _mixer_trainer(shared):
@@ -566,15 +571,15 @@ def _taught(mixer: Mixer, lessons: DataFrame) -> Mixer:
 _LESSON = "seen double, weights binary, hits binary"
 
 
-def _summed_blocks(blocks: DataFrame, cores: int) -> DataFrame:
-    return blocks.repartition(max(1, min(cores, 64)), "block").sortWithinPartitions("block").mapInArrow(_summed, "block int, counts binary")
+def _summed_blocks(blocks: DataFrame, cores: int, to_histories: bool = False) -> DataFrame:
+    return blocks.repartition(max(1, min(cores, 64)), "block").sortWithinPartitions("block").mapInArrow(_summer(to_histories), "block int, counts binary")
 
 
-def _history_table(blocks: DataFrame, bits: int) -> np.ndarray:
-    """The histories of all slots, from summed blocks: a byte a slot, made in the tasks."""
+def _history_table(blocks: DataFrame, bits: int, cores: int) -> np.ndarray:
+    """The histories of all slots, from blocks of counts: a byte a slot, made in the tasks."""
     table = np.full((CONTEXTS << bits) * 2 // BLOCK * (BLOCK // 2), histories(np.zeros(1), np.zeros(1))[0], np.uint8).reshape(-1, BLOCK // 2)
-    found = blocks.mapInArrow(_histories, "block int, histories binary").toArrow()
-    for block, h in zip(found.column("block").to_pylist(), found.column("histories"), strict=True):
+    found = _summed_blocks(blocks, cores, True).toArrow()
+    for block, h in zip(found.column("block").to_pylist(), found.column("counts"), strict=True):
         table[block] = np.frombuffer(h.as_buffer(), np.uint8)
     return table.reshape(CONTEXTS, -1)
 
@@ -584,14 +589,18 @@ def fit_symbols(texts: DataFrame, coder: Coder, cores: int) -> tuple[np.ndarray,
 
     One task a core counts, as each holds a table of all slots; the tables are summed block by block.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(coder)
+    sc = texts.sparkSession.sparkContext
+    shared = sc.broadcast(coder)
     counted = lambda some: some.select("text").coalesce(cores).mapInArrow(_context_counts(shared), "block int, counts binary")
     blocks = stash(_summed_blocks(counted(texts.filter(~F.col("fold").isin(2, 6))), cores), "contexts")
-    lesson = texts.sparkSession.sparkContext.broadcast((coder, _history_table(blocks, coder.bits)))
+    lesson = sc.broadcast((coder, _history_table(blocks, coder.bits, cores)))
     lessons = texts.filter("fold = 6").select("text").coalesce(cores).mapInArrow(_symbol_trainer(lesson), _LESSON)
     mixer = _taught(symbol_mixer(), lessons)
+    lesson.unpersist()  # workers let go of it
     # what the weights were taught on is counted as well from here on
-    return _history_table(_summed_blocks(blocks.union(counted(texts.filter("fold = 6"))), cores), coder.bits), mixer
+    table = _history_table(blocks.union(counted(texts.filter("fold = 6"))), coder.bits, cores)
+    shared.unpersist()
+    return table, mixer
 
 
 def _slot_counts(words: DataFrame, cores: int) -> np.ndarray:
@@ -664,7 +673,7 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     symbols = SymbolModel.fit(folds[0], folds[1])
     tokens = int(sums["c"] or 0) + end_a + end_b
     n_symbols = FIRST_WORD + len(known)
-    coder = Coder(known, classes[:n_symbols], PrefixCode.of(symbols.table[:, :n_symbols]), slot_bits(tokens))
+    coder = Coder(pa.array(known, pa.binary()), classes[:n_symbols], PrefixCode.of(symbols.table[:, :n_symbols]), slot_bits(tokens))
     table, mixer = fit_symbols(rows, coder, cores)
 
     path = stash_at(rows.mapInArrow(_passage_counts, "passage bigint, a int, b int, h int").groupBy("passage").agg(*(F.sum(c).alias(c) for c in "abh")), "passages")
@@ -678,18 +687,20 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     lessons = words.filter("a = 0 and b > 0").select("word", "cls").coalesce(cores)
     _taught(spelling.mixer, lessons.mapInArrow(_mixer_trainer(shared), _LESSON))
     rare = words.filter(~is_frequent)
+    shared.unpersist()
     in_rare = rare.agg(F.sum("a").alias("a"), F.sum("c").alias("c")).first()
     shared = spark.sparkContext.broadcast(spelling)
     judged = rare.filter("b > 0").select("word", "cls", "a", "b").coalesce(cores).mapInArrow(_share_judge(shared, int(in_rare["a"] or 0)), "place int, gain double")
     gains = np.zeros(len(SHARES))
     for r in judged.groupBy("place").agg(F.sum("gain").alias("gain")).collect():
         gains[r["place"]] = r["gain"]
+    shared.unpersist()
     share = float(SHARES[gains.argmax()]) if in_rare["a"] else 0.0
     tables += _slot_counts(words.filter("a = 0 and b > 0"), cores)
     taught_mixer, spelling = spelling.mixer, ByteModel.of(tables[0], tables[1])
     spelling.mixer = taught_mixer
     counts = frequent.column("c").to_numpy()[order].astype(np.int64)
-    model = LanguageModel(known, counts, symbols, coder, table, mixer, spelling, end_a + end_b, tokens, int(sums["kinds"] or 0) + (end_a + end_b > 0), path, int(told_passages["n"] or 0), known_share, share, int(in_rare["c"] or 0))
+    model = LanguageModel(counts, symbols, coder, table, mixer, spelling, end_a + end_b, tokens, int(sums["kinds"] or 0) + (end_a + end_b > 0), path, int(told_passages["n"] or 0), known_share, share, int(in_rare["c"] or 0))
     return model, words.select("word", "c")
 
 
@@ -726,13 +737,13 @@ def _first_pass(shared, own: bool):
         whether it is known, and how likely the words are, is told by the joins.
         """
         m: LanguageModel = shared.value
-        known, base = m.coder.known(), m.base(m.counts)
+        base = m.base(m.counts)
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
             texts, ids, rows, fold_ = column(batch, "text"), get("doc_id"), get("row").to_numpy(zero_copy_only=False), _fold_places(batch)
             for at, n in text_slices(texts, 1 << 20):
                 part, row, held_out = texts.slice(at, n), rows[at : at + n], fold_[at : at + n] == 2
-                w, symbol, t = tokens_of(m.coder, part, known)
+                w, symbol, t = tokens_of(m.coder, part)
                 vocab = w.vocab.cast(pa.binary())
                 place, value = symbol - FIRST_WORD, np.zeros(len(symbol))
                 frequent = place >= 0

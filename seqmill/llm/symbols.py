@@ -139,14 +139,12 @@ def states_before(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Coder:
     """Frequent words as symbols, with the state that each speaks for, and their code."""
 
-    words: list[bytes]
+    #: binary, in the order of their symbols
+    words: pa.Array
     classes: np.ndarray
     code: PrefixCode
     bits: int
 
-    def known(self) -> pa.Array:
-        return pa.array(self.words, pa.binary())
-
     def tokens(self, w: Words, symbol: np.ndarray) -> Tokens:
         """symbol: of each word of w.vocab, ESCAPE if it has none."""
         texts = w.n_texts
@@ -223,9 +221,9 @@ def symbols_of(w: Words, known: pa.Array) -> np.ndarray:
     return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64) + FIRST_WORD if len(w.vocab) else np.empty(0, np.int64)
 
 
-def tokens_of(coder: Coder, texts: pa.Array, known: pa.Array) -> tuple[Words, np.ndarray, Tokens]:
+def tokens_of(coder: Coder, texts: pa.Array) -> tuple[Words, np.ndarray, Tokens]:
     """Words, symbols of the vocabulary and tokens of texts without nulls."""
     w = split_words(texts, lower=True)
-    symbol = symbols_of(w, known)
+    symbol = symbols_of(w, coder.words)
     symbol = np.where(symbol < FIRST_WORD, ESCAPE, symbol)
     return w, symbol, coder.tokens(w, symbol)
