@@ -699,6 +699,82 @@ def test_components_against_brute_force(spark, monkeypatch, leaf):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in got.items() if c == i)
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(30)) for k in "abcdefg"]
+    rows = [(1, 0), (2, 1), (3, 0), (3, 1), (4, 2), (4, 2), (5, 3), (6, 4), (6, 5), (7, 5), (8, None), (8, 3), (0, 6), (9, 6), (9, 2)]
+    docs = documents(spark, [None if t is None else texts[t] for _, t in rows], [i for i, _ in rows])
+    got = {(r.doc_id, r.component_id) for r in near_dedup.find_components(docs.repartition(4)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 0), (5, 5), (6, 6), (7, 6), (8, 5), (0, 0), (9, 0)}
+    assert near_dedup.find_components(docs).count() == len(rows)
+    kept = sorted(r.doc_id for r in near_dedup.keep_firsts(docs).collect())
+    assert kept == [0, 1, 5, 6, 6]
+
+
+def indexed_components(ids, texts):
+    """As brute_components, over an index of shingles, for thousands of documents."""
+    sets, held = {}, defaultdict(list)
+    for i, t in zip(ids, texts, strict=True):
+        w = t.split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    for i, x in sets.items():
+        for g in x:
+            held[g].append(i)
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, x in sets.items():
+        for j, n in Counter(j for g in x for j in held[g] if j < i).items():
+            if root(i) != root(j) and 100 * n >= 75 * (len(x) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("leaf", [1500, 12])
+def test_recall_on_thousands_of_documents(spark, monkeypatch, leaf):
+    """5,000 documents in groups of one to hundreds at all likenesses, some near the threshold: no component differs in 99 of 100."""
+    monkeypatch.setattr(near_dedup, "LEAF", leaf)
+    rng = random.Random(16)
+    texts = []
+    while len(texts) < 5000:
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(30, 90))]
+        for _ in range(min(rng.choice([1, 1, 1, 2, 3, 8, 40, 200]), 5000 - len(texts))):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 25))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    ids = rng.sample(range(10**6), len(texts))
+    want = indexed_components(ids, texts)
+    got = {r.doc_id: r.component_id for r in near_dedup.find_components(documents(spark, texts, ids)).collect()}
+    same = sum(got[i] == c for i, c in want.items())
+    assert same >= 0.99 * len(ids), same
+
+
+def test_large_groups_of_two_variants_end(spark, monkeypatch):
+    """Two variants of a text, unlike each other but for a few between them, in nodes far over LEAF."""
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    rng = random.Random(17)
+    common = [f"c{i}" for i in range(170)]
+    first, second = ([*common, *(f"{k}{i}" for i in range(40))] for k in "ab")
+    texts = []
+    for n in range(160):
+        words = list(first if n % 2 else second)
+        words[rng.randrange(170)] = f"serial{n}"
+        texts.append(" ".join(words))
+    texts.append(" ".join([*common, *(f"a{i}" for i in range(20)), *(f"b{i}" for i in range(20, 40))]))
+    want = indexed_components(range(len(texts)), texts)
+    got = {r.doc_id: r.component_id for r in near_dedup.find_components(documents(spark, texts)).collect()}
+    assert got == want
+
+
+def test_trees_follow_the_recall():
+    assert [near_dedup.trees_for(x) for x in (0.75, 0.9, 0.99, near_dedup.TARGET_RECALL, 1.0)] == [1, 2, 4, 12, 25]
+
+
 def test_null_ids(spark):
     got = near_dedup.find_components(documents(spark, ["a b c d e f", "A b c d e f", "z"], [None, 4, 5])).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in got) == [(False, 4, None, False), (False, 5, 5, True), (True, 0, None, True)]
