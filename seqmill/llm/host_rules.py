@@ -1,17 +1,22 @@
 """Host-level quality rules: rule failures by host, shrunk with an empirical beta prior.
 
-Every document is held against plain rules. The failures are counted for each host, the
-host's failure rate is shrunk towards the rate of all hosts by a beta prior that is fitted
-to the hosts by the method of moments, and a host whose shrunk rate reaches `max_rate` is
-rejected with all its documents. Documents that fail a rule themselves are rejected anyway.
+Every document is held against plain rules: the base rules, which reject it by itself, and rules on
+symbols, repeated lines and the length of words. The documents that fail any rule are counted for
+each host, the host's failure rate is shrunk towards the rate of all hosts by a beta prior that is
+fitted to the hosts by the method of moments, and a host is rejected with all its documents if its
+shrunk rate reaches `max_rate`, or stands out: by `OUTLYING` standard deviations of the prior and at
+least twice the prior's mean. Documents that fail a base rule are rejected anyway.
 
 Cases: a null text has no words and fails; a null host counts as the empty host; repeated
-rows are judged one by one; an empty table gives an empty result; other columns are ignored.
+rows are judged one by one; equal rates get equal verdicts; very long texts are counted whole, one
+such text at a time; an empty table gives an empty result; other columns, whatever their names, are
+ignored by judge() and handed on by keep_good().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,8 @@ from .common import bounded, column, keyed_join, stash, text_slices
 from .words import mixed, split_words, windows
 
 WINDOW = 5
+#: Standard deviations of the prior by which a host stands out.
+OUTLYING = 4
 SYMBOLS = "[#*$%&|<>]"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -77,18 +84,25 @@ def rule_table(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def failed_rules(n_words: Column, n_repeat_words: Column) -> Column:
-    """Fewer than ten words, or over a fifth of the words in repeated windows."""
+    """The base rules: fewer than ten words, or over a fifth of the words in repeated windows."""
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
+def failed_any(count: Callable[[str], Column]) -> Column:
+    """The base rules, symbols for over a tenth of the words, repeated lines for over a twentieth, or words of under 3 or over 12 characters on average."""
+    n = count("n_words")
+    base = failed_rules(n, count("n_repeat_words"))
+    return base | (10 * count("n_symbols") > n) | (20 * count("n_dup_lines") > n) | (count("word_chars") < 3 * n) | (count("word_chars") > 12 * n)
+
+
 def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """host, documents, failures, rate, host_rejected from rows with host and base_failed.
+    """host, documents, failures, rate, host_rejected from rows with host and failed.
 
     Prior: with m the failure rate of all documents, s2 the variance of the hosts' rates about
     m (each host weighs its documents) and e the part of it that chance explains, the between-
     host variance v = max(s2 - e, 1e-6) gives a + b = m (1 - m) / v - 1, held within 1 and 1e6.
     """
-    hosts = judged.groupBy("host").agg(F.count("*").alias("documents"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
+    hosts = judged.groupBy("host").agg(F.count("*").alias("documents"), F.sum(F.col("failed").cast("long")).alias("failures"))
     hosts = stash(hosts, "hosts")
     n, f = F.col("documents"), F.col("failures")
     sums = hosts.agg(F.count("*").alias("h"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("q")).first()
@@ -98,7 +112,8 @@ def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
     between = max(sums["q"] / sums["n"] - m * m - m * (1 - m) * (sums["h"] - 1) / sums["n"], 1e-6)
     weight = min(max(m * (1 - m) / between - 1, 1.0), 1e6)
     rate = (F.lit(weight * m) + f) / (F.lit(weight) + n)
-    return hosts.select("host", "documents", "failures", rate.alias("rate"), (rate >= max_rate).alias("host_rejected"))
+    outlying = max(m + OUTLYING * math.sqrt(m * (1 - m) / (weight + 1)), 2 * m)
+    return hosts.select("host", "documents", "failures", rate.alias("rate"), (rate >= min(max_rate, outlying) if m else F.lit(False)).alias("host_rejected"))
 
 
 def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
@@ -108,27 +123,29 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataF
     documents meet without their texts. Hosts are counted with partial sums, and joined by
     broadcast if they are few, else salted.
     """
-    judged = stash(rule_table(docs, host).withColumn("base_failed", failed_rules(F.col("n_words"), F.col("n_repeat_words"))), "rules")
+    counted = rule_table(docs, host).withColumn("base_failed", failed_rules(F.col("n_words"), F.col("n_repeat_words")))
+    judged = stash(counted.withColumn("failed", failed_any(F.col)), "rules")
     verdicts = host_verdicts(judged, max_rate).select("host", "rate", "host_rejected")
     joined = keyed_join(judged, verdicts, "host", verdicts.count())
-    return joined.withColumn("kept", ~(F.col("base_failed") | F.col("host_rejected")))
+    return joined.withColumn("kept", ~(F.col("base_failed") | F.col("host_rejected"))).drop("failed")
 
 
-@F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_repeat_words", T.LongType())]))
-def _main_counts(texts: pa.Array) -> pa.Array:
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def _all_counts(texts: pa.Array) -> pa.Array:
     texts = pc.fill_null(texts, "")
     parts = [rule_counts(texts.slice(at, n)) for at, n in text_slices(texts)]
-    names = ["n_words", "n_repeat_words"]
-    return pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in names], names=names)
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]) if parts else [], pa.int64()) for c in COUNTS], names=COUNTS)
 
 
 def keep_good(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
-    """The rows of docs that pass, with docs' columns: the filter form of judge()."""
-    counted = bounded(docs).withColumn("__rules", _main_counts(F.col("text").cast("string")))
-    key = F.coalesce(F.col(host).cast("string"), F.lit(""))
-    failed = failed_rules(F.col("__rules.n_words"), F.col("__rules.n_repeat_words"))
-    verdicts = host_verdicts(counted.select(key.alias("host"), failed.alias("base_failed")), max_rate)
-    bad = verdicts.filter("host_rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
-    good = counted.filter(~failed).withColumn("__host", key)
-    joined = keyed_join(good, bad, "__host", bad.count(), "left")
-    return joined.filter(F.col("__bad").isNull()).select([F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that pass, with docs' columns: the filter form of judge().
+
+    The rules are counted once: each row is written with its two verdicts, inside a struct, so that
+    no name clashes; the hosts are counted from those columns alone.
+    """
+    counted = bounded(docs).select(F.struct("*").alias("doc"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), _all_counts(F.col("text").cast("string")).alias("counts"))
+    count = lambda c: F.col(f"counts.{c}")
+    judged = stash(counted.select("doc", "host", failed_rules(count("n_words"), count("n_repeat_words")).alias("base_failed"), failed_any(count).alias("failed")), "judged")
+    verdicts = host_verdicts(judged.select("host", "failed"), max_rate)
+    bad = verdicts.filter("host_rejected").select("host")
+    return keyed_join(judged.filter("not base_failed"), bad, "host", bad.count(), "left_anti").select("doc.*")

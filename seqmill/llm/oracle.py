@@ -26,12 +26,13 @@ lines as (select r, count(*) - count(distinct l) as n_dup_lines from (select r,
 counted as (select w.r, doc_id, host, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
   from w left join covered using (r) left join lines using (r)),
-judged as (select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed from counted),
-hosts as (select host, count(*)::double as n, sum(base_failed::int)::double as f from judged group by host),
+base as (select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed from counted),
+judged as (select *, base_failed or 10 * n_symbols > n_words or 20 * n_dup_lines > n_words or word_chars < 3 * n_words or word_chars > 12 * n_words as failed from base),
+hosts as (select host, count(*)::double as n, sum(failed::int)::double as f from judged group by host),
 sums as (select count(*)::double as h, sum(n) as n, sum(f) as f, sum(f * f / n) as q from hosts),
 fitted as (select f / n as m, greatest(q / n - (f / n) * (f / n) - (f / n) * (1 - f / n) * (h - 1) / n, 1e-6) as v from sums),
 prior as (select m, least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) as k from fitted),
-verdicts as (select host, (k * m + f) / (k + n) >= 0.5 as bad from hosts, prior)
+verdicts as (select host, m > 0 and (k * m + f) / (k + n) >= least(0.5, greatest(m + 4 * sqrt(m * (1 - m) / (k + 1)), 2 * m)) as bad from hosts, prior)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or bad) as kept from judged join verdicts using (host)
 """
 
