@@ -8,9 +8,11 @@ posteriors of a bounded sample of labelled documents, and scores all documents.
 
 Bad means junk or abuse. Cases: a null or empty text has no words, so no labeller fires and
 the score is that of the bias; labels without a document count for nothing, of repeated labels
-the worst holds, null labels are no labels; rows with one doc_id are scored one by one; ties
-do not arise; without any labelled document the posteriors come from the labellers alone, and
-the scorer is trained on a sample of all documents; an empty table gives an empty result.
+the worst holds, null labels are no labels; rows with one doc_id are scored one by one, and the least
+of their texts teaches; documents with a null doc_id have no label; ties of the sample's hash are cut
+by doc_id; without any label the posteriors come from the labellers alone, and the scorer is trained
+on a sample of all documents; very long texts are read whole; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,10 +101,11 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit_labellers(votes: np.ndarray, given: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
+def fit_labellers(votes: np.ndarray, given: np.ndarray, counts: np.ndarray, rounds: int = 100, trust: float = 100) -> LabelModel:
     """Expectation-maximisation over patterns (votes, given) and their counts.
 
-    Given labels start as right 99 times in 100, which counts as much as a thousand documents.
+    Given labels start as right 19 times in 20, which counts as much as `trust` documents; beyond
+    that their accuracy is what the labellers say of them.
     """
     model = LabelModel(0.2, np.array([[0.01, 0.3]] * len(LABELLERS)), np.array([0.95, 0.9]))
     if not counts.sum():
@@ -114,7 +117,7 @@ def fit_labellers(votes: np.ndarray, given: np.ndarray, counts: np.ndarray, roun
         on = (votes[:, None] >> np.arange(len(LABELLERS)) & 1).astype(float)
         rates = np.stack([(good @ on + 0.1) / (good.sum() + 10), (bad @ on + 1) / (bad.sum() + 5)], axis=1)
         known = [(given == 0) @ good, (given >= 0) @ good, (given == 1) @ bad, (given >= 0) @ bad]
-        accuracy = np.array([(known[0] + 990) / (known[1] + 1000), (known[2] + 990) / (known[3] + 1000)])
+        accuracy = np.array([(known[0] + 0.95 * trust) / (known[1] + trust), (known[2] + 0.95 * trust) / (known[3] + trust)])
         model = LabelModel(float(keep((bad.sum() + 1) / (counts.sum() + 5))), keep(rates), keep(accuracy))
     return model
 
@@ -179,7 +182,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, slot = features(w, votes)
             bounds = np.searchsorted(text, np.arange(w.n_texts + 1))
             held = [slot[a:b].astype("<i4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int64()), part.column(part.schema.get_field_index("given")), pa.array(held, pa.binary())], names=["votes", "given", "slots"])
+            own = [part.column(part.schema.get_field_index(c)) for c in ("place", "doc_id", "given")]
+            yield pa.RecordBatch.from_arrays([*own[:2], pa.array(votes, pa.int64()), own[2], pa.array(held, pa.binary())], names=["place", "doc_id", "votes", "given", "slots"])
 
 
 @dataclass
@@ -189,25 +193,27 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Classifier:
-    """Labellers from all documents, the scorer from at most max_rows labelled ones.
+    """Labellers from all documents, the scorer from at most max_rows labelled ones, or of all if none is.
 
     The driver gets one row for each joint pattern of votes (at most 2^5 x 3) and the hashed
     features of the sample.
     """
     given = stash(given_labels(labels), "given")
     voted = _slim(docs).mapInArrow(_voted, "doc_id bigint, votes bigint")
-    patterns = voted.join(given, "doc_id", "left").groupBy("votes", F.coalesce("given", F.lit(-1)).alias("given")).agg(F.count("*").alias("n")).toArrow()
+    # rows of one id and pattern, null ids too, are one row by the time they meet their label
+    alike = voted.groupBy("doc_id", "votes").agg(F.count("*").alias("n"))
+    patterns = alike.join(given, "doc_id", "left").groupBy("votes", F.coalesce("given", F.lit(-1)).alias("given")).agg(F.sum("n").alias("n")).toArrow()
     columns = [patterns.column(c).to_numpy().astype(np.int64) for c in ("votes", "given", "n")]
     model = fit_labellers(columns[0], columns[1], columns[2].astype(float))
 
-    n = given.count()
-    place = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20))
-    if n:
-        chosen = F.broadcast(given.filter(place <= max_rows / n * (1 << 20)).limit(max_rows))
-        sample = _slim(docs).join(chosen, "doc_id")
-    else:
-        sample = _slim(docs).withColumn("given", F.lit(-1)).filter(place <= max_rows / max(1, int(columns[2].sum())) * (1 << 20))
-    rows = sample.mapInArrow(_featured, "votes bigint, given int, slots binary").limit(max_rows).toArrow()
+    # the least by hash, so the sample depends on the tables alone; without labels, of all documents
+    slim = _slim(docs)
+    ids = given if given.limit(1).count() else slim.select("doc_id").filter("doc_id is not null").distinct().withColumn("given", F.lit(-1))
+    chosen = ids.withColumn("place", F.xxhash64(F.lit(11), "doc_id")).orderBy("place", "doc_id").limit(max_rows)
+    chosen = F.broadcast(stash(chosen, "chosen"))
+    # of rows with one doc_id the least text teaches, so that no id counts twice
+    sample = slim.join(chosen, "doc_id").groupBy("place", "doc_id", "given").agg(F.min("text").alias("text"))
+    rows = sample.mapInArrow(_featured, "place bigint, doc_id bigint, votes bigint, given int, slots binary").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])
     target = model.posterior(rows.column("votes").to_numpy(), rows.column("given").to_numpy()) if rows.num_rows else np.empty(0)
     texts = [np.frombuffer(s.as_buffer(), "<i4") for s in rows.column("slots")]
     return Classifier(model, train_scorer(texts, target))
