@@ -11,7 +11,9 @@ Without a budget, the budget is the least that reads every source whole at least
 
 Tokens are words `[^\\x20\\x09-\\x0D]+`. Cases: a null text has no tokens; a null source is a
 source of its own; documents without tokens come once in every whole pass; rows that are alike
-stay together; ties of shares get the same weight; an empty table gives an empty result.
+stay together; ties of shares get the same weight; an empty table gives an empty result; very long
+texts are one document like others; docs' columns are handed on whatever their names, but for a
+column __mix, which the result's own one replaces.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .common import keyed_join, stash
 
 PROBES = 15
 _WORD = r"[^\x20\x09-\x0D]+"
-#: The null source's name inside.
+#: The null source's name inside; a source whose name begins with it gets it once more.
 _NONE = "\0"
 
 
@@ -43,7 +45,8 @@ class Mix:
 
 
 def _source(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit(_NONE))
+    name = F.col(c).cast("string")
+    return F.when(name.isNull(), _NONE).when(name.startswith(_NONE), F.concat(F.lit(_NONE), name)).otherwise(name)
 
 
 def _place(mix: Mix) -> Column:
@@ -153,21 +156,31 @@ def realise(docs: DataFrame, plan: DataFrame, mix: Mix, source: str = "source")
 
     block and order put the passes of all sources together; sorting by them gives the mixture.
     """
-    placed = docs.withColumn("__source", _source(source)).withColumn("__place", F.xxhash64(F.lit(mix.seed), F.col("doc_id"), F.col("text")))
-    small = plan.select(F.col("source").alias("__source"), F.struct("weight", "epochs", "passes", "cut").alias("__plan"))
-    joined = keyed_join(placed, small, "__source", plan.count())
-    plan_ = F.col("__plan")
-    last = F.when(F.col("__place") <= plan_["cut"], plan_["passes"]).otherwise(plan_["passes"] - 1)
+    names = [F.col(f"`{c}`") for c in docs.columns if c != "__mix"]
+    placed = docs.select(F.struct(*names).alias("doc"), _source(source).alias("source"), _place(mix).alias("place"))
+    small = plan.select("source", F.struct("weight", "epochs", "passes", "cut").alias("plan"))
+    joined = keyed_join(placed, small, "source", plan.count())
+    plan_, place = F.col("plan"), F.col("place")
+    last = F.when(place <= plan_["cut"], plan_["passes"]).otherwise(plan_["passes"] - 1)
     passes = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    rows = joined.withColumn("__pass", F.explode(passes))
-    unit = F.pmod(F.xxhash64(F.lit(mix.seed), "__pass", "__place"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    size = F.least(F.lit(1.0), plan_["epochs"] - F.col("__pass"))
-    at = F.least((F.col("__pass") + unit * size) / plan_["epochs"], F.lit(1.0))
+    rows = joined.withColumn("pass", F.explode(passes))
+    unit = F.pmod(F.xxhash64(F.lit(mix.seed), "pass", "place"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    size = F.least(F.lit(1.0), plan_["epochs"] - F.col("pass"))
+    at = F.least((F.col("pass") + unit * size) / plan_["epochs"], F.lit(1.0))
     block = F.least(F.floor(at * mix.blocks), F.lit(mix.blocks - 1)).cast("int")
-    made = F.struct(plan_["weight"].alias("weight"), F.col("__pass").alias("pass"), block.alias("block"), F.xxhash64(F.lit(mix.seed), block, "__pass", "__place").alias("order"))
-    return rows.withColumn("__mix", made).select([F.col(f"`{c}`") for c in docs.columns] + ["__mix"])
+    made = F.struct(plan_["weight"].alias("weight"), F.col("pass").alias("pass"), block.alias("block"), F.xxhash64(F.lit(mix.seed), block, "pass", "place").alias("order"))
+    return rows.select("doc", made.alias("__mix")).select("doc.*", "__mix")
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), source: str = "source") -> DataFrame:
     """The mixture of docs: see realise()."""
     return realise(docs, plan_sources(slim_table(docs, mix, source), mix), mix, source)
+
+
+def in_order(mixed: DataFrame, blocks: int) -> DataFrame:
+    """The mixture with its rows in place: one task, hence one file, a block, sorted inside; without __mix.
+
+    Blocks hold all sources in proportion and are alike in size, so they are dealt by their number.
+    """
+    dealt = mixed.repartitionById(blocks, F.col("__mix.block")).sortWithinPartitions("__mix.order", "__mix.pass")
+    return dealt.drop("__mix")

@@ -419,6 +419,6 @@ def find_components(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
 def keep_firsts(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their component, with docs' columns."""
     found = stash(find_components(docs), "classes")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    return keyed_join(keyed, gone, "__id", gone.count(), "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    gone = found.filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    return keyed_join(keyed, gone, "id", gone.count(), "left_anti").select("doc.*")
