@@ -580,9 +580,72 @@ def test_a_bad_host_goes_with_its_documents(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(60, 160))
 
 
+def test_hosts_of_symbols_and_hosts_that_stand_out(spark):
+    rng = random.Random(18)
+    junk = lambda: " ".join(f"{prose(rng, 1)} #$%" for _ in range(20))
+    rows = [(f"h{i}", junk() if rng.random() < 0.05 else prose(rng, 30)) for i in range(30) for _ in range(40)]
+    for bad, share in (("symbols", 10), ("often", 5)):  # over the fixed rate, and under it but far from the others
+        more = [(bad, junk() if i % 10 < share else prose(rng, 30)) for i in range(40)]
+        docs = documents(spark, [t for _, t in rows + more], sources=[h for h, _ in rows + more])
+        judged = host_rules.judge(docs).filter("not base_failed")
+        got = judged.groupBy("host").agg(F.min("kept").alias("low"), F.max("kept").alias("high"), F.max("rate").alias("rate")).collect()
+        assert {r.host for r in got if not r.high} == {bad} and all(r.low for r in got if r.host != bad)
+    assert max(r.rate for r in got) < 0.5
+    clash = docs.withColumnsRenamed({"lang": "counts"}).withColumns({c: F.lit(1) for c in ("doc", "failed", "base_failed")}).withColumn("host", F.lit("h"))
+    kept = host_rules.keep_good(clash)
+    assert kept.columns == clash.columns and kept.count() == judged.filter("host <> 'often'").count() > 1100
+
+
+def test_clashing_columns_and_odd_sources(spark):
+    """Columns of any name are handed on; a null source is none of the sources by name."""
+    texts = ["a b c d"] * 8 + ["e f g h i"] * 4 + ["k l"] * 2
+    docs = documents(spark, texts, sources=[None] * 8 + ["\0"] * 4 + ["\0\0"] * 2)
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(("doc", "source_", "place", "plan", "pass", "__mix", "_salt", "id"))})
+    mix = mixing.Mix(repetition_limit=None, target_entropy=1.0)
+    assert {r.source for r in mixing.plan_sources(mixing.slim_table(docs, mix), mix).collect()} == {"\0", "\0\0", "\0\0\0"}
+    out = mixing.mix_documents(docs, mix)
+    assert sorted(out.columns) == sorted(docs.columns) and {tuple(r)[:3] for r in out.select("doc", "place", "id").collect()} == {(0, 2, 7)}
+    assert near_dedup.keep_firsts(docs).columns == docs.columns and pii.mask_documents(docs).columns == docs.columns
+
+
+def test_mixture_in_order(spark):
+    """Blocks follow each other as files, each with all sources in proportion; two runs give the same order."""
+    rng = random.Random(19)
+    docs = documents(spark, [prose(rng, 10) for _ in range(600)], sources=["x"] * 400 + ["y"] * 200)
+    mix = mixing.Mix(repetition_limit=1.2, blocks=8)
+    mixed_ = mixing.mix_documents(docs.repartition(3), mix)
+    want = [r.doc_id for r in sorted(mixed_.collect(), key=lambda r: (r["__mix"].block, r["__mix"].order, r["__mix"]["pass"]))]
+    got = mixing.in_order(mixed_, 8)
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == want
+    each = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.avg((F.col("source") == "y").cast("int")).alias("y")).collect()
+    assert len(each) == 8 and max(r.n for r in each) < 2 * min(r.n for r in each) and all(0.15 < r.y < 0.65 for r in each)
+
+
 # ---- 8
 
 
+def test_the_sample_depends_on_the_tables_alone(spark):
+    """Neither the layout of the rows nor repeated ids change the scores; a bound on the sample holds."""
+    rng = random.Random(20)
+    texts = [prose(rng, 30) + (" stupid" if i % 3 == 0 else "") for i in range(300)]
+    docs = documents(spark, texts + ["zz stupid idiot"] * 40, [*range(300), *[7] * 20, *[None] * 20])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    one, two = (sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in weak_labels.score(d, weak_labels.fit(d, labels, 50)).collect()) for d in (docs.repartition(5), docs.orderBy(F.desc("text")).coalesce(2)))
+    assert [x[:2] for x in one] == [x[:2] for x in two] and [x[2] for x in one] == pytest.approx([x[2] for x in two], abs=1e-9)
+    assert len(one) == 340
+
+
+def test_the_accuracy_of_given_labels_is_estimated():
+    """Labels that the labellers contradict in one of five cases are found to be that wrong."""
+    rng = np.random.default_rng(1)
+    truth = rng.random(30_000) < 0.3
+    fires = rng.random((30_000, 5)) < np.where(truth[:, None], 0.8, 0.05)
+    given = np.where(rng.random(30_000) < 0.8, truth, ~truth).astype(int)
+    key, counts = np.unique(np.stack([(fires << np.arange(5)).sum(1), given]), axis=1, return_counts=True)
+    model = weak_labels.fit_labellers(key[0], key[1], counts.astype(float))
+    np.testing.assert_allclose(model.given, [0.8, 0.8], atol=0.03)
+
+
 def test_labellers_are_weighed():
     """Simulated labellers with known rates: the fitted rates and posteriors come close."""
     rng = np.random.default_rng(0)
