@@ -38,9 +38,13 @@ def aligned_length(cigar: Column) -> Column:
     return F.aggregate(_ops(cigar), F.lit(0), lambda total, o: total + F.when(o["op"].isin("M", "D", "N", "=", "X"), o["n"]).otherwise(0))
 
 
-def aligned_pairs(cigar: Column, pos: Column) -> Column:
-    """An array of (qpos, refpos) of matched bases; gaps and clips are left out."""
-    start = F.struct(F.lit(0).alias("q"), pos.cast("int").alias("r"), F.array().cast("array<struct<q:int,r:int,n:int>>").alias("runs"))
+def aligned_runs(cigar: Column, pos: Column) -> Column:
+    """An array of (q, r, n): n bases from qpos q on match the reference from r on; gaps and clips are left out.
+
+    One run of matches needs no walk.
+    """
+    nothing = F.array().cast("array<struct<q:int,r:int,n:int>>")
+    start = F.struct(F.lit(0).alias("q"), pos.cast("int").alias("r"), nothing.alias("runs"))
 
     def step(at: Column, o: Column) -> Column:
         both = o["op"].isin("M", "=", "X")
@@ -51,9 +55,15 @@ def aligned_pairs(cigar: Column, pos: Column) -> Column:
             F.when(both & (o["n"] > 0), F.concat(at["runs"], run)).otherwise(at["runs"]).alias("runs"),
         )
 
-    runs = F.aggregate(_ops(cigar), start, step)["runs"]
+    whole = F.regexp_extract(cigar, "^([0-9]+)M$", 1).try_cast("int")
+    simple = F.array(F.struct(F.lit(0).alias("q"), pos.cast("int").alias("r"), whole.alias("n")))
+    return F.when(whole > 0, simple).when(whole == 0, nothing).otherwise(F.aggregate(_ops(cigar), start, step)["runs"])
+
+
+def aligned_pairs(cigar: Column, pos: Column) -> Column:
+    """An array of (qpos, refpos) of matched bases."""
     pair = lambda s: F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda i: F.struct((s["q"] + i).alias("qpos"), (s["r"] + i).alias("refpos")))
-    return F.flatten(F.transform(runs, pair))
+    return F.flatten(F.transform(aligned_runs(cigar, pos), pair))
 
 
 def base_calls(reads: DataFrame, keep: CallFilter = CallFilter(), context_length: int | None = None) -> DataFrame:
@@ -65,15 +75,15 @@ def base_calls(reads: DataFrame, keep: CallFilter = CallFilter(), context_length
     """
     reads = reads.filter((F.col("mapq") >= keep.min_mq) & (F.col("flag").bitwiseAND(keep.skip_flags) == 0))
     reverse = F.col("flag").bitwiseAND(REVERSE) > 0
-    whole = F.col("cigar").rlike("^[0-9]+M$")
-    # one run of matches needs no walk
     n = F.regexp_extract("cigar", "^([0-9]+)M$", 1).try_cast("int")
-    simple = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("qpos"), (F.col("pos") + i).cast("int").alias("refpos")))
-    pairs = F.when(whole, simple).otherwise(aligned_pairs(F.col("cigar"), F.col("pos")))
-    alen = F.when(whole, n).otherwise(aligned_length(F.col("cigar")))
-    calls = reads.select("sample", "chrom", "mapq", "seq", "qual", reverse.alias("is_reverse"), (F.col("flag").bitwiseAND(READ2).cast("boolean").cast("int") + 1).alias("read_num"), alen.alias("alen"), F.explode(pairs).alias("p"))
-    calls = calls.withColumn("bq", F.col("qual")[F.col("p.qpos")]).filter(F.col("bq") >= keep.min_bq)
-    calls = calls.select("sample", "chrom", F.col("p.refpos").alias("refpos"), F.col("p.qpos").alias("qpos"), "is_reverse", "read_num", "mapq", "bq", F.substring("seq", F.col("p.qpos") + 1, F.lit(1)).alias("called"), "seq", "alen")
+    alen = F.when(n.isNotNull(), n).otherwise(aligned_length(F.col("cigar")))
+    read_num = F.col("flag").bitwiseAND(READ2).cast("boolean").cast("int") + 1
+    # first the runs of matches, a few a read, then their positions, so that no struct is made for each call
+    runs = reads.select("sample", "chrom", "mapq", "seq", "qual", reverse.alias("is_reverse"), read_num.alias("read_num"), alen.alias("alen"), F.explode(aligned_runs(F.col("cigar"), F.col("pos"))).alias("run"))
+    calls = runs.select("sample", "chrom", "mapq", "seq", "qual", "is_reverse", "read_num", "alen", F.col("run.q").alias("q"), F.col("run.r").alias("r"), F.explode(F.sequence(F.lit(0), F.col("run.n") - 1)).alias("i"))
+    calls = calls.withColumns({"qpos": F.col("q") + F.col("i"), "refpos": F.col("r") + F.col("i")})
+    calls = calls.withColumn("bq", F.col("qual")[F.col("qpos")]).filter(F.col("bq") >= keep.min_bq)
+    calls = calls.select("sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "bq", F.substring("seq", F.col("qpos") + 1, F.lit(1)).alias("called"), "seq", "alen")
     calls = calls.filter(F.col("called").isin(*bases.BASES))
     if context_length is not None:
         calls = calls.filter(bases.has_context(F.col("qpos"), F.col("alen"), F.col("is_reverse"), context_length))

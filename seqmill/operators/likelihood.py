@@ -33,15 +33,20 @@ def with_phred_probabilities(calls: DataFrame) -> DataFrame:
     return calls.withColumn("p_major", p(F.col("major"))).withColumn("p_minor", p(minor))
 
 
-def grid_likelihood(calls: DataFrame, grid: DataFrame, weight: str = "n") -> DataFrame:
+def grid_likelihood(calls: DataFrame, grid: DataFrame, weight: str = "n", most: int = 256) -> DataFrame:
     """SITE, k, f, lpf, loglik: the sum over calls of weight x log(f p_minor + (1 - f) p_major).
 
-    The grid has a fixed number of rows and is broadcast. A sum is made for each grid point as
-    rows stream by, so only SITE x grid partial sums are shuffled.
+    The grid's rows, `most` at most, become one sum each in a single aggregate by site: calls are neither
+    copied for each point nor joined, partial sums are shuffled, and what follows by site needs no
+    further shuffle. For larger grids see packed_posterior().
     """
-    p = F.col("f") * F.col("p_minor") + (1 - F.col("f")) * F.col("p_major")
-    expanded = calls.select(*SITE, weight, "p_major", "p_minor").join(F.broadcast(grid.select("k", "f", "lpf")), F.lit(True), "inner")
-    return expanded.groupBy(*SITE, "k", "f", "lpf").agg(F.sum(F.col(weight) * F.log(p)).alias("loglik"))
+    points = grid.select("k", "f", "lpf").orderBy("k").limit(most + 1).collect()
+    if len(points) > most:
+        raise ValueError(f"a grid of over {most} points")
+    p = lambda f: F.lit(f) * F.col("p_minor") + F.lit(1 - f) * F.col("p_major")
+    sums = calls.groupBy(*SITE).agg(*(F.sum(F.col(weight) * F.log(p(r["f"]))).alias(f"sum_{i}") for i, r in enumerate(points)))
+    each = [F.struct(F.lit(r["k"]).cast("int").alias("k"), F.lit(r["f"]).alias("f"), F.lit(r["lpf"]).alias("lpf"), F.col(f"sum_{i}").alias("loglik")) for i, r in enumerate(points)]
+    return sums.select(*SITE, F.inline(F.array(*each)))
 
 
 def posterior(likelihood: DataFrame) -> DataFrame:

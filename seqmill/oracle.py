@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqmill.sources.derived_reads import LENGTH, _base
+from seqmill.sources.derived_reads import LENGTH, SIZES, _base
 
 _READS = f"""
 keyed as (select concat('s', cast(l_suppkey % 3 as varchar)) as sample, concat('chr', l_returnflag) as chrom,
@@ -18,6 +18,21 @@ pile as (select chrom, sample, refpos as pos, count(*) filter (letter = 'A') as
 """
 
 
+#: Of each alignment in turn, its runs of matches (query, reference from pos on, bases) and the reference bases that it spans.
+_RUNS = [[(0, 0, 12)], [(5, 0, 7)], [(0, 0, 3), (5, 3, 7)], [(0, 0, 4), (4, 6, 8)], [(0, 0, 3), (3, 13, 9)], [(0, 0, 16)], [(0, 0, 8), (8, 12, 5)], [(1, 0, 3), (5, 3, 2), (7, 8, 5)]]
+_SPANS = [12, 7, 10, 14, 22, 16, 17, 13]
+_VARIED = f"""
+keyed as (select concat('s', cast(l_suppkey % 3 as varchar)) as sample, concat('chr', l_returnflag) as chrom,
+  cast((l_partkey*7 + l_linenumber*3) % 400 as int) as pos, cast(l_orderkey % 2 as int) as is_reverse,
+  cast(1 + l_linenumber % 2 as int) as read_num, cast(l_quantity as int) as mapq, l_orderkey as ok, l_partkey as pk, l_linenumber as ln,
+  cast((l_orderkey + l_partkey) % {len(_RUNS)} as int) as kind from lineitem where l_orderkey % 13 <> 0 and l_orderkey % 17 <> 0 and l_orderkey % 19 <> 0),
+reads as (select *, substr(concat({", ".join(_base(i) if i != 6 else f"case when ok % 11 = 0 then 'N' else {_base(i)} end" for i in range(max(SIZES)))}), 1, {SIZES}[kind + 1]) as seq, {_SPANS}[kind + 1] as alen from keyed),
+runs(kind, q, r, n) as (values {", ".join(f"({k}, {q}, {r}, {n})" for k, runs in enumerate(_RUNS) for q, r, n in runs)}),
+calls as (select *, cast(10 + (ok + qpos*5 + ln*3) % 31 as int) as bq, substr(seq, qpos + 1, 1) as letter, case when is_reverse = 1 then alen - qpos else qpos end as dend
+  from (select * exclude (i), cast(q + i as int) as qpos, cast(pos + r + i as int) as refpos from (select *, unnest(range(n)) as i from reads join runs using (kind))))
+"""
+
+
 def _context(k: int) -> str:
     return f"case when is_reverse = 1 then translate(reverse(substr(seq, qpos + 2, {k})), 'ACGT', 'TGCA') else substr(seq, qpos - {k} + 1, {k}) end"
 
@@ -110,7 +125,11 @@ def sql() -> dict[str, str]:
     per = "chrom, sample, pos"
     norm = lambda c: f"round(({c} - min({c}) over ())::double / (max({c}) over () - min({c}) over ()), 6) as {c}"
     grad = ", ".join(f"{{'outcome': {o}, 'd': n_{b} - (n_a + n_c + n_g + n_t) * exp(lp_{b})}}" for o, b in enumerate("acg"))
+    varied = "with " + _VARIED
+    inside = "case when is_reverse = 1 then qpos < alen - 2 else qpos >= 2 end"
     return {
+        "walked_calls": f"{varied} select chrom, sample, refpos as pos, is_reverse, read_num, {_ORIENTED} as base, {_context(2)} as context, dend, count(*) as n, sum(qpos)::bigint as sum_qpos, sum(bq)::bigint as sum_bq from calls where bq >= 20 and mapq >= 20 and letter <> 'N' and {inside} and not contains({_context(2)}, 'N') group by all",
+        "varied_pileup": f"{varied} select chrom, sample, refpos as pos, " + ", ".join(f"count(*) filter (letter = '{b}') as n_{b.lower()}" for b in "ACGT") + " from calls where bq >= 20 and letter <> 'N' group by 1, 2, 3",
         "base_calls_filtered": f"{base} select sample, chrom, refpos, is_reverse, read_num, {_ORIENTED} as base, {_context(2)} as context, count(*) as n, sum(bq)::bigint as sum_bq, sum(mapq)::bigint as sum_mq from calls where mapq >= 20 and bq >= 20 and {_inside(2)} group by all",
         "complement_bases": f"{base} select distinct seq, translate(seq, 'ACGT', 'TGCA') as complement, translate(substr(seq, 1, 1), 'ACGT', 'TGCA') as first, (instr('ACGT', substr(seq, 1, 1)) - 1)::int as first_index from reads",
         "read_context": f"{base} select {_context(3)} as context, is_reverse, qpos, count(*) as n from calls where {_inside(3)} group by all",
@@ -140,6 +159,6 @@ def sql() -> dict[str, str]:
         "posterior": f"{post} select {per}, k, round(log_joint, 6) as log_joint, round(log_post, 6) as log_post from post",
         "map_frequency": f"{post} select {per}, k as best_k, round(f, 6) as best_freq, round(log_post, 6) as log_post from post qualify row_number() over (partition by {per} order by log_post desc, k) = 1",
         "global_loss": f"{post}, ev as (select {per}, max(top) + ln(sum(exp(log_joint - top))) as e from joint group by 1, 2, 3) select round(-avg(e), 5) as loss, count(*) as sites from ev",
-        "posterior_table": f"{post} select {per}, k, format('{{:.8e}}', round(log_post, 3)) as log_post from post where k < 2",
+        "posterior_table": f"{post} select {per}, k, format('{{:.8e}}', round(log_post, 3)) as log_post from post",
         "posterior_lines": f"{post} select {per}, format('{{:.8e}}', round((list(f order by log_post desc, k))[1], 6)) as best_freq, list(format('{{:.8e}}', round(log_post, 3)) order by k) as log_post from post group by {per}",
     }

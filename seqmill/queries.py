@@ -8,12 +8,13 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqmill.functions import bases, numeric, prior
 from seqmill.jobs import train as training
 from seqmill.operators import likelihood, logit, network, observations, pileup, simulate
-from seqmill.operators.calls import CallFilter, base_calls, with_bins
-from seqmill.sources.derived_reads import SAMPLES, reads_of
+from seqmill.operators.calls import SKIPPED_FLAGS, CallFilter, base_calls, with_bins
+from seqmill.sources.derived_reads import SAMPLES, reads_of, varied_reads_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 SITE = ["chrom", "sample", "pos"]
@@ -207,10 +208,10 @@ def _phred(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = base_calls(reads_of(spark, sf_dir), CallFilter.for_pileup())
     forward = F.when(F.col("is_reverse"), F.translate("base", "ACGT", "TGCA")).otherwise(F.col("base"))
     coarse = calls.groupBy("chrom", "sample", F.col("refpos").alias("pos"), "bq", forward.alias("base")).agg(F.count("*").alias("n"))
-    # the pileup is a further sum of the same rows, so reads are exploded once and that shuffle is used twice
-    counts = [F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(c) for b, c in zip(bases.BASES, pileup.COUNTS, strict=True)]
-    known = coarse.groupBy(*SITE).agg(*counts).select(*SITE, *pileup.alleles())
-    return likelihood.with_phred_probabilities(coarse.join(known, SITE))
+    # the pileup is a further sum of the same rows, so reads are exploded once; sites then stay where they are
+    site = Window.partitionBy(*SITE)
+    counts = [F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).over(site).alias(c) for b, c in zip(bases.BASES, pileup.COUNTS, strict=True)]
+    return likelihood.with_phred_probabilities(coarse.select("*", *counts).select("*", *pileup.alleles()))
 
 
 def _likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +238,7 @@ def global_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posterior_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The posterior as it is written out: numbers in scientific notation."""
     post = likelihood.posterior(_likelihood(spark, sf_dir))
-    return post.filter("k < 2").select(*SITE, "k", numeric.scientific(F.round("log_post", 3)).alias("log_post"))
+    return post.select(*SITE, "k", numeric.scientific(F.round("log_post", 3)).alias("log_post"))
 
 
 def posterior_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,12 +272,23 @@ def trained_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(steps, "step int, loss double, a double, b double, z double")
 
 
+def walked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of reads with indels, clips, skipped stretches, unknown bases, flags and two lengths."""
+    calls = base_calls(varied_reads_of(spark, sf_dir), CallFilter(20, 20, SKIPPED_FLAGS), 2)
+    keys = ["chrom", "sample", F.col("refpos").alias("pos"), _flag(F.col("is_reverse")).alias("is_reverse"), "read_num", "base", "context", "dend"]
+    return calls.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("qpos").alias("sum_qpos"), F.sum("bq").alias("sum_bq"))
+
+
+def varied_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.pileup(varied_reads_of(spark, sf_dir))
+
+
 ALL = [
     map_frequency, base_calls_filtered, complement_bases, read_context, distance_binned, pileup_counts, pileup_strand_merge,
     consensus_calls, major_minor, base_frequencies, candidate_sites, contamination_fractions, region_bins, covariate_rows,
     covariate_dictionary, collapsed_observations, local_row_ids, variable_columns, minmax_normalized, locus_key_parity,
     dense_positions, freq_grid, prior_logprob, prior_betainc_general, multinomial_loglik, multinomial_gradient, nn_forward,
-    grid_loglik, posterior, global_loss, posterior_table, posterior_lines, network_posterior, simulated_observations, trained_prior,
+    grid_loglik, posterior, global_loss, posterior_table, posterior_lines, walked_calls, varied_pileup, network_posterior, simulated_observations, trained_prior,
 ]
 
 

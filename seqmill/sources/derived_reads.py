@@ -30,5 +30,35 @@ def derived_reads(lineitem: DataFrame) -> DataFrame:
     return keys.select("sample", "chrom", "pos", "flag", "mapq", F.lit(f"{LENGTH}M").alias("cigar"), F.expr(seq).alias("seq"), F.expr(qual).alias("qual"))
 
 
+#: Alignments of the varied reads in turn, and their lengths.
+CIGARS = ["12M", "5S7M", "3M2I7M", "4M2D8M", "3M10N9M", "2H16M", "6=2X4D5M3S", "1S3M1I2M3D5M"]
+SIZES = [12, 12, 12, 12, 12, 16, 16, 12]
+
+
+def varied_reads(lineitem: DataFrame) -> DataFrame:
+    """As derived_reads(), with the alignments of CIGARS, an unknown base in every eleventh read, and reads that a pileup skips."""
+    long = lineitem.selectExpr(
+        "concat('s', cast(l_suppkey % 3 as string)) as sample", "concat('chr', l_returnflag) as chrom",
+        "cast((l_partkey*7 + l_linenumber*3) % 400 as int) as pos", "l_orderkey as ok", "l_partkey as pk", "l_linenumber as ln",
+        "cast(16 * (l_orderkey % 2) + 64 * (1 + l_linenumber % 2) + case when l_orderkey % 13 = 0 then 1024 when l_orderkey % 17 = 0 then 256 when l_orderkey % 19 = 0 then 512 else 0 end as int) as flag",
+        "cast(l_quantity as int) as mapq", f"cast((l_orderkey + l_partkey) % {len(CIGARS)} as int) as kind",
+    )
+    kind = F.col("kind") + 1
+    size = F.element_at(F.array(*map(F.lit, SIZES)), kind)
+    letters = "concat(" + ", ".join(_base(i) if i != 6 else f"case when ok % 11 = 0 then 'N' else {_base(i)} end" for i in range(max(SIZES))) + ")"
+    qual = "array(" + ", ".join(f"cast(10 + (ok + {i * 5} + ln*3) % 31 as int)" for i in range(max(SIZES))) + ")"
+    return long.select("sample", "chrom", "pos", "flag", "mapq", F.element_at(F.array(*map(F.lit, CIGARS)), kind).alias("cigar"), F.substring(F.expr(letters), F.lit(1), size).alias("seq"), F.slice(F.expr(qual), F.lit(1), size).alias("qual"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of few files dealt anew, as one with a single row group is read by one task; one of many files as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
+def varied_reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return varied_reads(spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+
+
 def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived_reads(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return derived_reads(spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
