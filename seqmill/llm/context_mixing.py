@@ -47,7 +47,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, column, stash, stash_at, text_slices
@@ -57,6 +57,8 @@ from .words import Words, mixed, split_words, vocab_hashes
 SYMBOL_BITS = 17
 #: A passage ends with one word in PASSAGE, and counts as one from LEAST tokens on.
 PASSAGE, LEAST = 16, 5
+#: The class that marks counts of passages.
+PASSAGES = -1
 LONGEST = 64
 STATES = 15
 ORDERS = (1, 2, 3, 4, 0)  # 0: the whole beginning
@@ -212,8 +214,9 @@ def log10_symbols(coder: Coder, table: np.ndarray, mixer: Mixer, t: Tokens) -> n
     out = np.empty(len(t.symbol))
     for some, begin, decisions in coder.runs(t):
         odds, gate, cell = decisions.inputs(table)
-        p = mixer.predict(odds, gate, cell)
-        out[some] = np.add.reduceat(np.log(np.where(decisions.bit, p, 1 - p)), begin) / _LN10
+        p = mixer.predict(odds, gate, cell).astype(float)
+        # at least _EDGE ** 60, as no code is that long
+        out[some] = np.log10(np.multiply.reduceat(np.where(decisions.bit, p, 1 - p), begin))
     return out
 
 
@@ -358,7 +361,7 @@ class LanguageModel:
     end_count: int
     tokens: int
     kinds: int
-    #: Where the written table of passages lies: passage, a, b, h.
+    #: Where the written table of words and passages lies.
     passages: str
     #: How many passages training has, and how likely the next one is among those counted.
     n_passages: int
@@ -389,13 +392,14 @@ def _counted(languages: list[str]):
     place = {x: i + 1 for i, x in enumerate(languages)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """word, cls and its counts in the three folds, for some MB of texts at a time."""
+        """word, cls and its counts in the three folds, for some MB of texts at a time; keys of passages likewise."""
         for batch in batches:
             texts = column(batch, "text")
             folds = _fold_places(batch)
             cls = np.array([place.get(x, 0) for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()], np.int64)
             for at, n in text_slices(texts, 4 << 20):
                 w = split_words(texts.slice(at, n), lower=True)
+                yield from _passage_counts(w, folds[at : at + n])
                 if not len(w.codes):
                     continue
                 kinds = len(w.vocab)
@@ -409,19 +413,21 @@ def _counted(languages: list[str]):
     return counted
 
 
-def _passage_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """passage, and its counts in the three folds."""
-    for batch in batches:
-        texts, folds = column(batch, "text"), _fold_places(batch)
-        for at, n in text_slices(texts, 4 << 20):
-            w = split_words(texts.slice(at, n), lower=True)
-            p = passages_of(w, np.arange(len(w.codes)) + w.parent, np.concatenate([[0], np.cumsum(w.counts + 1)]))
-            held = p.size >= LEAST
-            keys, where = np.unique(p.key[held], return_inverse=True)
-            counts = np.bincount(where * 3 + folds[at : at + n][p.text[held]], minlength=3 * len(keys)).reshape(-1, 3)
-            for begin in range(0, len(keys), 100_000):
-                part = slice(begin, begin + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *(pa.array(counts[part, k], pa.int32()) for k in range(3))], names=["passage", "a", "b", "h"])
+def _as_bytes(keys: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(8), len(keys), [None, pa.py_buffer(keys.astype(">i8").tobytes())]).cast(pa.binary())
+
+
+def _passage_counts(w: Words, folds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys of passages, marked by the class PASSAGES, and their counts in the three folds."""
+    p = passages_of(w, np.arange(len(w.codes)) + w.parent, np.concatenate([[0], np.cumsum(w.counts + 1)]))
+    held = p.size >= LEAST
+    keys, where = np.unique(p.key[held], return_inverse=True)
+    counts = np.bincount(where * 3 + folds[p.text[held]], minlength=3 * len(keys)).reshape(-1, 3)
+    data = _as_bytes(keys)
+    for begin in range(0, len(keys), 100_000):
+        part = slice(begin, begin + 100_000)
+        n = len(keys[part])
+        yield pa.RecordBatch.from_arrays([data[part], pa.array(np.full(n, PASSAGES), pa.int32()), *(pa.array(counts[part, k], pa.int64()) for k in range(3))], names=["word", "cls", "a", "b", "h"])
 
 
 def _blocks(tables: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -443,8 +449,8 @@ def _context_counts(shared):
             for at, n in text_slices(texts, 1 << 20):
                 _, _, t = tokens_of(coder, texts.slice(at, n))
                 for _, _, decisions in coder.runs(t):
-                    for k in range(CONTEXTS):
-                        np.add.at(tables[k], 2 * decisions.slots(k) + decisions.bit, np.float32(1))
+                    for k, slots in enumerate(decisions.slots()):
+                        np.add.at(tables[k], 2 * slots + decisions.bit, np.float32(1))
         yield from _blocks(tables)
 
     return counted
@@ -558,6 +564,11 @@ def _share_judge(shared, rare_tokens: int):
     return judged
 
 
+def _passage_table(spark: SparkSession, path: str) -> DataFrame:
+    """passage, a, b, h of the written counts of words and passages."""
+    return spark.read.parquet(path).filter(F.col("cls") == PASSAGES).select(F.col("word").alias("passage"), "a", "b", "h")
+
+
 def _taught(mixer: Mixer, lessons: DataFrame) -> Mixer:
     """mixer with the weights of all tasks, averaged by what they saw, and the sums of their hits."""
     taught = lessons.toArrow()
@@ -631,7 +642,8 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     languages = [r["lang"] for r in top]
 
     counted = rows.mapInArrow(_counted(languages), "word binary, cls int, a bigint, b bigint, h bigint")
-    by_class = stash(counted.groupBy("word", "cls").agg(*(F.sum(c).alias(c) for c in "abh")), "classes")
+    written = stash_at(counted.groupBy("word", "cls").agg(*(F.sum(c).alias(c) for c in "abh")), "classes")
+    by_class = spark.read.parquet(written).filter(F.col("cls") != PASSAGES)
     words = stash(by_class.groupBy("word").agg(*(F.sum(c).alias(c) for c in "abh"), F.max_by("cls", F.struct(F.col("a") + F.col("b"), "cls")).alias("cls")).withColumn("c", F.col("a") + F.col("b")), "words")
 
     # by the counted documents alone, and words they have once escape, so that remainder 6 shows how often words escape
@@ -676,8 +688,7 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     coder = Coder(pa.array(known, pa.binary()), classes[:n_symbols], PrefixCode.of(symbols.table[:, :n_symbols]), slot_bits(tokens))
     table, mixer = fit_symbols(rows, coder, cores)
 
-    path = stash_at(rows.mapInArrow(_passage_counts, "passage bigint, a int, b int, h int").groupBy("passage").agg(*(F.sum(c).alias(c) for c in "abh")), "passages")
-    told_passages = spark.read.parquet(path).agg(F.sum(F.col("a") + F.col("b")).alias("n"), F.sum("b").alias("b"), F.sum(F.when(F.col("a") > 0, F.col("b"))).alias("known")).first()
+    told_passages = _passage_table(spark, written).agg(F.sum(F.col("a") + F.col("b")).alias("n"), F.sum("b").alias("b"), F.sum(F.when(F.col("a") > 0, F.col("b"))).alias("known")).first()
     known_share = ((told_passages["known"] or 0) + 1) / ((told_passages["b"] or 0) + 20)
 
     # a word that escapes looks like one that is new to the counts, so each word is spelled once, and new ones teach
@@ -700,7 +711,7 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     taught_mixer, spelling = spelling.mixer, ByteModel.of(tables[0], tables[1])
     spelling.mixer = taught_mixer
     counts = frequent.column("c").to_numpy()[order].astype(np.int64)
-    model = LanguageModel(counts, symbols, coder, table, mixer, spelling, end_a + end_b, tokens, int(sums["kinds"] or 0) + (end_a + end_b > 0), path, int(told_passages["n"] or 0), known_share, share, int(in_rare["c"] or 0))
+    model = LanguageModel(counts, symbols, coder, table, mixer, spelling, end_a + end_b, tokens, int(sums["kinds"] or 0) + (end_a + end_b > 0), written, int(told_passages["n"] or 0), known_share, share, int(in_rare["c"] or 0))
     return model, words.select("word", "c")
 
 
@@ -708,10 +719,10 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
 
 
 _FIRST = {
-    "passage": pa.int64(), "row": pa.int64(), "times": pa.int32(), "own": pa.int32(), "others": pa.int32(), "score": pa.float64(), "rare": pa.list_(pa.binary()), "states": pa.list_(pa.int8()),
+    "passage": pa.binary(), "row": pa.int64(), "times": pa.int32(), "own": pa.int32(), "others": pa.int32(), "score": pa.float64(), "rare": pa.list_(pa.binary()), "states": pa.list_(pa.int8()),
     "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "bytes": pa.int64(),
 }
-_FIRST_DDL = "passage bigint, row bigint, times int, own int, others int, score double, rare array<binary>, states array<tinyint>, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, bytes bigint"
+_FIRST_DDL = "passage binary, row bigint, times int, own int, others int, score double, rare array<binary>, states array<tinyint>, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, bytes bigint"
 _WORD = {"word": pa.binary(), "state": pa.int8(), "row": pa.int64(), "times": pa.int32(), "scored": pa.int32(), "score": pa.float64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "bytes": pa.int64()}
 _WORD_DDL = "word binary, state tinyint, row bigint, times int, scored int, score double, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, bytes bigint"
 _DOC = ("doc_id", "held_out", "n_tokens", "n_known", "base", "bytes")
@@ -768,7 +779,7 @@ def _first_pass(shared, own: bool):
                 flag = math.log10(1 - m.known_share)
                 short = np.bincount(p.text[~long], weights=of_passage[~long] + flag, minlength=n)
                 sizes = np.bincount(p.text[rare_in[~long[rare_in]]], minlength=n)
-                row_keys = mixed(row.astype(np.uint64) + np.uint64(1 << 60)).view(np.int64)
+                row_keys = _as_bytes(mixed(row.astype(np.uint64) + np.uint64(1 << 60)).view(np.int64))
                 size = pc.binary_length(part).to_numpy(zero_copy_only=False)
                 listed = escapes[~long[rare_in]]
                 yield _batch(
@@ -784,7 +795,7 @@ def _first_pass(shared, own: bool):
                 rare, states = _lists(vocab.take(pa.array(code[listed])), sizes), _lists(pa.array(t.state[listed], pa.int8()), sizes)
                 for begin in range(0, len(lead), 20_000):
                     some = slice(begin, begin + 20_000)
-                    yield _batch(_FIRST, passage=p.key[lead[some]], row=row[text[some]], times=count[some], own=np.where(held_out[text[some]] | (not own), 0, count[some]), others=others[text[some]], score=of_passage[lead[some]], rare=rare[some], states=states[some])
+                    yield _batch(_FIRST, passage=_as_bytes(p.key[lead[some]]), row=row[text[some]], times=count[some], own=np.where(held_out[text[some]] | (not own), 0, count[some]), others=others[text[some]], score=of_passage[lead[some]], rare=rare[some], states=states[some])
 
     return passed
 
@@ -864,7 +875,7 @@ def score(docs: DataFrame, model: LanguageModel, words: DataFrame, own: bool = T
     shared = spark.sparkContext.broadcast(model)
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold(F.col("doc_id")).alias("fold"), F.monotonically_increasing_id().alias("row"))
     first = rows.mapInArrow(_first_pass(shared, own), _FIRST_DDL)
-    counted = spark.read.parquet(model.passages).withColumn("c", F.col("a") + F.col("b")).filter("c > 0")
+    counted = _passage_table(spark, model.passages).withColumn("c", F.col("a") + F.col("b")).filter("c > 0")
     counted = counted.filter("c + h > 1") if own else counted  # what only one document has, itself may not use
     resolved = first.join(counted.select("passage", "c"), "passage", "left").mapInArrow(_resolve(shared), _WORD_DDL)
     joined = resolved.join(words.filter("c > 0"), "word", "left")

@@ -48,7 +48,18 @@ def counts_of(history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (n - ones).astype(np.float32), ones.astype(np.float32)
 
 
-_ZEROS, _ONES = counts_of(np.arange(256, dtype=np.uint8))
+#: Log-odds of a node, in thirds, as they are a prior of counts.
+_PRIORS = np.arange(-36, 37) / 3
+
+
+def _added() -> np.ndarray:
+    """What a history adds to the log-odds that are its prior, one count strong: a row for each history."""
+    zeros, ones = (c[:, None].astype(float) for c in counts_of(np.arange(256, dtype=np.uint8)))
+    p = 1 / (1 + np.exp(-_PRIORS))
+    return (np.log((ones + p) / (zeros + 1 - p)) - _PRIORS).astype(np.float32)
+
+
+_ADDED = _added().ravel()
 
 
 @dataclass
@@ -59,6 +70,8 @@ class PrefixCode:
     nodes: np.ndarray
     bits: np.ndarray
     odds: np.ndarray
+    #: Of odds, the place in _PRIORS.
+    priors: np.ndarray
 
     @staticmethod
     def of(table: np.ndarray) -> PrefixCode:
@@ -93,11 +106,11 @@ class PrefixCode:
         for symbols, _, _ in steps:
             sizes[symbols] += 1
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        nodes, bits = np.empty(starts[-1], np.int32), np.empty(starts[-1], np.uint8)
+        nodes, bits = np.empty(starts[-1], np.int64), np.empty(starts[-1], np.uint8)
         for back, (symbols, node, bit) in enumerate(steps):
             at = starts[symbols + 1] - 1 - back
             nodes[at], bits[at] = node, bit
-        return PrefixCode(starts, nodes, bits, odds)
+        return PrefixCode(starts, nodes, bits, odds, np.rint(odds * 3 + 36).astype(np.uint8))
 
 
 @dataclass
@@ -175,7 +188,7 @@ class Coder:
             to = max(at + 1, int(np.searchsorted(upto, base + _RUN, side="right")))
             some = size[at:to]
             begin = np.cumsum(some) - some
-            owner = np.repeat(np.arange(at, to, dtype=np.int32), some)
+            owner = np.repeat(np.arange(at, to), some)
             path = np.arange(int(some.sum())) + np.repeat(code.starts[t.symbol[at:to]] - begin, some)
             node = code.nodes[path]
             yield slice(at, to), begin, Decisions(self, t, owner, node, code.bits[path])
@@ -196,23 +209,29 @@ class Decisions:
     node: np.ndarray
     bit: np.ndarray
 
-    def slots(self, k: int) -> np.ndarray:
-        """The slot of each decision under context k."""
-        h = (self.t.contexts[k][self.owner] ^ (self.node.astype(np.uint64) * _NODE)) * _SPREAD
-        return (h >> np.uint64(64 - self.coder.bits)).astype(np.int64)
+    def slots(self) -> Iterator[np.ndarray]:
+        """For each context the slots of all decisions."""
+        node, shift = self.node.view(np.uint64) * _NODE, np.uint64(64 - self.coder.bits)
+        for k in range(CONTEXTS):
+            h = self.t.contexts[k][self.owner]
+            h ^= node
+            h *= _SPREAD
+            h >>= shift
+            yield h.view(np.int64)
 
     def inputs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of the mixer, gate and cell. The first input is the state's log-odds, the others are what
         each context's counts add to it, with the state's prediction as their prior."""
-        x = self.coder.code.odds[self.t.state[self.owner], self.node]
-        p = 1 / (1 + np.exp(-x))
-        inputs, sure = np.empty((1 + CONTEXTS, len(x)), np.float32), []
-        inputs[0] = x
-        for k in range(CONTEXTS):
-            history = table[k][self.slots(k)]
-            inputs[k + 1] = np.log((_ONES[history] + p) / (_ZEROS[history] + 1 - p)) - x
-            sure.append((history >> 5).astype(np.int64))
-        return inputs.T, (sure[0] << 6) + (sure[1] << 3) + sure[2], (sure[0] << 3) + sure[1]
+        code = self.coder.code
+        at = self.t.state[self.owner] * code.odds.shape[1] + self.node
+        prior = code.priors.ravel()[at].astype(np.int64)
+        inputs, gate = np.empty((1 + CONTEXTS, len(at)), np.float32), np.zeros(len(at), np.int64)
+        inputs[0] = code.odds.ravel()[at]
+        for k, slots in enumerate(self.slots()):
+            history = table[k][slots].astype(np.int64)
+            inputs[k + 1] = _ADDED[history * len(_PRIORS) + prior]
+            gate = gate << 3 | history >> 5
+        return inputs.T, gate, gate >> 3
 
 
 def symbols_of(w: Words, known: pa.Array) -> np.ndarray:
