@@ -453,12 +453,12 @@ def plain_score(m, text, c, passages, training):
         for at in range(nodes.starts[symbol], nodes.starts[symbol + 1]):
             node, bit = int(nodes.nodes[at]), int(nodes.bits[at])
             x = float(nodes.odds[state, node])
-            p = 1 / (1 + math.exp(-x))
+            p = 1 / (1 + math.exp(-round(3 * x) / 3))  # the prior of counts is in thirds
             odds, sure = [x], []
             for k, key in enumerate(keys):
                 h = int(m.table[k][(key ^ node * 0x9E3779B97F4A7C15 & mask) * 0xD6E8FEB86659FD93 % 2**64 >> 64 - m.coder.bits])
                 zeros, ones = counts(h)
-                odds.append(math.log((ones + p) / (zeros + 1 - p)) - x)
+                odds.append(math.log((ones + p) / (zeros + 1 - p)) - math.log(p / (1 - p)))
                 sure.append(h >> 5)
             p = predict(m.mixer, odds, sure[0] * 64 + sure[1] * 8 + sure[2], sure[0] * 8 + sure[1])
             total += math.log10(p if bit else 1 - p)
@@ -493,7 +493,7 @@ def test_scores_against_a_plain_loop(spark):
     docs = documents(spark, texts, ids).repartition(3)
     m, words = context_mixing.fit(docs)
     c = {bytes(r.word): r.c for r in words.collect()}
-    passages = {r.passage: r.a + r.b for r in spark.read.parquet(m.passages).collect()}
+    passages = {int.from_bytes(r.passage, "big", signed=True): r.a + r.b for r in context_mixing._passage_table(spark, m.passages).collect()}
     for own in (True, False):
         got = {r.doc_id: r.score for r in context_mixing.score(docs, m, words, own).collect()}
         for i, x in zip(ids, texts, strict=True):
