@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqmill.jobs.model import ranges_of, varying
 from seqmill.operators import observations, pileup
 from seqmill.operators.calls import CallFilter
 from seqmill.sources import alignments, tables
@@ -23,10 +25,26 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--round-distance-by", type=tables.positive, default=10)
     p.add_argument("--no-mapq", action="store_true")
     p.add_argument("--no-sample", action="store_true")
+    p.add_argument("--keep-constant", action="store_true", help="keep covariates that do not vary")
     p.add_argument("--min-coverage", type=tables.not_negative, default=20)
     return p
 
 
+def read_alignments(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(reads, contigs) of SAM and BAM files, which the list may mix."""
+    kinds = [([p for p in paths if p.endswith(".bam")], alignments.read_bam, alignments.bam_contigs), ([p for p in paths if not p.endswith(".bam")], alignments.read_sam, alignments.sam_contigs)]
+    found = [(read(spark, some), contigs(spark, some)) for some, read, contigs in kinds if some]
+    return reduce(DataFrame.unionByName, [r for r, _ in found]), reduce(DataFrame.unionByName, [c for _, c in found])
+
+
+def covariate_table(collected: DataFrame, covariates: observations.Covariates, keep_constant: bool) -> DataFrame:
+    """i, name, low, high and kept of each covariate; constant ones are not kept, but for the first that is 1."""
+    ranges = ranges_of(collected.withColumn("x", covariates.vector()), len(covariates.names))
+    kept = covariates.names if keep_constant else varying(covariates.names, ranges)
+    rows = [(i, n, None if low is None else float(low), None if high is None else float(high), n in kept) for i, (n, (low, high)) in enumerate(zip(covariates.names, ranges, strict=True))]
+    return collected.sparkSession.createDataFrame(rows, "i int, name string, low double, high double, kept boolean")
+
+
 def collect(reads: DataFrame, covariates: observations.Covariates, keep: CallFilter, min_coverage: int) -> tuple[DataFrame, DataFrame]:
     """(sites, observations) of reads."""
     sites = pileup.sites(pileup.pileup(reads, keep.min_bq), min_coverage)
@@ -37,9 +55,7 @@ def collect(reads: DataFrame, covariates: observations.Covariates, keep: CallFil
 def main(spark: SparkSession, args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     paths = tables.alignment_paths(spark, a.alignments)
-    bam = paths[0].endswith(".bam")
-    reads = (alignments.read_bam if bam else alignments.read_sam)(spark, paths)
-    contigs = (alignments.bam_contigs if bam else alignments.sam_contigs)(spark, paths)
+    reads, contigs = read_alignments(spark, paths)
     wanted = tables.reference_names(spark, a.references, contigs)
     reads = reads.filter(reads.chrom.isin(wanted))
     samples = tuple(p.rpartition("/")[2].rpartition(".")[0] for p in paths)
@@ -54,6 +70,8 @@ def main(spark: SparkSession, args: list[str] | None = None) -> None:
         covariates = observations.Covariates(samples, a.context_length, a.round_distance_by, use_mq=not a.no_mapq, use_sample=not a.no_sample, user=user)
         calls = observations.with_user_columns(calls, extra, user)
     tables.write_sites(observations.collapse(calls, covariates), f"{a.output}/observations")
+    collected = spark.read.parquet(f"{a.output}/observations")
+    covariate_table(collected, covariates, a.keep_constant).coalesce(1).write.mode("overwrite").parquet(f"{a.output}/covariates")
 
 
 if __name__ == "__main__":

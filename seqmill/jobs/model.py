@@ -30,29 +30,53 @@ def covariates_of(observations: DataFrame) -> Covariates:
     return Covariates(samples, first["n"] if first else 0, use_bq="bq" in have, use_mq="mapq" in have, use_distance="dend_bin" in have, use_contamination=set(CONTAM) <= have, user=tuple(c for c in observations.columns if c not in known))
 
 
-def encoded(observations: DataFrame, covariates: Covariates, ranges: list[tuple[float, float]] | None) -> tuple[DataFrame, list[tuple[float, float]]]:
-    """observations with x, the covariates scaled to 0..1 but for the constant, and each one's range."""
+def ranges_of(rows: DataFrame, width: int) -> list[tuple[float, float]]:
+    """The least and most of each number of x; one aggregate."""
+    r = rows.agg(*(f(F.col("x")[i]).alias(f"{n}{i}") for i in range(width) for n, f in (("low", F.min), ("high", F.max)))).first()
+    return [(r[f"low{i}"], r[f"high{i}"]) for i in range(width)]
+
+
+def varying(names: list[str], ranges: list[tuple[float, float]]) -> list[str]:
+    """The names of columns that vary, and of those that are constantly 1 the first."""
+    ones = [n for n, r in zip(names, ranges, strict=True) if r == (1.0, 1.0)][:1]
+    return [n for n, (low, high) in zip(names, ranges, strict=True) if low != high or n in ones]
+
+
+def encoded(observations: DataFrame, covariates: Covariates, ranges: list[tuple[float, float]] | None, names: list[str] | None = None) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """observations with x, the covariates (of `names` if given) scaled to 0..1 but for the constant, and each one's range."""
     rows = observations.withColumn("x", covariates.vector())
+    if names is not None:
+        rows = rows.withColumn("x", F.array(*(F.col("x")[covariates.names.index(n)] for n in names)))
     if ranges is None:
-        sums = [f(F.col("x")[i]).alias(f"{n}{i}") for i in range(len(covariates.names)) for n, f in (("low", F.min), ("high", F.max))]
-        r = rows.agg(*sums).first()
-        ranges = [(0.0, 1.0), *((r[f"low{i}"], r[f"high{i}"]) for i in range(1, len(covariates.names)))]
+        found = ranges_of(rows, len(names or covariates.names))
+        ranges = [(0.0, 1.0) if n == "const" else r for n, r in zip(names or covariates.names, found, strict=True)]
     scaled = [((F.col("x")[i] - low) / (high - low)) if high > low else F.lit(0.0) for i, (low, high) in enumerate(ranges)]
     return rows.withColumn("x", F.array(*scaled)), ranges
 
 
 def save(model: training.Model, ranges: list[tuple[float, float]], spark: SparkSession, folder: str) -> None:
+    def written(rows: list[tuple], ddl: str, name: str) -> None:
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+
     model.network.to_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{folder}/weights")
-    prior = model.prior
-    spark.createDataFrame([(prior.a, prior.b, prior.z, model.points)], "a double, b double, z double, points int").write.mode("overwrite").parquet(f"{folder}/prior")
-    spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(ranges)], "i int, low double, high double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/ranges")
-    spark.createDataFrame(list(enumerate(model.losses)), "step int, loss double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/metrics")
+    prior, adam = model.prior, model.adam or training.Adam()
+    written([(prior.a, prior.b, prior.z, model.points)], "a double, b double, z double, points int", "prior")
+    written([(i, *map(float, r)) for i, r in enumerate(ranges)], "i int, low double, high double", "ranges")
+    written([(i, float(x), *t) for i, (x, t) in enumerate(zip(model.losses, model.trail, strict=True))], "step int, loss double, a double, b double, prob_0 double", "metrics")
+    size = len(model.network.flat) + 3
+    moments = [np.broadcast_to(np.asarray(m, float), size).tolist() for m in (adam.first, adam.second)]
+    written([(i, adam.step, *m) for i, m in enumerate(zip(*moments, strict=True))], "i int, step int, first double, second double", "optimiser")
 
 
 def load(spark: SparkSession, folder: str) -> tuple[training.Model, list[tuple[float, float]]]:
+    """What save() wrote: weights, prior, metrics and the optimiser's state, all of the size of the model or its steps."""
     p = spark.read.parquet(f"{folder}/prior").first()
     ranges = [(r.low, r.high) for r in spark.read.parquet(f"{folder}/ranges").orderBy("i").collect()]
-    return training.Model(network.Network.from_table(spark.read.parquet(f"{folder}/weights")), Prior(p.a, p.b, p.z), p.points), ranges
+    metrics = spark.read.parquet(f"{folder}/metrics").orderBy("step").collect()
+    moments = spark.read.parquet(f"{folder}/optimiser").orderBy("i").collect()
+    adam = training.Adam(step=moments[0].step, first=np.array([m.first for m in moments]), second=np.array([m.second for m in moments]))
+    net = network.Network.from_table(spark.read.parquet(f"{folder}/weights"))
+    return training.Model(net, Prior(p.a, p.b, p.z), p.points, [m.loss for m in metrics], [(m.a, m.b, m.prob_0) for m in metrics], adam), ranges
 
 
 def parser() -> argparse.ArgumentParser:
@@ -65,6 +89,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--num-frequencies", type=tables.positive, default=128)
     p.add_argument("--epochs", type=tables.positive, default=20)
     p.add_argument("--rate", type=float, default=0.01)
+    p.add_argument("--batch-size", type=tables.positive, help="train: sites of a step; all if not given")
+    p.add_argument("--save-every", type=tables.positive, help="train: save after so many steps; at the end if not given")
+    p.add_argument("--covariates", help="table of the collect job that says which covariates are kept")
+    p.add_argument("--grid-line", action="store_true", help="posterior: begin with a line of the grid's frequencies")
     p.add_argument("--seed", type=int, default=0)
     return p
 
@@ -74,22 +102,24 @@ def main(spark: SparkSession, args: list[str] | None = None) -> None:
     observations = spark.read.parquet(a.observations).filter("major <> 'N'")
     covariates = covariates_of(observations)
     model, ranges = load(spark, a.model) if a.model else (None, None)
-    rows, ranges = encoded(observations, covariates, ranges)
+    names = [r["name"] for r in spark.read.parquet(a.covariates).filter("kept").orderBy("i").collect()] if a.covariates else covariates.names
+    rows, ranges = encoded(observations, covariates, ranges, names)
     if a.step == "train":
         dealt = training.by_site(training.model_inputs(rows)).persist()
-        start = model or training.Model(network.Network.random(len(covariates.names) + 5, a.seed), Prior(), a.num_frequencies)
-        save(training.train(dealt, start, a.epochs, a.rate), ranges, spark, a.output)
+        start = model or training.Model(network.Network.random(len(names) + 5, a.seed), Prior(), a.num_frequencies)
+        keep = (lambda m: save(m, ranges, spark, a.output)) if a.save_every else None
+        save(training.train(dealt, start, a.epochs, a.rate, a.batch_size, a.seed, keep, a.save_every or 1), ranges, spark, a.output)
         dealt.unpersist()
     elif a.step == "posterior":
         if model is None:
             raise ValueError("posterior needs --model")
         scored = network.with_allele_probabilities(rows, model.network)
         post = likelihood.packed_posterior(scored, frequencies(model.points), model.prior.log_probabilities(model.points))
-        tables.write_posterior(post, a.output)
+        tables.write_posterior(post, a.output, frequencies(model.points).tolist() if a.grid_line else None)
     else:
         values = [float(r.value) for r in spark.read.text(a.parameters).collect() if r.value.strip()]
         prior = Prior.of(np.array(values[-3:]))
-        drawn = simulate.simulate(rows, logit.coefficients(spark, values[:-3], len(covariates.names)), frequencies(a.num_frequencies), np.exp(prior.log_probabilities(a.num_frequencies)), a.seed)
+        drawn = simulate.simulate(rows, logit.coefficients(spark, values[:-3], len(names)), frequencies(a.num_frequencies), np.exp(prior.log_probabilities(a.num_frequencies)), a.seed)
         drawn.drop("x").write.mode("overwrite").parquet(a.output)
 
 

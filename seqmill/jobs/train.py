@@ -1,19 +1,20 @@
 """Training: the network and the prior by Adam on the driver, gradients summed on the executors.
 
-Each step is one pass over the observations, which by_site() deals so that a site is whole; keep
-its result with persist(), and lost parts are dealt again. A
-task returns the sums of its sites; they are added in the JVM, so the driver gets one number
-for each parameter and grid point.
+A step is one pass over a batch of sites, all of them or a part that a seed draws anew each epoch;
+by_site() deals the observations so that a site is whole; keep its result with persist(), and lost
+parts are dealt again. A task returns the sums of its sites; they are added in the JVM, so the driver
+gets one number for each parameter and grid point. A model holds what a later run needs to go on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmill.functions.prior import Prior, frequencies
@@ -47,6 +48,9 @@ class Model:
     prior: Prior
     points: int = 128
     losses: list[float] = field(default_factory=list)
+    #: a, b and the probability of 0 after each step, beside the losses before it.
+    trail: list[tuple[float, float, float]] = field(default_factory=list)
+    adam: Adam | None = None
 
 
 def site_sums(frame: pd.DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -99,6 +103,8 @@ def _sums(observations: DataFrame, model: Model, rows: int = 2000) -> tuple[np.n
 
     got = observations.mapInPandas(summed, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i").v.to_numpy()
     size = len(model.network.flat)
+    if not len(got):
+        return np.zeros(size), np.zeros(model.points), 0.0, 0
     return got[:size], got[size : size + model.points], float(got[-2]), int(got[-1])
 
 
@@ -114,16 +120,31 @@ def by_site(observations: DataFrame) -> DataFrame:
     return observations.repartition(*SITE).sortWithinPartitions(*SITE)
 
 
-def train(observations: DataFrame, model: Model, epochs: int, rate: float = 0.01) -> Model:
-    """The model after `epochs` steps over all sites of observations, which are dealt by site."""
-    adam = Adam(rate)
+def batch_of(sites: list[str], seed: int, epoch: int, batches: int) -> Column:
+    """The batch that a site falls into in an epoch."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), *sites), F.lit(batches))
+
+
+def train(observations: DataFrame, model: Model, epochs: int, rate: float = 0.01, batch_sites: int | None = None, seed: int = 0, save: Callable[[Model], None] | None = None, save_every: int = 1) -> Model:
+    """The model after `epochs` passes over the sites of observations, which are dealt by site.
+
+    batch_sites: sites of a step on average, all if not given; each epoch draws its batches anew. save is called
+    with the model after every `save_every` steps. A model that has been trained goes on where it was.
+    """
+    adam = replace(model.adam, rate=rate) if model.adam else Adam(rate)
     size = len(model.network.flat)
-    for _ in range(epochs):
-        gradient, share, evidence, sites = _sums(observations, model)
-        if not sites:
-            return model
-        prior = model.prior.gradient(model.points) @ share
-        change = adam.change(-np.concatenate([gradient, prior]) / sites)
-        params = np.clip(model.prior.params + change[size:], -12, 12)
-        model = Model(model.network.shaped(model.network.flat + change[:size]), Prior.of(params), model.points, [*model.losses, -evidence / sites])
+    batches = 1 if batch_sites is None else max(1, math.ceil(observations.select(*SITE).distinct().count() / batch_sites))
+    done = len(model.losses) // batches
+    for epoch in range(done, done + epochs):
+        for batch in range(batches):
+            some = observations if batches == 1 else observations.filter(batch_of(SITE, seed, epoch, batches) == batch)
+            gradient, share, evidence, sites = _sums(some, model)
+            if not sites:
+                continue
+            prior = model.prior.gradient(model.points) @ share
+            change = adam.change(-np.concatenate([gradient, prior]) / sites)
+            now = Prior.of(np.clip(model.prior.params + change[size:], -12, 12))
+            model = Model(model.network.shaped(model.network.flat + change[:size]), now, model.points, [*model.losses, -evidence / sites], [*model.trail, (float(now.a), float(now.b), float(now.z))], replace(adam))
+            if save is not None and len(model.losses) % save_every == 0:
+                save(model)
     return model

@@ -6,6 +6,7 @@ col, b. Log-likelihood and gradient are sums that Spark aggregates.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,16 @@ def log_probabilities(rows: DataFrame, table: DataFrame) -> DataFrame:
     return linear.select(*[F.col(f"`{c}`") for c in rows.columns], *(p.alias("lp_" + c[2:]) for p, c in zip(lp, COUNTS, strict=True)))
 
 
+def matrices(table: DataFrame) -> dict[tuple[str, int], np.ndarray]:
+    """The coefficients of each (base, read_num) as three rows; the table has 24 numbers for each covariate."""
+    rows = table.collect()
+    width = 1 + max(r["col"] for r in rows)
+    found = {(r["base"], r["read_num"]): np.zeros((3, width)) for r in rows}
+    for r in rows:
+        found[r["base"], r["read_num"]][r["outcome"], r["col"]] = r["b"]
+    return found
+
+
 def log_likelihood(rows: DataFrame, table: DataFrame) -> DataFrame:
     """One row: the sum over rows and bases of count x log-probability."""
     scored = log_probabilities(rows, table)

@@ -1,7 +1,7 @@
 """The neural error model: softplus layers and a softmax over the four observed bases.
 
 Its inputs are a call's covariates, the read number and a one-hot of the true base in sequencing
-order. It is evaluated once for each distinct (covariates, read number, true base).
+order. It is evaluated once for each distinct (covariates, read number, true base) of a batch.
 """
 
 from __future__ import annotations
@@ -105,15 +105,25 @@ def true_bases(rows: DataFrame) -> DataFrame:
 def with_allele_probabilities(rows: DataFrame, network: Network) -> DataFrame:
     """rows (x, read_num, is_reverse, major, minor) with lp_major and lp_minor, arrays over the observed bases.
 
-    The network is evaluated once for each distinct (x, read_num, true base).
+    The network is evaluated where the rows are, once for each distinct input of an Arrow batch, so nothing is
+    shuffled or joined on the wide covariates.
     """
     keyed = true_bases(rows)
-    kinds = keyed.select("x", "read_num", F.explode(F.array("true_major", "true_minor")).alias("true_base")).distinct()
-    inputs = kinds.withColumn("input", model_input(F.col("x"), F.col("read_num"), F.col("true_base")))
-    scored = with_log_probabilities(inputs, network).drop("input")
-    for allele in ("major", "minor"):
-        keyed = keyed.join(scored.select("x", "read_num", F.col("true_base").alias(f"true_{allele}"), F.col("log_p").alias(f"lp_{allele}")), ["x", "read_num", f"true_{allele}"])
-    return keyed.drop("true_major", "true_minor")
+    inputs = [model_input(F.col("x"), F.col("read_num"), F.col(f"true_{a}")).alias(f"in_{a}") for a in ("major", "minor")]
+    names = [F.col(f"`{c}`") for c in rows.columns if c not in ("lp_major", "lp_minor")]
+    kept = [f for f in rows.schema.fields if f.name not in ("lp_major", "lp_minor")]
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if frame.empty:
+                continue
+            both = np.concatenate([np.stack(frame[c].to_numpy()) for c in ("in_major", "in_minor")])
+            kinds, where = np.unique(both, axis=0, return_inverse=True)
+            log_p = network.forward(kinds)[0][where.ravel()]
+            yield frame.drop(columns=["in_major", "in_minor"]).assign(lp_major=list(log_p[: len(frame)]), lp_minor=list(log_p[len(frame) :]))
+
+    schema = StructType([*kept, *(StructField(f"lp_{a}", ArrayType(DoubleType())) for a in ("major", "minor"))])
+    return keyed.select(*names, *inputs).mapInPandas(scored, schema)
 
 
 def with_log_probabilities(rows: DataFrame, network: Network, column: str = "input", into: str = "log_p") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seqmill.functions.bases import BASES
 
@@ -36,11 +36,7 @@ def simulate(observations: DataFrame, coefficients: DataFrame, f: np.ndarray, pr
     a minor allele that was never seen is drawn from the other bases. Sites without a major allele go.
     """
     rows = observations.filter("major <> 'N'")
-    true = F.explode(F.array(*(F.lit(b) for b in BASES))).alias("base")
-    kinds = rows.select("x", "read_num").distinct().select("x", "read_num", true)
-    scored = logit.log_probabilities(kinds, coefficients)
-    by_base = F.map_from_entries(F.collect_list(F.struct("base", F.array(*(F.exp("lp_" + c[2:]) for c in COUNTS)))))
-    rows = rows.join(scored.groupBy("x", "read_num").agg(by_base.alias("p")), ["x", "read_num"])
+    error = logit.matrices(coefficients)
     p = prior / prior.sum()
     flip = dict(zip(BASES, reversed(BASES), strict=True))
 
@@ -48,23 +44,23 @@ def simulate(observations: DataFrame, coefficients: DataFrame, f: np.ndarray, pr
         site, rng, major, minor, true_freq = None, None, "", "", 0.0
         for frame in frames:
             counts, freqs = [], []
-            rows = zip(*(frame[c] for c in (*SITE, "is_reverse", "p", "major", "minor")), frame[COUNTS].sum(axis=1), strict=True)
-            for *key, reverse, probabilities, first, second, n in rows:
+            rows = zip(*(frame[c] for c in (*SITE, "is_reverse", "read_num", "x", "major", "minor")), frame[COUNTS].sum(axis=1), strict=True)
+            for *key, reverse, read_num, x, first, second, n in rows:
                 if key != site:
                     site, rng = key, seeded(seed, *key)
                     true_freq = float(rng.choice(f, p=p))
                     major = first
                     minor = second if second != "N" else str(rng.choice([b for b in BASES if b != first]))
-                probabilities = dict(probabilities)
                 got, n_minor = np.zeros(4, np.int64), int(rng.binomial(int(n), true_freq))
                 for allele, m in ((minor, n_minor), (major, int(n) - n_minor)):
-                    q = np.asarray(probabilities[flip[allele] if reverse else allele], float)
+                    odds = np.append(error[flip[allele] if reverse else allele, read_num] @ x, 0.0)
+                    q = np.exp(odds - odds.max())
                     got += rng.multinomial(m, q / q.sum())
                 counts.append(got)
                 freqs.append(true_freq)
             if counts:
                 frame[COUNTS] = np.array(counts)
-                yield frame.drop(columns="p").assign(true_freq=freqs)
+                yield frame.assign(true_freq=freqs)
 
     dealt = rows.repartition(*SITE).sortWithinPartitions(*SITE, "is_reverse", "read_num", "x")
-    return dealt.mapInPandas(drawn, rows.drop("p").schema.add("true_freq", "double"))
+    return dealt.mapInPandas(drawn, StructType([*rows.schema.fields, StructField("true_freq", DoubleType())]))

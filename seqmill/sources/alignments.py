@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 READ_DDL = "sample string, chrom string, pos int, flag int, mapq int, cigar string, seq string, qual array<int>"
 _CIGAR = "MIDNSHP=X"
@@ -100,7 +101,10 @@ def _opened(uri: str):
 def _bam_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path and sample of the files; Spark lists them, their content is not read here."""
     files = spark.read.format("binaryFile").load(paths).select(F.col("path"), sample_of(F.col("path")).alias("sample"))
-    return files.repartition(max(1, len(paths) if isinstance(paths, list) else spark.sparkContext.defaultParallelism), "path")
+    # a task a file: dealt by number, as hashes of few paths would leave tasks without any
+    n = max(1, len(paths) if isinstance(paths, list) else spark.sparkContext.defaultParallelism)
+    numbered = files.withColumn("nth", F.pmod(F.row_number().over(Window.orderBy("path")), F.lit(n)).cast("int"))
+    return numbered.repartitionById(n, F.col("nth")).drop("nth")
 
 
 def read_bam(spark: SparkSession, paths: str | list[str], rows: int = 5000) -> DataFrame:

@@ -39,9 +39,15 @@ def alignment_paths(spark: SparkSession, list_file: str) -> list[str]:
     return paths
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file of that name, in whichever file system Spark reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def reference_names(spark: SparkSession, names: str, contigs: DataFrame) -> list[str]:
-    """Comma-separated names, or a text file of them; every sample's header must have each."""
-    wanted = [r.value.strip() for r in spark.read.text(names).collect() if r.value.strip()] if "/" in names else [n for n in names.split(",") if n]
+    """Comma-separated names, or a text file of them, if there is such a file; every sample's header must have each."""
+    wanted = [r.value.strip() for r in spark.read.text(names).collect() if r.value.strip()] if exists(spark, names) else [n for n in names.split(",") if n]
     asked = spark.createDataFrame([(n,) for n in wanted], "chrom string")
     missing = contigs.select("sample").distinct().crossJoin(F.broadcast(asked)).join(contigs, ["sample", "chrom"], "left_anti").limit(5).collect()
     if missing:
@@ -69,8 +75,16 @@ def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def write_posterior(posterior: DataFrame, path: str) -> None:
-    """Tab-separated lines: sample, chrom, pos, best_freq and the log-posteriors, in nine digits."""
+def write_posterior(posterior: DataFrame, path: str, frequencies: list[float] | None = None) -> None:
+    """Tab-separated lines in order of sample, chrom, pos, with best_freq and the log-posteriors in nine digits.
+
+    With frequencies, of a first line `#freqs` with the grid's points.
+    """
     values = F.array_join(F.transform("log_post", scientific), "\t")
-    lines = posterior.select(F.concat_ws("\t", "sample", "chrom", "pos", scientific(F.col("best_freq")), values).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    lines = posterior.select("sample", "chrom", "pos", F.concat_ws("\t", "sample", "chrom", "pos", scientific(F.col("best_freq")), values).alias("value"))
+    if frequencies is not None:
+        spark = posterior.sparkSession
+        grid = spark.createDataFrame([(list(map(float, frequencies)),)], "f array<double>")
+        line = F.concat_ws("\t", F.lit("#freqs"), F.array_join(F.transform("f", scientific), "\t"))
+        lines = lines.unionByName(grid.select(line.alias("value")), allowMissingColumns=True)
+    lines.orderBy(F.col("sample").asc_nulls_first(), "chrom", "pos").select("value").write.mode("overwrite").text(path)

@@ -132,3 +132,52 @@ def test_simulation_is_seeded_and_recovered(spark):
     assert (one[["n_a", "n_c", "n_g", "n_t"]].sum(axis=1) == 400).all()
     guess = f[np.abs(one.n_c.to_numpy()[:, None] / 400 - f).argmin(1)]
     assert np.mean(np.abs(guess - one.true_freq) < 0.08) > 0.9
+
+
+def test_simulation_against_a_plain_loop(spark):
+    """Every draw of two sites, one with an unseen minor allele, by a loop over their rows."""
+    f, even = prior.frequencies(6), np.full(6, 1 / 6)
+    values = (np.random.default_rng(4).normal(size=48)).tolist()
+    schema = "chrom string, sample string, pos int, is_reverse boolean, read_num int, x array<double>, n_a long, n_c long, n_g long, n_t long, major string, minor string"
+    data = [("c", "s", p, r, n, [1.0, d / 4], 9, 1, d, 2, "AC"[p], "TN"[p]) for p in (0, 1) for r in (False, True) for n in (1, 2) for d in (0, 3)]
+    got = {(r.pos, r.is_reverse, r.read_num, r.x[1]): r for r in simulate.simulate(spark.createDataFrame(data, schema).repartition(3), logit.coefficients(spark, values, 2), f, even, 9).collect()}
+    table, flip = np.array(values).reshape(4, 2, 3, 2), {"A": "T", "C": "G", "G": "C", "T": "A"}
+    for p in (0, 1):
+        rng = simulate.seeded(9, "c", "s", p)
+        freq = float(rng.choice(f, p=even))
+        minor = "T" if p == 0 else str(rng.choice(list("AGT")))
+        for _, _, _, reverse, read_num, x, *n, major, _ in sorted(r for r in data if r[2] == p):
+            total, counts = sum(n), np.zeros(4, int)
+            k = int(rng.binomial(total, freq))
+            for allele, m in ((minor, k), (major, total - k)):
+                w = table["ACGT".index(flip[allele] if reverse else allele), read_num - 1] @ x
+                e = np.exp([*w, 0.0])
+                counts += rng.multinomial(m, e / e.sum())
+            r = got[p, reverse, read_num, x[1]]
+            assert [r.n_a, r.n_c, r.n_g, r.n_t] == counts.tolist() and r.true_freq == freq
+
+
+def test_network_posterior_against_a_plain_sum(spark):
+    """The registered query, site by site, from the same labelled observations."""
+    from seqmill import queries
+    from tests.oracle import SMALL
+
+    net, f, lpf = queries.fixed_network(7), prior.frequencies(queries.POINTS), queries.PRIOR.log_probabilities(queries.POINTS)
+    rows = queries._labelled(spark, SMALL).toPandas()
+    flip = dict(zip("ACGT", "TGCA", strict=True))
+    got = {(r.chrom, r.sample, r.pos): r for r in queries.network_posterior(spark, SMALL).collect()}
+    joint = {}
+    for r in rows.itertuples():
+        minor = r.minor if r.minor != "N" else ("C" if r.major == "A" else "A")
+        lp = []
+        for allele in (r.major, minor):
+            true = flip[allele] if r.is_reverse else allele
+            lp.append(net.forward(np.array([[*r.x, r.read_num - 1, *(float(true == b) for b in "ACGT")]]))[0][0])
+        n = np.array([r.n_a, r.n_c, r.n_g, r.n_t])
+        term = (n * np.log(f[:, None] * np.exp(lp[1]) + (1 - f[:, None]) * np.exp(lp[0]))).sum(1)
+        key = (r.chrom, r.sample, r.pos)
+        joint[key] = joint.get(key, lpf) + term
+    assert set(got) == set(joint)
+    for key, j in joint.items():
+        np.testing.assert_allclose(got[key].log_post, j - np.logaddexp.reduce(j), atol=2e-6)
+        assert got[key].best_k == j.argmax()
