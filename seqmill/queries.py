@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,7 +128,7 @@ def variable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minmax_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _observed(spark, sf_dir).select("bq", "mapq", "dend_bin").distinct().persist()
+    rows = _observed(spark, sf_dir).select("bq", "mapq", "dend_bin").distinct()
     low = observations.column_statistics(rows, rows.columns).collect()
     scaled = observations.normalise(rows, {r["name"]: (r["low"], r["high"]) for r in low})
     return scaled.select(*(F.round(c, 6).alias(c) for c in rows.columns))
@@ -153,9 +154,14 @@ def freq_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prior_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each sample a prior with a = 1 and b a tenth of its mean coverage."""
-    means = _pileup(spark, sf_dir).groupBy("sample").agg(F.round(F.avg(pileup.coverage()) / 10).alias("b")).collect()
-    tables = [prior.grid(spark, POINTS, prior.Prior(1.0, r["b"], 0.9)).select(F.lit(r["sample"]).alias("sample"), "k", F.round("lpf", 8).alias("lpf")) for r in means]
-    return reduce(DataFrame.union, tables)
+    means = _pileup(spark, sf_dir).groupBy("sample").agg(F.round(F.avg(pileup.coverage()) / 10).alias("b"))
+
+    def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                yield pd.DataFrame({"sample": r.sample, "k": range(POINTS), "lpf": prior.Prior(1.0, r.b, 0.9).log_probabilities(POINTS)})
+
+    return means.mapInPandas(tables, "sample string, k int, lpf double").select("sample", "k", F.round("lpf", 8).alias("lpf"))
 
 
 def prior_betainc_general(spark: SparkSession, sf_dir: str) -> DataFrame:
