@@ -10,7 +10,9 @@ read; % and newlines in roles become %25 and %0A.
 
 Cases: a null text or role is empty; rows without a conv_id form one conversation; turns are
 in ascending order (null first), ties by role, then text, and repeated rows are turns of
-their own; an empty table gives an empty result; other columns are ignored.
+their own; an empty table gives an empty result; other columns are ignored. A conversation is one
+group and its longest example one string, so one of more than about 2 GB of text, Spark's bound of a
+value, is an error; the examples of n assistant turns are n prefixes, which is what the method makes.
 """
 
 from __future__ import annotations

@@ -40,9 +40,23 @@ def bounded(df: DataFrame, limit: str = "4m") -> DataFrame:
     return df
 
 
+#: Folders that stash_at() has written in this process, by session.
+_written: dict[str, list[str]] = {}
+
+
+def clear_stashes(spark: SparkSession) -> int:
+    """Delete what stash() has written for this application: for the end of a job, when no result reads it any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return len(paths)
+
+
 def stash_at(df: DataFrame, name: str = "table") -> str:
     """Write df as Parquet to a new folder in the shared one, and return where."""
     path = f"{shared_folder(df.sparkSession)}/seqmill-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return path
 

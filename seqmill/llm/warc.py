@@ -11,7 +11,8 @@ response and the others are revisits of it; smaller ones are all responses.
 Cases: a null html is an empty payload; rows with equal page_id and payload are alike, so all
 are responses if that page_id is the largest; a null page_id counts below all others, and is a
 response if no other page has the payload; a null url is empty; an empty table writes no
-archive and reads none; other columns are ignored.
+archive and reads none; other columns are ignored; very long pages are whole records, held one at
+a time, up to Spark's bound of 2 GB a value.
 
 A task writes each archive under a name of its own attempt, so a lost or repeated task leaves
 at most files that no list of archives names.

@@ -885,6 +885,40 @@ def test_written_tables_lie_in_the_shared_folder(spark):
     assert table.inputFiles()[0].startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").replace("file://", "file:")) or "shared" in table.inputFiles()[0]
 
 
+def test_stashes_are_cleared(spark, monkeypatch):
+    from seqmill.llm import common
+
+    monkeypatch.setattr(common, "_written", {})
+    table = stash(spark.range(3), "gone")
+    files = table.inputFiles()
+    assert common.clear_stashes(spark) == 1 and common.clear_stashes(spark) == 0
+    assert not any(spark.sparkContext._jvm.java.io.File(f.removeprefix("file://")).exists() for f in files) and files
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from seqmill.llm.common import shared_folder
+
+    unset = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=unset))
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty and null tables, repeated rows, further and clashing columns pass all stages."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30_000))
+    some = documents(spark, [None, "", "a b", prose(rng, 40), "z " * 3, long, *[prose(rng, 30)] * 3], [None, 1, 2, 3, 4, 5, 6, 6, None], [None, "s", "\0", "s", "t", None, "s", "s", "s"]).withColumn("doc", F.lit(1)).withColumn("place", F.lit("x"))
+    for name, docs in (("empty", some.limit(0)), ("odd", some)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(rows) == (name == "odd")
+    assert {r.doc_id for r in rows} >= {3, 5} and {r.doc_id for r in rows} <= {None, 3, 5, 6}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
