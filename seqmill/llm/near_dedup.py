@@ -127,8 +127,17 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.array(*picks).alias("pivots")).filter("n > 1 and low <> high")
 
 
+def _alike_pivots(ids: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Of a node's pivots the least one that each hangs together with at SURE."""
+    label = ids.copy()
+    near = (sketches[:, None] == sketches[None]).mean(2) >= SURE
+    for _ in ids:
+        label = np.where(near, label[None], np.iinfo(np.int64).max).min(1)
+    return label
+
+
 def _pivot_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their node's pivots: the label becomes the least pivot whose sketch agrees at SURE; near: the pivots at NEAR."""
+    """Rows with their node's pivots: the label becomes the least pivot that hangs together with one whose sketch agrees at SURE; near: the pivots at NEAR."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -139,8 +148,14 @@ def _pivot_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         pivot = flat.field("pivot").to_numpy(zero_copy_only=False)
         same = (own[owner] == theirs).mean(1)
         sure = same >= SURE
+        shared = np.empty_like(pivot)
+        begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(ids)))])
+        _, first, node = np.unique(get("node").to_numpy(), return_index=True, return_inverse=True)
+        told = [_alike_pivots(pivot[begin[i] : begin[i + 1]], theirs[begin[i] : begin[i + 1]]) for i in first.tolist()]
+        for i, k in enumerate(node.tolist()):  # every row of a node lists its pivots in the same order
+            shared[begin[i] : begin[i + 1]] = told[k]
         least = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, owner[sure], pivot[sure])
+        np.minimum.at(least, owner[sure], shared[sure])
         hit = np.zeros(len(ids), bool)
         hit[owner[sure]] = True
         near = np.flatnonzero((same >= NEAR) & (ids[owner] != pivot))
