@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, column, stash, stash_at, text_slices
 from .symbols import CONTEXTS, END, ESCAPE, FIRST_WORD, Coder, PrefixCode, Tokens, histories, slot_bits, symbols_of, tokens_of
-from .words import Words, mixed, split_words, vocab_hashes
+from .words import Words, mixed, split_words
 
 SYMBOL_BITS = 17
 #: A passage ends with one word in PASSAGE, and counts as one from LEAST tokens on.
@@ -233,12 +233,25 @@ class Passages:
     key: np.ndarray
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word: the scrambled sum of its bytes, each scrambled with its place."""
+    words = words.cast(pa.binary())
+    if not len(words):
+        return np.empty(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    ends = ends - ends[0]
+    place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(data + (place << 8).astype(np.uint64)), dtype=np.uint64)])
+    return mixed(running[ends[1:]] - running[ends[:-1]])
+
+
 def passages_of(w: Words, place: np.ndarray, first: np.ndarray) -> Passages:
     """place, first: where words and texts lie among the tokens, as in Tokens."""
     n = int(first[-1])
     token = np.full(n, 0x5851F42D4C957F2D, np.uint64)
     if len(w.codes):
-        token[place] = vocab_hashes(w.vocab)[w.codes]
+        token[place] = word_hashes(w.vocab)[w.codes]
     last = (mixed(token) % np.uint64(PASSAGE)) == 0
     last[first[1:] - 1] = True
     stop = np.flatnonzero(last) + 1

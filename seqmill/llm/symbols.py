@@ -95,7 +95,7 @@ class PrefixCode:
         sums = np.concatenate([p, np.zeros((n - 1, states))])
         for node in range(n - 1):
             sums[n + node] = sums[children[node, 0]] + sums[children[node, 1]]
-        odds = np.clip(np.log(sums[children[:, 1]] / sums[children[:, 0]]), -12, 12).T.astype(np.float32)
+        odds = np.ascontiguousarray(np.clip(np.log(sums[children[:, 1]] / sums[children[:, 0]]), -12, 12).T, np.float32)
         now, alive, steps = np.arange(n), np.arange(n), []
         while len(alive):
             above = up[now[alive]]
