@@ -420,8 +420,6 @@ def test_counts_of_escaped_words_and_of_the_teaching_fold_are_used(spark):
 
 def plain_score(m, text, c, passages, training):
     """log10 P of a text by the model's own numbers, token by token and bit by bit; c, passages: training counts."""
-    import xxhash
-
     mask, nodes = 2**64 - 1, m.coder.code
 
     def mix64(x):
@@ -467,7 +465,7 @@ def plain_score(m, text, c, passages, training):
             total += math.log10(m.share * c.get(words[i], 0) / max(m.rare_tokens, 1) + (1 - m.share) * 10**plain)
         each.append(total)
         state = int(m.coder.classes[symbol]) or state
-    hashes = [xxhash.xxh3_64_intdigest(w) for w in words] + [0x5851F42D4C957F2D]
+    hashes = [mix64(sum(mix64(b + (i << 8)) for i, b in enumerate(w)) & mask) for w in words] + [0x5851F42D4C957F2D]
     cut, found = 0, []
     for i, h in enumerate(hashes):
         if mix64(h) % context_mixing.PASSAGE == 0 or i == len(words):
