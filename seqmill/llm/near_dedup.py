@@ -192,8 +192,9 @@ def chosen_paths(members: DataFrame, trees: int) -> tuple[DataFrame, list[DataFr
         heads = keyed_join(sketched, wanted.select("id").distinct(), "id", PIVOTS * count)
         heads = wanted.join(heads, "id").groupBy("node").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), "sketch")).alias("heads"))
         inside = stash(keyed_join(rows, stash(heads, "pivots"), "node", count), "inside")
-        ids = inside.select("id").distinct()
-        inside = inside.join(keyed_join(sketched, ids, "id", ids.count()), "id")
+        # a member meets its sketch once, not once for each of its nodes, of which it has a few a tree
+        whole = inside.groupBy("id").agg(F.collect_list(F.struct("node", "label", "heads")).alias("at"))
+        inside = whole.join(sketched, "id").select("id", "sketch", F.inline("at"))
         labelled = stash(inside.mapInArrow(_pivot_labels, "id bigint, node bigint, label bigint, sketch binary, near array<bigint>"), "labels")
         found = labelled.select("id", F.explode("near").alias("pivot"))
         edges.append(found.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
