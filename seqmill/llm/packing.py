@@ -9,13 +9,15 @@ Packing is local to a Spark task, in blocks of `block_pieces` open pieces, so te
 shuffled and a task holds a few numbers for each open piece; each block leaves at most a few
 windows with room. Sequence ids join the task's partition and a running number.
 
-Cases: a null or empty text is the end token alone; a special token's string in a text gets that
+Cases: a null or empty text is the end token alone; texts of any length are tokenised whole, also one
+endless word or run of blanks, and cut into full windows; a special token's string in a text gets that
 token's id, as the tokenizer file has it, or is ordinary text with special=False; rows with the same doc_id are packed as documents of their own; an empty table
 gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +34,7 @@ CAPACITY = 1024
 END_ID = 0
 #: Fixed value: the only special token of byte_bpe_50k.json.
 SPECIAL = {"<|endoftext|>": 50256}
+_SPECIAL_PARTS = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 
 
 class OpenWindows:
@@ -103,13 +106,31 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+#: White space of the pattern; a run of so many characters is one piece of the vocabulary's merges, found
+#: without the pattern, whose search for the end of a run takes stack for every character.
+_LONG_BLANKS = re.compile(r"[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def ordinary_ids(bpe, text: str) -> list[int]:
+    """The ids of a text whose special strings are ordinary text; any run of blanks may be of any length."""
+    ids, at = [], 0
+    for run in _LONG_BLANKS.finditer(text):
+        # the last blank of a run goes with the word after it, unless the text ends
+        stop = run.end() - (run.end() < len(text))
+        ids += bpe.encode_ordinary(text[at : run.start()]) + bpe._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return ids + bpe.encode_ordinary(text[at:]) if at else bpe.encode_ordinary(text)
+
+
 def token_ids(text: str, path: str, special: bool = False) -> np.ndarray:
     """The ids of a whole text as little-endian unsigned 32-bit numbers, closed with END_ID.
 
     special: whether SPECIAL's strings get their ids, as byte_bpe_50k.json does unless told not to.
     """
     bpe = encoder(path)
-    ids = bpe.encode(text, allowed_special="all") if special and any(s in text for s in SPECIAL) else bpe.encode_ordinary(text)
+    ids: list[int] = []
+    for part in _SPECIAL_PARTS.split(text) if special else [text]:
+        ids += [SPECIAL[part]] if special and part in SPECIAL else ordinary_ids(bpe, part)
     ids.append(END_ID)
     return np.array(ids, "<u4")
 

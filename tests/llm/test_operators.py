@@ -161,6 +161,26 @@ def test_packed_ids_are_those_of_the_file_with_its_own_settings(spark):
     assert plain[5].ids_crc32 == got[5].ids_crc32 and plain[0].doc_tokens > got[0].doc_tokens
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_of_long_runs_of_blanks(seed, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, path = random.Random(seed), packing.default_ranks()
+    for text in (" " * 2_000_000, "\n" * 2_000_000 + "x", "a" + " \n" * 1_000_000 + "<|endoftext|>" + "\t" * 20_000 + " b")[seed : seed + 1]:
+        assert packing.token_ids(text, path, special=True)[:-1].tolist() == exact.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "_LONG_BLANKS", re.compile(packing._LONG_BLANKS.pattern.replace("10000", "3")))
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "b c", " ", "  ", "\n", "\t\r", "\x85", "\xa0", "\u2003", "\u3000", "\x1c", "!", "7", "'s", "é", "<|endoftext|>"]) for _ in range(rng.randint(0, 30)))
+        assert packing.token_ids(text, path, special=True)[:-1].tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_of_blanks_are_packed(spark):
+    rows = packing.pack(documents(spark, [" " * 2_000_000, "\n" * 2_000_000, "a b"])).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {(r["doc_id"], r["n"], r["all"]) for r in rows} == {(0, 2_000_001, 2_000_001), (1, 1_000_001, 1_000_001), (2, 3, 3)}
+
+
 def test_little_padding(spark):
     """Of all places in the sequences under one in a hundred is padding."""
     rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(2))
