@@ -53,11 +53,11 @@ def clear_stashes(spark: SparkSession) -> int:
     return len(paths)
 
 
-def stash_at(df: DataFrame, name: str = "table") -> str:
-    """Write df as Parquet to a new folder in the shared one, and return where."""
+def stash_at(df: DataFrame, name: str = "table", *by: str) -> str:
+    """Write df as Parquet, partitioned by columns if named, to a new folder in the shared one, and return where."""
     path = f"{shared_folder(df.sparkSession)}/seqmill-{name}-{uuid.uuid4().hex}"
     _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return path
 
 

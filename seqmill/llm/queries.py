@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, context_mixing, fingerprint, host_rules, mixing, near_dedup, packing, pii, warc, weak_labels
+from . import alignment, chat, context_mixing, fingerprint, host_rules, mixing, near_dedup, packing, pii, sharding, spelling, warc, weak_labels
 from .common import tables_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,12 +72,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_components(tables_of(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score(alignment.align(tables_of(spark, sf_dir, "documents")))
+
+
+def op12_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = sharding.layout_for(8)
+    return sharding.digests(tables_of(spark, sf_dir, "documents"), layout, sharding.grown(layout))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(tables_of(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_packing, op3_mixing, op4_prefix_targets, op5_personal_data, op6_context_mixing, op7_host_rules, op8_weak_labels, op9_warc, op10_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_packing, op3_mixing, op4_prefix_targets, op5_personal_data, op6_context_mixing, op7_host_rules, op8_weak_labels, op9_warc, op10_near_dedup, op11_token_alignment, op12_hash_tree, op13_spelling, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
