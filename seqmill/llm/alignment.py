@@ -133,7 +133,8 @@ def aligned_chunks(texts: list[str], ranks: str, pieces: str) -> Chunks:
             codes += [known.setdefault(c, len(known)) for c in _CHUNK.split(" " + text)]
         bounds.append(len(codes))
     chunks = list(known)
-    ids_a = [ordinary_ids(bpe, c) for c in chunks]
+    plain = bpe.encode_ordinary
+    ids_a = [plain(c) if len(c) < 5000 else ordinary_ids(bpe, c) for c in chunks]
     # the model adds the space that each chunk begins with, but not to an empty text
     alone = model.piece_to_id("▁")
     ids_b = [ids if len(c) > 1 else [alone] for c, ids in zip(chunks, model.encode([c[1:] for c in chunks], num_threads=1), strict=True)]

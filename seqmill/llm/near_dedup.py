@@ -10,13 +10,16 @@ is either decided or lies within one component already.
 The number of trees follows from `target_recall`: with r of them, a pair at similarity 0.75 meets at
 a root with probability 1 - 0.25^r, and pairs that are more alike do more often. NEAR is 3.3 standard
 deviations of a sketch below 0.75. In a node of over `LEAF` members some members are pivots: the least id
-and a few by hash, other ones in every node. All members are compared with them, and what is NEAR is
-confirmed; members at `SURE` to a pivot share its label, a node of one label ends, and what is left after
-`LEVELS` levels is compared exhaustively block by block, each member with all of other labels. So no
-group of copies is cut or left out, however large it is.
+and a few by hash, other ones in every node. All members are compared with them by sketch, each proposes the
+least pivot of another label that it is NEAR, and of two labels at most two proposals are confirmed on full sets. Confirmed links join
+labels, which hold in all nodes: a node of one label ends, one with few pairs of different labels becomes leaves at
+once, however large it is, and only the others branch. What `LEVELS` levels leave is compared exhaustively block
+by block, each member with all of other labels. So no group of copies is cut or left out, and a group whose members are
+linked with its pivots does not branch at all.
 
 What keeps this linear: equal sets are one member; nodes with equal members are worked on once, whether
-small or large; one node returns a spanning forest, never all of its pairs.
+small or large; members of one label are not compared; one node returns a spanning forest of its labels, never all of its
+pairs; pairs meet their sets in joins that deal a set out to as many tasks as it has thousands of pairs.
 
 Cases: texts without words (null, empty) have an empty set and are linked with nothing; of
 fewer than five words the whole sequence is the one shingle; a null doc_id is a document of
@@ -50,7 +53,9 @@ TARGET_RECALL = 1 - 1e-7
 LEAF = 1500
 #: Pivots of a large node, and how often large nodes branch before they are compared block by block.
 PIVOTS, LEVELS = 4, 8
-NEAR, SURE = 0.66, 0.9
+NEAR = 0.66
+#: Pairs of one set that a task confirms.
+PAIRS_A_TASK = 1000
 _LOWEST = -(2**63)
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -127,41 +132,28 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"), F.array(*picks).alias("pivots")).filter("n > 1 and low <> high")
 
 
-def _alike_pivots(ids: np.ndarray, sketches: np.ndarray) -> np.ndarray:
-    """Of a node's pivots the least one that each hangs together with at SURE."""
-    label = ids.copy()
-    near = (sketches[:, None] == sketches[None]).mean(2) >= SURE
-    for _ in ids:
-        label = np.where(near, label[None], np.iinfo(np.int64).max).min(1)
-    return label
-
-
-def _pivot_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their node's pivots: the label becomes the least pivot that hangs together with one whose sketch agrees at SURE; near: the pivots at NEAR."""
+def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of members in large nodes, with the pivot that each proposes to: of those of other labels that it is NEAR the
+    least one at 0.75 or more, else the least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-        ids, labels, heads = get("id").to_numpy(), get("label").to_numpy().copy(), get("heads")
+        labels, heads = get("label").to_numpy(), get("heads")
         owner, flat = pc.list_parent_indices(heads).to_numpy(zero_copy_only=False).astype(np.int64), heads.flatten()
         own, theirs = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for x in (get("sketch"), flat.field("sketch")))
-        pivot = flat.field("pivot").to_numpy(zero_copy_only=False)
+        pivot, other = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pivot", "label"))
         same = (own[owner] == theirs).mean(1)
-        sure = same >= SURE
-        shared = np.empty_like(pivot)
-        begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(ids)))])
-        _, first, node = np.unique(get("node").to_numpy(), return_index=True, return_inverse=True)
-        told = [_alike_pivots(pivot[begin[i] : begin[i + 1]], theirs[begin[i] : begin[i + 1]]) for i in first.tolist()]
-        for i, k in enumerate(node.tolist()):  # every row of a node lists its pivots in the same order
-            shared[begin[i] : begin[i + 1]] = told[k]
-        least = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, owner[sure], shared[sure])
-        hit = np.zeros(len(ids), bool)
-        hit[owner[sure]] = True
-        near = np.flatnonzero((same >= NEAR) & (ids[owner] != pivot))
-        sizes = np.bincount(owner[near], minlength=len(ids))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(pivot[near]))
-        yield pa.RecordBatch.from_arrays([get("id"), get("node"), pa.array(np.where(hit, least, labels)), get("sketch"), lists], names=["id", "node", "label", "sketch", "near"])
+        near = np.flatnonzero((same >= NEAR) & (labels[owner] != other))
+        near = near[np.lexsort((pivot[near], same[near] < 0.75, owner[near]))]
+        near = near[np.diff(owner[near], prepend=-1) != 0]
+        told = np.zeros(len(labels), bool)
+        told[owner[near]] = True
+        values = [np.zeros(len(labels), t) for t in (np.int64, np.int64, np.float64)]
+        for v, x in zip(values, (pivot, other, same), strict=True):
+            v[owner[near]] = x[near]
+        arrays = [get("id"), get("node"), get("label"), get("sketch"), *(pa.array(v, mask=~told) for v in values)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "node", "label", "sketch", "pivot", "pivot_label", "same"])
 
 
 def _distinct_nodes(nodes: DataFrame) -> DataFrame:
@@ -169,52 +161,138 @@ def _distinct_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("n", "members").agg(F.min_by(F.struct("node", "pivots"), "node").alias("kept")).select("n", "kept.*")
 
 
-def chosen_paths(members: DataFrame, trees: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(node, id) of all leaf nodes, and the edges (a, b) that large nodes have given."""
+class Links:
+    """Confirmed links (u, v) of a join, the labels that they join, and the full sets that confirming has needed."""
+
+    def __init__(self, texts: DataFrame, told: DataFrame | None = None) -> None:
+        """texts: id, text. told: doc, digest and id of the texts of documents with several; texts have the doc's id there."""
+        self.texts, self.told = texts, told
+        self.sets: list[DataFrame] = []
+        self.linked: list[DataFrame] = []
+        self.n = self.n_labels = 0
+        self.labels: DataFrame | None = None
+
+    def label(self, rows: DataFrame, name: str = "label") -> DataFrame:
+        """rows with the label of each id: the least id that links so far reach."""
+        if self.labels is None:
+            return rows.withColumn(name, F.col("id"))
+        labels = self.labels.select("id", F.col("component").alias("_label"))
+        return keyed_join(rows, labels, "id", self.n_labels, "left").withColumn(name, F.coalesce("_label", "id")).drop("_label")
+
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """id, set of at least the ids in wanted; sets that are there already are not made again."""
+        for held in self.sets:
+            wanted = wanted.join(held.select("id"), "id", "left_anti")
+        wanted = stash(wanted.distinct(), "wanted")
+        if wanted.limit(1).count():
+            self.sets.append(stash(self._made(wanted), "sets"))
+        return reduce(DataFrame.union, self.sets) if self.sets else self.texts.sparkSession.createDataFrame([], "id bigint, set binary")
+
+    def _made(self, wanted: DataFrame) -> DataFrame:
+        made = lambda ids: keyed_join(self.texts, ids, "id", ids.count()).mapInArrow(_sets_of, "id bigint, set binary, digest binary")
+        if self.told is None:
+            return made(wanted).select("id", "set")
+        of = stash(wanted.join(self.told, "id"), "texts")
+        several = made(stash(of.select(F.col("doc").alias("id")).distinct(), "docs")).withColumnRenamed("id", "doc")
+        plain = made(stash(wanted.join(self.told.select("id"), "id", "left_anti"), "plain")).select("id", "set")
+        return plain.union(several.join(of, ["doc", "digest"]).select("id", "set").dropDuplicates(["id"]))
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Written: a, b, linked of the distinct pairs (a, b); labels are joined by the linked ones."""
+        pairs = stash(pairs.select("a", "b").distinct(), "pairs")
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
+        decided = stash(both.mapInArrow(_confirmed, "a bigint, b bigint, linked boolean"), "decided")
+        self.add(decided.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), decided.count())
+        return decided
+
+    def add(self, linked: DataFrame, n: int) -> None:
+        self.linked, self.n = [*self.linked, linked], self.n + n
+        self.labels = stash(components(reduce(DataFrame.union, self.linked), self.n), "labels")
+        self.n_labels = self.labels.count()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """pairs with the set of one side; a set with many pairs is dealt out to a task for each PAIRS_A_TASK of them."""
+    many = stash(pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("tasks")).filter("tasks > 1"), "many")
+    n = many.count()
+    sets = sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"))
+    tasks = F.coalesce("tasks", F.lit(1))
+    dealt = keyed_join(pairs, many, side, n, "left").withColumn("task", F.pmod(F.xxhash64("a", "b"), tasks).cast("int")).drop("tasks")
+    copies = keyed_join(sets, many, side, n, "left").withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("tasks")
+    return dealt.join(copies, [side, "task"]).drop("task")
+
+
+def chosen_paths(members: DataFrame, trees: int, links: Links) -> DataFrame:
+    """(node, id) of all leaf nodes; large nodes add to links on the way."""
     roots = [F.xxhash64(F.lit(i), F.substring("roots", 4 * i + 1, 4)) for i in range(trees)]
-    rows = stash(members.select("id", F.col("id").alias("label"), F.explode(F.array(*roots)).alias("node")), "roots")
+    rows = stash(members.select("id", F.explode(F.array(*roots)).alias("node")), "roots")
     sketched = members.select("id", "sketch")
-    leaves: DataFrame | None = None
-    edges: list[DataFrame] = []
+    leaves: list[DataFrame] = []
     for level in range(LEVELS + 1):
-        nodes = stash(_sized(rows), "nodes")
+        nodes = stash(_sized(links.label(rows)), "nodes")
         small = stash(_distinct_nodes(nodes.filter(F.col("n") <= LEAF)).select("node"), "small")
-        found = keyed_join(rows, small, "node", small.count()).select("node", "id")
-        leaves = found if leaves is None else leaves.union(found)
+        leaves.append(keyed_join(rows, small, "node", small.count()).select("node", "id"))
         large = stash(_distinct_nodes(nodes.filter(F.col("n") > LEAF)), "large")
         count = large.count()
         if not count:
             break
+        inside = stash(_compared_with_pivots(rows, large, count, sketched, links), "inside")
+        two = [F.least("label", "pivot_label"), F.greatest("label", "pivot_label")]
+        pair = F.struct(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        proposed = inside.filter("pivot is not null").groupBy(*two).agg(F.array(F.max_by(pair, F.struct("same", "id")), F.min(pair)).alias("pairs"))
+        links.confirm(proposed.select(F.inline("pairs")))
+        large, dominated, kept = _told_by_labels(links.label(inside.select("id", "node")))
+        n_dominated = dominated.count()
+        if n_dominated:
+            leaves.append(_leaves_beside(links.label(inside.select("id", "node")), dominated, n_dominated))
+        if not kept:
+            break
         if level == LEVELS:
-            edges.append(_block_by_block(rows, large, sketched, count))
+            leaves.append(_blocks(keyed_join(inside.select("id", "node"), large.select("node", "n"), "node", kept)))
             break
-        wanted = large.select("node", F.explode(F.array_distinct("pivots")).alias("id"))
-        heads = keyed_join(sketched, wanted.select("id").distinct(), "id", PIVOTS * count)
-        heads = wanted.join(heads, "id").groupBy("node").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), "sketch")).alias("heads"))
-        inside = stash(keyed_join(rows, stash(heads, "pivots"), "node", count), "inside")
-        # a member meets its sketch once, not once for each of its nodes, of which it has a few a tree
-        whole = inside.groupBy("id").agg(F.collect_list(F.struct("node", "label", "heads")).alias("at"))
-        inside = whole.join(sketched, "id").select("id", "sketch", F.inline("at"))
-        labelled = stash(inside.mapInArrow(_pivot_labels, "id bigint, node bigint, label bigint, sketch binary, near array<bigint>"), "labels")
-        found = labelled.select("id", F.explode("near").alias("pivot"))
-        edges.append(found.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
         # two levels at a time, each node choosing two or three pairs of tokens, told apart by their sketch bytes
         picks = F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("node"), F.lit(4)) == 0, 2).otherwise(1))
-        chosen = labelled.select("id", "label", "node", "sketch", F.explode(picks).alias("pick"))
+        branching = keyed_join(inside.select("id", "node", "sketch"), large.select("node"), "node", kept)
+        chosen = branching.select("id", "node", "sketch", F.explode(picks).alias("pick"))
         values = [F.substring("sketch", F.pmod(F.xxhash64(F.lit(k), "node", "pick"), F.lit(PERMUTATIONS)).cast("int") + 1, F.lit(1)) for k in (1, 2)]
-        rows = stash(chosen.select("id", "label", F.xxhash64("node", "pick", *values).alias("node")), "paths")
-    return stash(leaves, "leaves"), edges
+        rows = stash(chosen.select("id", F.xxhash64("node", "pick", *values).alias("node")), "paths")
+    return stash(reduce(DataFrame.union, leaves), "leaves")
+
+
+def _compared_with_pivots(rows: DataFrame, large: DataFrame, count: int, sketched: DataFrame, links: Links) -> DataFrame:
+    wanted = stash(links.label(large.select("node", F.explode(F.array_distinct("pivots")).alias("id"))), "wanted")
+    heads = keyed_join(sketched, wanted.select("id").distinct(), "id", PIVOTS * count)
+    heads = wanted.join(heads, "id").groupBy("node").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), "label", "sketch")).alias("heads"))
+    found = links.label(keyed_join(rows, stash(heads, "pivots"), "node", count, limit=20_000))
+    # a member meets its sketch once, not once for each of its nodes, of which it has a few a tree
+    whole = found.groupBy("id").agg(F.collect_list(F.struct("node", "label", "heads")).alias("at"))
+    met = whole.join(sketched, "id").select("id", "sketch", F.inline("at"))
+    return bounded(met).mapInArrow(_proposals, "id bigint, node bigint, label bigint, sketch binary, pivot bigint, pivot_label bigint, same double")
+
+
+def _told_by_labels(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Of nodes with several labels those that go on, those with at most as many pairs across labels as a leaf, and how many go on."""
+    parts = rows.groupBy("node", "label").agg(F.count("*").alias("k"))
+    nodes = parts.groupBy("node").agg(F.sum("k").alias("n"), F.sum(F.col("k").cast("double") * F.col("k")).alias("squares"), F.max_by("label", "k").alias("major")).filter("n * cast(n as double) > squares")
+    nodes = stash(nodes.withColumn("few", F.col("n").cast("double") * F.col("n") - F.col("squares") <= float(LEAF) * LEAF), "told")
+    return nodes.filter("not few"), nodes.filter("few"), nodes.filter("not few").count()
+
 
+def _leaves_beside(rows: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """Leaves that hold a part of a node's largest label and all of its other labels, which are few."""
+    blocks = F.ceil(F.col("n") / LEAF).cast("int")
+    held = keyed_join(rows, nodes.select("node", "major", blocks.alias("blocks")), "node", count)
+    own = F.when(F.col("label") == F.col("major"), F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return held.select("id", "node", F.explode(own).alias("block")).select(F.xxhash64(F.lit("beside"), "node", "block").alias("node"), "id")
 
-def _block_by_block(rows: DataFrame, large: DataFrame, sketched: DataFrame, count: int) -> DataFrame:
-    """Edges between members of different labels of large nodes, each pair of blocks of a node being one task's group."""
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Leaves that hold each two blocks of a node's members."""
     half = max(1, LEAF // 2)
-    blocks = F.ceil(F.col("n") / half).cast("int")
-    held = keyed_join(rows, large.select("node", blocks.alias("blocks")), "node", count).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = held.select("id", "label", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = pairs.select("id", "label", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"))
-    filled = keyed.join(sketched, "id").select("node", "id", "label", "sketch")
-    return _by_node(filled).mapInArrow(_forests_across, "a bigint, b bigint")
+    held = rows.withColumn("blocks", F.ceil(F.col("n") / half).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = held.select("id", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return pairs.select(F.xxhash64(F.lit("blocks"), "node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id")
 
 
 def _by_node(rows: DataFrame) -> DataFrame:
@@ -264,15 +342,15 @@ def _near_pairs(nodes: np.ndarray, sketches: np.ndarray, apart: np.ndarray | Non
 
 class Union:
     def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def root(self, x: int) -> int:
+    def root(self, x):
         up = self.up
         while (y := up.get(x, x)) != x:
             up[x] = x = up.get(y, y)
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x, y) -> bool:
         x, y = self.root(x), self.root(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
@@ -283,29 +361,20 @@ def _sketches(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
 
 
-def _forest(table: pa.Table, apart: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Of each node, the spanning forest of its NEAR pairs, the most alike first."""
-    nodes, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
-    i, j, same = _near_pairs(nodes, _sketches(table), apart)
-    order = np.argsort(-same, kind="stable")
-    trees, held = Union(), []
-    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        if trees.join(x, y):
-            held.append((x, y))
-    if held:
-        x, y = np.array(held).T
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
-
-
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each node, the spanning forest of its labels by NEAR pairs, the most alike first."""
     for table in _whole_nodes(batches):
-        yield from _forest(table, None)
-
-
-def _forests_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _forests, between different labels."""
-    for table in _whole_nodes(batches):
-        yield from _forest(table, table.column("label").to_numpy())
+        nodes, ids, labels = (table.column(c).to_numpy() for c in ("node", "id", "component"))
+        i, j, same = _near_pairs(nodes, _sketches(table), labels)
+        order = np.argsort(-same, kind="stable")
+        i, j = i[order], j[order]
+        trees, held = Union(), []
+        for x, y, node, u, v in zip(i.tolist(), j.tolist(), nodes[i].tolist(), labels[i].tolist(), labels[j].tolist(), strict=True):
+            if trees.join((node, u), (node, v)):
+                held.append((x, y))
+        if held:
+            x, y = np.array(held).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
 
 
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +423,8 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = column(batch, "text")
         for at, n in text_slices(texts, 1 << 20):
             sets = [s.tobytes() for s in shingle_sets(texts.slice(at, n))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sets, pa.binary())], names=["id", "set"])
+            digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sets, pa.binary()), pa.array(digests, pa.binary())], names=["id", "set", "digest"])
 
 
 def _told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -387,44 +457,31 @@ def find_components(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
     members = placed.filter("digest is not null and id = first").select("id", "roots", "sketch")
     members = stash(members.dropDuplicates(["id"]) if several is not None else members, "members")
 
-    leaves, edges = chosen_paths(members, trees)
-    sketched = leaves.join(members.select("id", "sketch"), "id")
-    forests = _by_node(sketched.select("node", "id", "sketch")).mapInArrow(_forests, "a bigint, b bigint")
-    pairs = stash(reduce(DataFrame.union, edges, forests).filter("a <> b").distinct(), "pairs")
-
-    wanted = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    keyed = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
-    sets = stash(keyed_join(keyed, wanted, "id", wanted.count()).mapInArrow(_sets_of, "id bigint, set binary"), "sets")
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    with_both = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    decided = with_both.mapInArrow(_confirmed, "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
-    decided = stash(decided, "decided")
-    linked = decided.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    n_pairs = decided.count()
+    texts = bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("id"), F.col("text").cast("string").alias("text"))
+    told = None if several is None else stash(keyed_join(placed, several, "doc", several.count()).filter("digest is not null").select("doc", "digest", "id").distinct(), "told")
+    links = Links(texts, told)
+    leaves = chosen_paths(members, trees, links)
+    sketched = members.select("id", "sketch")
+    filled = lambda: links.label(leaves, "component").join(sketched, "id").select("node", "id", "component", "sketch")
+    decided = links.confirm(_by_node(filled()).mapInArrow(_forests, "a bigint, b bigint"))
     if several is not None:  # the texts of one document hang together
         own = stash(keyed_join(placed, several, "doc", several.count()).select(F.col("doc").alias("u"), F.col("first").alias("v")).distinct(), "same")
-        linked, n_pairs = linked.union(own), n_pairs + own.count()
-    first = stash(components(linked, n_pairs), "first")
+        links.add(own, own.count())
 
     # A refused pair may have stood for others of its node: compare its components' members anew.
-    own = wanted.join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    own = stash(own, "own")
-    n_own = own.count()
     refused = decided.filter("not linked").select("a", "b")
-    ends = keyed_join(refused, own.select(F.col("id").alias("a"), F.col("component").alias("u")), "a", n_own)
-    ends = keyed_join(ends, own.select(F.col("id").alias("b"), F.col("component").alias("v")), "b", n_own).filter("u <> v")
-    dirty = stash(ends.select(F.col("u").alias("component")).union(ends.select("v")).distinct(), "dirty")
+    ends = links.label(refused.withColumnRenamed("a", "id"), "u").drop("id").withColumnRenamed("b", "id")
+    ends = links.label(ends, "v").filter("u <> v")
+    dirty = stash(ends.select(F.explode(F.array("u", "v")).alias("component")).distinct(), "dirty")
     n_dirty = dirty.count()
-    final = first
     if n_dirty:
-        again = keyed_join(own, dirty, "component", n_dirty).select("id", "component")
-        rows = keyed_join(leaves, again, "id", n_own).join(members.select("id", "sketch"), "id").select("node", "id", "component", "sketch")
-        involved = stash(_by_node(rows).mapInArrow(_involved, "node bigint, id bigint, component bigint"), "involved")
-        filled = involved.join(members.select("id", "sketch"), "id").join(sets, "id").select("node", "id", "component", "sketch", "set")
-        across = stash(_by_node(filled).mapInArrow(_links_across, "u bigint, v bigint"), "across")
-        merged = components(across, across.count()).select(F.col("id").alias("component"), F.col("component").alias("merged"))
-        final = first.union(across.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(first, "id", "left_anti").select("id", F.col("id").alias("component")))
-        final = final.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+        again = keyed_join(links.label(leaves, "component"), dirty, "component", n_dirty).join(sketched, "id").select("node", "id", "component", "sketch")
+        involved = stash(_by_node(again).mapInArrow(_involved, "node bigint, id bigint, component bigint"), "involved")
+        sets = links.sets_of(involved.select("id"))
+        held = involved.join(sketched, "id").join(sets, "id").select("node", "id", "component", "sketch", "set")
+        across = stash(_by_node(held).mapInArrow(_links_across, "u bigint, v bigint"), "across")
+        links.add(across, across.count())
+    final = links.labels.select(F.col("id"), "component")
     final = stash(final, "components").select(F.col("id").alias("first"), "component")
     result = keyed_join(placed.select("doc", "n_shingles", "first"), final, "first", final.count(), "left")
     component = F.coalesce("component", "first")
