@@ -133,27 +133,31 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of members in large nodes, with the pivot that each proposes to: of those of other labels that it is NEAR the
-    least one at 0.75 or more, else the least."""
+    """Members with their large nodes, and for each the pivot that the member proposes to: of those of other labels that it
+    is NEAR the least one at 0.75 or more, else the least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-        labels, heads = get("label").to_numpy(), get("heads")
-        owner, flat = pc.list_parent_indices(heads).to_numpy(zero_copy_only=False).astype(np.int64), heads.flatten()
+        at = get("at")
+        member = pc.list_parent_indices(at).to_numpy(zero_copy_only=False).astype(np.int64)
+        nodes, heads = at.flatten().field("node"), at.flatten().field("heads")
+        place, flat = pc.list_parent_indices(heads).to_numpy(zero_copy_only=False).astype(np.int64), heads.flatten()
+        owner = member[place]
         own, theirs = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for x in (get("sketch"), flat.field("sketch")))
-        pivot, other = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pivot", "label"))
+        labels, (pivot, other) = get("label").to_numpy(), (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pivot", "label"))
         same = (own[owner] == theirs).mean(1)
         near = np.flatnonzero((same >= NEAR) & (labels[owner] != other))
-        near = near[np.lexsort((pivot[near], same[near] < 0.75, owner[near]))]
-        near = near[np.diff(owner[near], prepend=-1) != 0]
-        told = np.zeros(len(labels), bool)
-        told[owner[near]] = True
-        values = [np.zeros(len(labels), t) for t in (np.int64, np.int64, np.float64)]
+        near = near[np.lexsort((pivot[near], same[near] < 0.75, place[near]))]
+        near = near[np.diff(place[near], prepend=-1) != 0]
+        told = np.zeros(len(nodes), bool)
+        told[place[near]] = True
+        values = [np.zeros(len(nodes), t) for t in (np.int64, np.int64, np.float64)]
         for v, x in zip(values, (pivot, other, same), strict=True):
-            v[owner[near]] = x[near]
-        arrays = [get("id"), get("node"), get("label"), get("sketch"), *(pa.array(v, mask=~told) for v in values)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "node", "label", "sketch", "pivot", "pivot_label", "same"])
+            v[place[near]] = x[near]
+        flat_at = pa.StructArray.from_arrays([nodes, *(pa.array(v, mask=~told) for v in values)], ["node", "pivot", "pivot_label", "same"])
+        bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(member, minlength=batch.num_rows))]), pa.int32())
+        yield pa.RecordBatch.from_arrays([get("id"), get("label"), get("sketch"), pa.ListArray.from_arrays(bounds, flat_at)], names=["id", "label", "sketch", "at"])
 
 
 def _distinct_nodes(nodes: DataFrame) -> DataFrame:
@@ -224,51 +228,56 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
 
 
 def chosen_paths(members: DataFrame, trees: int, links: Links) -> DataFrame:
-    """(node, id) of all leaf nodes; large nodes add to links on the way."""
+    """id and its leaf nodes; large nodes add to links on the way.
+
+    A member is one row with all of its nodes, so that it meets its label and its sketch once a level.
+    """
     roots = [F.xxhash64(F.lit(i), F.substring("roots", 4 * i + 1, 4)) for i in range(trees)]
-    rows = stash(members.select("id", F.explode(F.array(*roots)).alias("node")), "roots")
+    rows = stash(members.select("id", F.array(*roots).alias("nodes")), "roots")
     sketched = members.select("id", "sketch")
     leaves: list[DataFrame] = []
     for level in range(LEVELS + 1):
-        nodes = stash(_sized(links.label(rows)), "nodes")
+        nodes = stash(_sized(links.label(rows).select("id", "label", F.explode("nodes").alias("node"))), "nodes")
         small = stash(_distinct_nodes(nodes.filter(F.col("n") <= LEAF)).select("node"), "small")
-        leaves.append(keyed_join(rows, small, "node", small.count()).select("node", "id"))
+        flat = rows.select("id", F.explode("nodes").alias("node"))
+        leaves.append(keyed_join(flat, small, "node", small.count()).select("node", "id"))
         large = stash(_distinct_nodes(nodes.filter(F.col("n") > LEAF)), "large")
         count = large.count()
         if not count:
             break
-        inside = stash(_compared_with_pivots(rows, large, count, sketched, links), "inside")
+        inside = stash(_compared_with_pivots(flat, large, count, sketched, links), "inside")
         two = [F.least("label", "pivot_label"), F.greatest("label", "pivot_label")]
         pair = F.struct(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        proposed = inside.filter("pivot is not null").groupBy(*two).agg(F.array(F.max_by(pair, F.struct("same", "id")), F.min(pair)).alias("pairs"))
+        proposed = inside.select("id", "label", F.inline("at")).filter("pivot is not null").groupBy(*two).agg(F.array(F.max_by(pair, F.struct("same", "id")), F.min(pair)).alias("pairs"))
         links.confirm(proposed.select(F.inline("pairs")))
-        large, dominated, kept = _told_by_labels(links.label(inside.select("id", "node")))
+        told = stash(links.label(inside.select("id", F.col("at.node").alias("nodes"))).select("id", "label", F.explode("nodes").alias("node")), "told")
+        large, dominated, kept = _told_by_labels(told)
         n_dominated = dominated.count()
         if n_dominated:
-            leaves.append(_leaves_beside(links.label(inside.select("id", "node")), dominated, n_dominated))
+            leaves.append(_leaves_beside(told, dominated, n_dominated))
         if not kept:
             break
+        going_on = keyed_join(told.select("id", "node"), large.select("node", "n"), "node", kept)
         if level == LEVELS:
-            leaves.append(_blocks(keyed_join(inside.select("id", "node"), large.select("node", "n"), "node", kept)))
+            leaves.append(_blocks(going_on))
             break
         # two levels at a time, each node choosing two or three pairs of tokens, told apart by their sketch bytes
         picks = F.sequence(F.lit(0), F.when(F.pmod(F.xxhash64("node"), F.lit(4)) == 0, 2).otherwise(1))
-        branching = keyed_join(inside.select("id", "node", "sketch"), large.select("node"), "node", kept)
-        chosen = branching.select("id", "node", "sketch", F.explode(picks).alias("pick"))
-        values = [F.substring("sketch", F.pmod(F.xxhash64(F.lit(k), "node", "pick"), F.lit(PERMUTATIONS)).cast("int") + 1, F.lit(1)) for k in (1, 2)]
-        rows = stash(chosen.select("id", F.xxhash64("node", "pick", *values).alias("node")), "paths")
-    return stash(reduce(DataFrame.union, leaves), "leaves")
+        chosen = going_on.select("id", "node", F.explode(picks).alias("pick"))
+        choices = [(F.pmod(F.xxhash64(F.lit(k), "node", "pick"), F.lit(PERMUTATIONS)).cast("int") + 1).alias(f"at{k}") for k in (1, 2)]
+        chosen = chosen.groupBy("id").agg(F.collect_list(F.struct("node", "pick", *choices)).alias("picks")).join(sketched, "id")
+        child = lambda c: F.xxhash64(c["node"], c["pick"], *(F.substring("sketch", c[f"at{k}"], F.lit(1)) for k in (1, 2)))
+        rows = stash(chosen.select("id", F.transform("picks", child).alias("nodes")), "paths")
+    return stash(reduce(DataFrame.union, leaves).groupBy("id").agg(F.collect_list("node").alias("nodes")), "leaves")
 
 
-def _compared_with_pivots(rows: DataFrame, large: DataFrame, count: int, sketched: DataFrame, links: Links) -> DataFrame:
-    wanted = stash(links.label(large.select("node", F.explode(F.array_distinct("pivots")).alias("id"))), "wanted")
-    heads = keyed_join(sketched, wanted.select("id").distinct(), "id", PIVOTS * count)
+def _compared_with_pivots(flat: DataFrame, large: DataFrame, count: int, sketched: DataFrame, links: Links) -> DataFrame:
+    wanted = stash(large.select("node", F.explode(F.array_distinct("pivots")).alias("id")), "wanted")
+    heads = links.label(keyed_join(sketched, wanted.select("id").distinct(), "id", PIVOTS * count))
     heads = wanted.join(heads, "id").groupBy("node").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), "label", "sketch")).alias("heads"))
-    found = links.label(keyed_join(rows, stash(heads, "pivots"), "node", count, limit=20_000))
-    # a member meets its sketch once, not once for each of its nodes, of which it has a few a tree
-    whole = found.groupBy("id").agg(F.collect_list(F.struct("node", "label", "heads")).alias("at"))
-    met = whole.join(sketched, "id").select("id", "sketch", F.inline("at"))
-    return bounded(met).mapInArrow(_proposals, "id bigint, node bigint, label bigint, sketch binary, pivot bigint, pivot_label bigint, same double")
+    found = keyed_join(flat, stash(heads, "pivots"), "node", count, limit=20_000)
+    met = links.label(found.groupBy("id").agg(F.collect_list(F.struct("node", "heads")).alias("at")).join(sketched, "id"))
+    return bounded(met.select("id", "label", "sketch", "at")).mapInArrow(_proposals, "id bigint, label bigint, sketch binary, at array<struct<node: bigint, pivot: bigint, pivot_label: bigint, same: double>>")
 
 
 def _told_by_labels(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -462,8 +471,8 @@ def find_components(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
     links = Links(texts, told)
     leaves = chosen_paths(members, trees, links)
     sketched = members.select("id", "sketch")
-    filled = lambda: links.label(leaves, "component").join(sketched, "id").select("node", "id", "component", "sketch")
-    decided = links.confirm(_by_node(filled()).mapInArrow(_forests, "a bigint, b bigint"))
+    in_nodes = lambda rows: rows.join(sketched, "id").select(F.explode("nodes").alias("node"), "id", "component", "sketch")
+    decided = links.confirm(_by_node(in_nodes(links.label(leaves, "component"))).mapInArrow(_forests, "a bigint, b bigint"))
     if several is not None:  # the texts of one document hang together
         own = stash(keyed_join(placed, several, "doc", several.count()).select(F.col("doc").alias("u"), F.col("first").alias("v")).distinct(), "same")
         links.add(own, own.count())
@@ -475,8 +484,8 @@ def find_components(docs: DataFrame, target_recall: float = TARGET_RECALL) -> Da
     dirty = stash(ends.select(F.explode(F.array("u", "v")).alias("component")).distinct(), "dirty")
     n_dirty = dirty.count()
     if n_dirty:
-        again = keyed_join(links.label(leaves, "component"), dirty, "component", n_dirty).join(sketched, "id").select("node", "id", "component", "sketch")
-        involved = stash(_by_node(again).mapInArrow(_involved, "node bigint, id bigint, component bigint"), "involved")
+        again = keyed_join(links.label(leaves, "component"), dirty, "component", n_dirty)
+        involved = stash(_by_node(in_nodes(again)).mapInArrow(_involved, "node bigint, id bigint, component bigint"), "involved")
         sets = links.sets_of(involved.select("id"))
         held = involved.join(sketched, "id").join(sets, "id").select("node", "id", "component", "sketch", "set")
         across = stash(_by_node(held).mapInArrow(_links_across, "u bigint, v bigint"), "across")
