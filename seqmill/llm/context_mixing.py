@@ -18,9 +18,10 @@ table. The decisions are
   are predicted by their own counts as well, which are joined and grow with the input.
 
 Counts are taken from training documents whose crc32(doc_id as text) mod 7 is not 2 or 6, the
-weights and the refinement are learned online on those of remainder 6, text by text in each task
-(tasks learn side by side, and their weights are averaged), whose counts are then added, and all
-documents are scored. A training document's own passages are taken off their counts when it is
+weights and the refinement are learned online on those of remainder 6, whose counts are then added, and all
+documents are scored. Learning is dealt into lessons of about `LESSON_DOCS` documents (`LESSON_WORDS` words for spelling), by a
+hash of what is learned and in its order; lessons learn side by side, and their weights are averaged. How many
+there are follows from the corpus, so no lesson grows with it, and neither files nor cores change a score. A training document's own passages are taken off their counts when it is
 scored, so that it is predicted by the other documents, as held-out ones are. Every decision has a
 probability within 0 and 1, so the probabilities of all token sequences sum to at most 1. The
 state is read off the words before, so a score depends on the text and the model alone.
@@ -61,6 +62,8 @@ PASSAGE, LEAST = 16, 5
 PASSAGES = -1
 LONGEST = 64
 STATES = 15
+#: About how much one task learns from.
+LESSON_DOCS, LESSON_WORDS = 2048, 1 << 17
 ORDERS = (1, 2, 3, 4, 0)  # 0: the whole beginning
 #: Contexts of a byte: those, and the last two bytes with the state.
 SPELLED = len(ORDERS) + 1
@@ -586,15 +589,22 @@ def _taught(mixer: Mixer, lessons: DataFrame) -> Mixer:
     """mixer with the weights of all tasks, averaged by what they saw, and the sums of their hits."""
     taught = lessons.toArrow()
     if taught.num_rows:
-        seen = taught.column("seen").to_numpy()
-        weights = sum(s * np.frombuffer(w.as_buffer(), float) for s, w in zip(seen, taught.column("weights"), strict=True)) / seen.sum()
-        mixer.load(weights, sum(np.frombuffer(h.as_buffer(), float) for h in taught.column("hits")))
+        told = sorted(zip(*(taught.column(c).to_pylist() for c in ("seen", "weights", "hits")), strict=True))
+        weights = sum(s * np.frombuffer(w, float) for s, w, _ in told) / sum(s for s, _, _ in told)
+        mixer.load(weights, sum(np.frombuffer(h, float) for _, _, h in told))
     return mixer
 
 
 _LESSON = "seen double, weights binary, hits binary"
 
 
+def _lessons(rows: DataFrame, count: int, size: int, *columns: str) -> DataFrame:
+    """The columns of rows, dealt into lessons of about `size` rows by a hash of all columns and in its order."""
+    n = max(1, math.ceil(count / size))
+    dealt = rows.withColumn("_key", F.xxhash64(*rows.columns)).withColumn("_lesson", F.pmod(F.col("_key"), F.lit(n)).cast("int"))
+    return dealt.repartitionById(n, F.col("_lesson")).sortWithinPartitions("_key", *rows.columns).select(*columns)
+
+
 def _summed_blocks(blocks: DataFrame, cores: int, to_histories: bool = False) -> DataFrame:
     return blocks.repartition(max(1, min(cores, 64)), "block").sortWithinPartitions("block").mapInArrow(_summer(to_histories), "block int, counts binary")
 
@@ -608,8 +618,8 @@ def _history_table(blocks: DataFrame, bits: int, cores: int) -> np.ndarray:
     return table.reshape(CONTEXTS, -1)
 
 
-def fit_symbols(texts: DataFrame, coder: Coder, cores: int) -> tuple[np.ndarray, Mixer]:
-    """Histories of the contexts' slots, and the mixer over them, from texts with their fold.
+def fit_symbols(texts: DataFrame, coder: Coder, cores: int, taught: int) -> tuple[np.ndarray, Mixer]:
+    """Histories of the contexts' slots, and the mixer over them, from texts with their doc_id and fold, `taught` of them of remainder 6.
 
     One task a core counts, as each holds a table of all slots; the tables are summed block by block.
     """
@@ -618,7 +628,7 @@ def fit_symbols(texts: DataFrame, coder: Coder, cores: int) -> tuple[np.ndarray,
     counted = lambda some: some.select("text").coalesce(cores).mapInArrow(_context_counts(shared), "block int, counts binary")
     blocks = stash(_summed_blocks(counted(texts.filter(~F.col("fold").isin(2, 6))), cores), "contexts")
     lesson = sc.broadcast((coder, _history_table(blocks, coder.bits, cores)))
-    lessons = texts.filter("fold = 6").select("text").coalesce(cores).mapInArrow(_symbol_trainer(lesson), _LESSON)
+    lessons = _lessons(texts.filter("fold = 6").select("doc_id", "text"), taught, LESSON_DOCS, "text").mapInArrow(_symbol_trainer(lesson), _LESSON)
     mixer = _taught(symbol_mixer(), lessons)
     lesson.unpersist()  # workers let go of it
     # what the weights were taught on is counted as well from here on
@@ -646,7 +656,7 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     spark = docs.sparkSession
     cores = spark.sparkContext.defaultParallelism
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = bounded(docs).select(F.col("text").cast("string").alias("text"), lang.alias("lang"), fold(F.col("doc_id")).alias("fold"))
+    rows = bounded(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), fold(F.col("doc_id")).alias("fold"))
     ends = rows.groupBy("lang").agg(F.sum((~F.col("fold").isin(2, 6)).cast("long")).alias("a"), F.sum((F.col("fold") == 6).cast("long")).alias("b"))
     ends = stash(ends, "languages")
     top = [r for r in ends.orderBy(F.desc(F.col("a") + F.col("b")), "lang").limit(STATES).collect()]
@@ -654,7 +664,7 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     end_a, end_b = int(all_ends["a"] or 0), int(all_ends["b"] or 0)
     languages = [r["lang"] for r in top]
 
-    counted = rows.mapInArrow(_counted(languages), "word binary, cls int, a bigint, b bigint, h bigint")
+    counted = rows.drop("doc_id").mapInArrow(_counted(languages), "word binary, cls int, a bigint, b bigint, h bigint")
     written = stash_at(counted.groupBy("word", "cls").agg(*(F.sum(c).alias(c) for c in "abh")), "classes")
     by_class = spark.read.parquet(written).filter(F.col("cls") != PASSAGES)
     words = stash(by_class.groupBy("word").agg(*(F.sum(c).alias(c) for c in "abh"), F.max_by("cls", F.struct(F.col("a") + F.col("b"), "cls")).alias("cls")).withColumn("c", F.col("a") + F.col("b")), "words")
@@ -699,7 +709,7 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     tokens = int(sums["c"] or 0) + end_a + end_b
     n_symbols = FIRST_WORD + len(known)
     coder = Coder(pa.array(known, pa.binary()), classes[:n_symbols], PrefixCode.of(symbols.table[:, :n_symbols]), slot_bits(tokens))
-    table, mixer = fit_symbols(rows, coder, cores)
+    table, mixer = fit_symbols(rows, coder, cores, end_b)
 
     told_passages = _passage_table(spark, written).agg(F.sum(F.col("a") + F.col("b")).alias("n"), F.sum("b").alias("b"), F.sum(F.when(F.col("a") > 0, F.col("b"))).alias("known")).first()
     known_share = ((told_passages["known"] or 0) + 1) / ((told_passages["b"] or 0) + 20)
@@ -708,7 +718,8 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     tables = _slot_counts(words.filter("a > 0"), cores)
     spelling = ByteModel.of(tables[0], tables[1])
     shared = spark.sparkContext.broadcast(spelling)
-    lessons = words.filter("a = 0 and b > 0").select("word", "cls").coalesce(cores)
+    new = words.filter("a = 0 and b > 0").select("word", "cls")
+    lessons = _lessons(new, new.count(), LESSON_WORDS, "word", "cls")
     _taught(spelling.mixer, lessons.mapInArrow(_mixer_trainer(shared), _LESSON))
     rare = words.filter(~is_frequent)
     shared.unpersist()

@@ -520,6 +520,15 @@ def test_scores_against_a_plain_loop(spark):
             assert got[i] == pytest.approx(plain_score(m, x or "", c, passages, training), rel=1e-4, abs=1e-4), (i, x)
 
 
+def test_files_and_tasks_change_no_score(spark, monkeypatch):
+    """The whole of the smallest table in one part and in four other ones, with lessons small enough to be several."""
+    monkeypatch.setattr(context_mixing, "LESSON_DOCS", 12)
+    monkeypatch.setattr(context_mixing, "LESSON_WORDS", 300)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    one, four = ({r.doc_id: r.score for r in context_mixing.score(d, *context_mixing.fit(d)).collect()} for d in (docs.coalesce(1), docs.orderBy("n_chars").repartition(4)))
+    assert len(one) > 100 and all(one[i] == pytest.approx(four[i], rel=1e-9) for i in one)
+
+
 def test_held_out_texts_change_no_other_score(spark):
     rng = random.Random(14)
     texts, others = ([prose(rng, rng.randint(5, 60)) for _ in range(120)] for _ in range(2))
