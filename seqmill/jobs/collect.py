@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seqmill.jobs.model import ranges_of, varying
 from seqmill.operators import observations, pileup
 from seqmill.operators.calls import CallFilter
-from seqmill.sources import alignments, tables
+from seqmill.sources import alignments, bam_index, tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-mapq", action="store_true")
     p.add_argument("--no-sample", action="store_true")
     p.add_argument("--keep-constant", action="store_true", help="keep covariates that do not vary")
+    p.add_argument("--index", help="folder for an index of the BAM files, which are then read by many tasks and by the references asked for")
     p.add_argument("--min-coverage", type=tables.not_negative, default=20)
     return p
 
@@ -57,6 +58,12 @@ def main(spark: SparkSession, args: list[str] | None = None) -> None:
     paths = tables.alignment_paths(spark, a.alignments)
     reads, contigs = read_alignments(spark, paths)
     wanted = tables.reference_names(spark, a.references, contigs)
+    bams = [p for p in paths if p.endswith(".bam")]
+    if a.index and bams:
+        index = bam_index.index_bam(spark, bams, a.index)
+        reads = bam_index.read_indexed(index.filter(index.chrom.isin(wanted)))
+        if len(bams) < len(paths):
+            reads = reads.unionByName(alignments.read_sam(spark, [p for p in paths if not p.endswith(".bam")]))
     reads = reads.filter(reads.chrom.isin(wanted))
     samples = tuple(p.rpartition("/")[2].rpartition(".")[0] for p in paths)
     covariates = observations.Covariates(samples, a.context_length, a.round_distance_by, use_mq=not a.no_mapq, use_sample=not a.no_sample)

@@ -79,18 +79,22 @@ def bam_header(stream: Bgzf) -> list[tuple[str, int]]:
     return found
 
 
+def bam_record(body: bytes, references: list[tuple[str, int]]) -> tuple:
+    """(chrom, pos, flag, mapq, cigar, seq, qual) of a record without its length."""
+    ref, pos, name_size, mapq, _, ops, flag, size = struct.unpack("<iiBBHHHi", body[:20])
+    at = 32 + name_size
+    cigar = "".join(f"{v >> 4}{_CIGAR[v & 15]}" for v in struct.unpack(f"<{ops}I", body[at : at + 4 * ops])) or "*"
+    at += 4 * ops
+    packed = body[at : at + (size + 1) // 2]
+    seq = "".join(_NIBBLES[b >> 4] + _NIBBLES[b & 15] for b in packed)[:size]
+    qual = body[at + len(packed) : at + len(packed) + size]
+    return references[ref][0] if ref >= 0 else None, pos, flag, mapq, cigar, seq, [] if qual[:1] == b"\xff" else list(qual)
+
+
 def bam_records(stream: Bgzf, references: list[tuple[str, int]]) -> Iterator[tuple]:
-    """(chrom, pos, flag, mapq, cigar, seq, qual) of each record."""
+    """bam_record() of each record of a stream after its header."""
     while head := stream.read(4):
-        body = stream.need(struct.unpack("<i", head)[0])
-        ref, pos, name_size, mapq, _, ops, flag, size = struct.unpack("<iiBBHHHi", body[:20])
-        at = 32 + name_size
-        cigar = "".join(f"{v >> 4}{_CIGAR[v & 15]}" for v in struct.unpack(f"<{ops}I", body[at : at + 4 * ops])) or "*"
-        at += 4 * ops
-        packed = body[at : at + (size + 1) // 2]
-        seq = "".join(_NIBBLES[b >> 4] + _NIBBLES[b & 15] for b in packed)[:size]
-        qual = body[at + len(packed) : at + len(packed) + size]
-        yield references[ref][0] if ref >= 0 else None, pos, flag, mapq, cigar, seq, [] if qual[:1] == b"\xff" else list(qual)
+        yield bam_record(stream.need(struct.unpack("<i", head)[0]), references)
 
 
 def _opened(uri: str):
@@ -107,10 +111,13 @@ def _bam_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return numbered.repartitionById(n, F.col("nth")).drop("nth")
 
 
+READ_NAMES = ["sample", "chrom", "pos", "flag", "mapq", "cigar", "seq", "qual"]
+READ_KINDS = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32())]
+
+
 def read_bam(spark: SparkSession, paths: str | list[str], rows: int = 5000) -> DataFrame:
-    """Reads of BAM files, each streamed by one task with `rows` of them in memory."""
-    names = ["sample", "chrom", "pos", "flag", "mapq", "cigar", "seq", "qual"]
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32())]
+    """Reads of BAM files, each streamed by one task with `rows` of them in memory; bam_index reads one file in many tasks."""
+    names, kinds = READ_NAMES, READ_KINDS
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
