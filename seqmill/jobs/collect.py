@@ -77,6 +77,7 @@ def main(spark: SparkSession, args: list[str] | None = None) -> None:
         covariates = observations.Covariates(samples, a.context_length, a.round_distance_by, use_mq=not a.no_mapq, use_sample=not a.no_sample, user=user)
         calls = observations.with_user_columns(calls, extra, user)
     tables.write_sites(observations.collapse(calls, covariates), f"{a.output}/observations")
+    spark.createDataFrame(list(enumerate(samples)), "i int, sample string").coalesce(1).write.mode("overwrite").parquet(f"{a.output}/samples")
     collected = spark.read.parquet(f"{a.output}/observations")
     covariate_table(collected, covariates, a.keep_constant).coalesce(1).write.mode("overwrite").parquet(f"{a.output}/covariates")
 

@@ -39,10 +39,32 @@ def alignment_paths(spark: SparkSession, list_file: str) -> list[str]:
     return paths
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file of that name, in whichever file system Spark reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    fs, hadoop = _file_system(spark, path)
+    return fs.exists(hadoop)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names of files and folders in a folder, none if there is no such folder."""
+    fs, hadoop = _file_system(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    fs, hadoop = _file_system(spark, path)
+    fs.create(hadoop, True).close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _file_system(spark, path)
+    fs.delete(hadoop, True)
 
 
 def reference_names(spark: SparkSession, names: str, contigs: DataFrame) -> list[str]:
