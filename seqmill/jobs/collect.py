@@ -6,6 +6,7 @@ import argparse
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqmill.jobs.model import ranges_of, varying
 from seqmill.operators import observations, pileup
@@ -27,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-sample", action="store_true")
     p.add_argument("--keep-constant", action="store_true", help="keep covariates that do not vary")
     p.add_argument("--index", help="folder for an index of the BAM files, which are then read by many tasks and by the references asked for")
+    p.add_argument("--counts", help="folder of count tables SAMPLE.CHROM.bqMIN_BQ.counts, which are taken for the pileup where they are there")
+    p.add_argument("--append", action="store_true", help="add to the output; an error if it has a locus of these samples already")
     p.add_argument("--min-coverage", type=tables.not_negative, default=20)
     return p
 
@@ -46,6 +49,15 @@ def covariate_table(collected: DataFrame, covariates: observations.Covariates, k
     return collected.sparkSession.createDataFrame(rows, "i int, name string, low double, high double, kept boolean")
 
 
+def counted(spark: SparkSession, reads: DataFrame, folder: str | None, samples: tuple[str, ...], chroms: list[str], min_bq: int) -> DataFrame:
+    """The pileup of reads; of a sample and reference with a table of counts in `folder`, made at the same threshold, that table's."""
+    table, found = tables.kept_counts(spark, folder, list(samples), chroms, min_bq) if folder else (None, [])
+    if table is None:
+        return pileup.pileup(reads, min_bq)
+    covered = F.struct("chrom", "sample").isin([F.struct(F.lit(c), F.lit(s)) for c, s in found])
+    return pileup.merge_strands(table).filter(pileup.coverage() > 0).unionByName(pileup.pileup(reads.filter(~covered), min_bq))
+
+
 def collect(reads: DataFrame, covariates: observations.Covariates, keep: CallFilter, min_coverage: int) -> tuple[DataFrame, DataFrame]:
     """(sites, observations) of reads."""
     sites = pileup.sites(pileup.pileup(reads, keep.min_bq), min_coverage)
@@ -67,8 +79,11 @@ def main(spark: SparkSession, args: list[str] | None = None) -> None:
     reads = reads.filter(reads.chrom.isin(wanted))
     samples = tuple(p.rpartition("/")[2].rpartition(".")[0] for p in paths)
     covariates = observations.Covariates(samples, a.context_length, a.round_distance_by, use_mq=not a.no_mapq, use_sample=not a.no_sample)
-    sites, _ = collect(reads, covariates, CallFilter(a.min_bq, a.min_mq), a.min_coverage)
-    tables.write_sites(sites, f"{a.output}/sites")
+    sites = pileup.sites(counted(spark, reads, a.counts, samples, wanted, a.min_bq), a.min_coverage)
+    if a.append:
+        tables.add_sites(sites, f"{a.output}/sites", pileup.SITE)
+    else:
+        tables.write_sites(sites, f"{a.output}/sites")
     written = spark.read.parquet(f"{a.output}/sites")
     calls = observations.observed_calls(reads, written, covariates, CallFilter(a.min_bq, a.min_mq))
     if a.sample_data:
@@ -76,7 +91,11 @@ def main(spark: SparkSession, args: list[str] | None = None) -> None:
         user = tuple(c for c in extra.columns if c != "sample")
         covariates = observations.Covariates(samples, a.context_length, a.round_distance_by, use_mq=not a.no_mapq, use_sample=not a.no_sample, user=user)
         calls = observations.with_user_columns(calls, extra, user)
-    tables.write_sites(observations.collapse(calls, covariates), f"{a.output}/observations")
+    rows = observations.collapse(calls, covariates)
+    if a.append:
+        tables.add_sites(rows, f"{a.output}/observations", [c for c in rows.columns if c not in pileup.COUNTS])
+    else:
+        tables.write_sites(rows, f"{a.output}/observations")
     spark.createDataFrame(list(enumerate(samples)), "i int, sample string").coalesce(1).write.mode("overwrite").parquet(f"{a.output}/samples")
     collected = spark.read.parquet(f"{a.output}/observations")
     covariate_table(collected, covariates, a.keep_constant).coalesce(1).write.mode("overwrite").parquet(f"{a.output}/covariates")

@@ -86,6 +86,11 @@ def dictionary(observations: DataFrame, covariates: Covariates) -> DataFrame:
     return observations.groupBy(*covariates.keys).agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
+def dictionary_of_calls(calls: DataFrame, covariates: Covariates) -> DataFrame:
+    """As dictionary(), straight from calls: one aggregate, not one by site first."""
+    return calls.groupBy(*covariates.keys).agg(*base_counts(F.col("base")))
+
+
 def with_local_ids(observations: DataFrame, covariates: Covariates) -> DataFrame:
     """local_id: 0, 1, .. within a site, by strand, read number and covariates."""
     order = Window.partitionBy("chrom", "sample", "pos").orderBy("is_reverse", "read_num", *[c for c in covariates.keys if c != "sample"])

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from seqmill.functions import bases, numeric, prior
 from seqmill.jobs import train as training
-from seqmill.operators import likelihood, logit, network, observations, pileup, simulate
+from seqmill.operators import likelihood, logit, network, observations, pileup, places, simulate
 from seqmill.operators.calls import SKIPPED_FLAGS, CallFilter, base_calls, with_bins
 from seqmill.sources.derived_reads import SAMPLES, reads_of, varied_reads_of
 
@@ -108,7 +108,7 @@ def covariate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covariate_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations.dictionary(observations.collapse(_observed(spark, sf_dir), COVARIATES), COVARIATES)
+    return observations.dictionary_of_calls(_observed(spark, sf_dir), COVARIATES)
 
 
 def collapsed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,12 +289,41 @@ def varied_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.pileup(varied_reads_of(spark, sf_dir))
 
 
+def global_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with the number of their covariates in the whole data set."""
+    calls = _observed(spark, sf_dir, COARSE)
+    ids = places.covariate_ids(observations.dictionary_of_calls(calls, COARSE), COARSE)
+    rows = places.with_covariate_ids(observations.collapse(calls, COARSE), ids, COARSE)
+    return rows.select(*SITE, _flag(F.col("is_reverse")).alias("is_reverse"), "read_num", "cov_id", *pileup.COUNTS)
+
+
+def limited_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many reads of each sample are left of its first 1,500."""
+    return places.limited(reads_of(spark, sf_dir), 1500).groupBy("sample").agg(F.count("*").alias("n"))
+
+
+def dense_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 100 positions: how many distinct covariates each position has, and a sum over them."""
+    seen = _observed(spark, sf_dir, COARSE)
+    contigs = _pileup(spark, sf_dir).groupBy("chrom", "sample").agg((F.max("pos") + 5).alias("length"))
+    tiles = places.dense_covariates(seen, contigs, COARSE, 100)
+    bins = F.aggregate(F.flatten("matrices"), F.lit(0).cast("long"), lambda a, x: a + x["dend_bin"].cast("long"))
+    return tiles.select("chrom", "sample", "tile", F.array_join(F.transform("matrices", lambda m: F.size(m).cast("string")), ",").alias("sizes"), bins.alias("sum_dend"))
+
+
+def nested_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site's counts as arrays by strand and read number."""
+    rows = observations.with_local_ids(observations.collapse(_observed(spark, sf_dir, COARSE), COARSE), COARSE)
+    return places.nested(rows)
+
+
 ALL = [
     map_frequency, base_calls_filtered, complement_bases, read_context, distance_binned, pileup_counts, pileup_strand_merge,
     consensus_calls, major_minor, base_frequencies, candidate_sites, contamination_fractions, region_bins, covariate_rows,
     covariate_dictionary, collapsed_observations, local_row_ids, variable_columns, minmax_normalized, locus_key_parity,
     dense_positions, freq_grid, prior_logprob, prior_betainc_general, multinomial_loglik, multinomial_gradient, nn_forward,
     grid_loglik, posterior, global_loss, posterior_table, posterior_lines, walked_calls, varied_pileup, network_posterior, simulated_observations, trained_prior,
+    global_row_ids, limited_reads, dense_covariates, nested_observations,
 ]
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqmill.functions.numeric import scientific
@@ -80,12 +84,49 @@ def reference_names(spark: SparkSession, names: str, contigs: DataFrame) -> list
 def read_counts(spark: SparkSession, path: str, chrom: str, sample: str) -> DataFrame:
     """A table of counts by strand (columns A a C c G g T t, one line a position) as a stranded pileup.
 
-    The position of a line is its place in the file, so such a file is read by one task.
+    The position of a line is its place among the lines that are neither comments nor the header. A large file is
+    read by many tasks: the lines of each part are counted first, and parts begin where those before end.
     """
-    table = spark.read.option("sep", "\t").option("header", True).option("comment", "#").option("caseSensitive", True).csv(path)
-    strands = [F.col(f"_{i}").cast("long").alias(f"{s}_{b}") for i, (b, s) in enumerate((b, s) for b in "acgt" for s in "fr")]
-    plain = table.coalesce(1).toDF(*(f"_{i}" for i in range(len(table.columns))))
-    return plain.withColumn("pos", F.monotonically_increasing_id().cast("int")).select(F.lit(chrom).alias("chrom"), F.lit(sample).alias("sample"), "pos", *strands)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.filter(~F.col("value").startswith("#") & ~F.col("value").startswith("A\t") & (F.trim("value") != "")).withColumn("at", F.monotonically_increasing_id())
+    counts = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))  # a row a part
+    cells = F.split("value", "\t")
+    strands = [cells[i].cast("long").alias(f"{s}_{b}") for i, (b, s) in enumerate((b, s) for b in "acgt" for s in "fr")]
+    placed = lines.join(F.broadcast(offsets), "block").withColumn("pos", (F.col("at") + F.col("shift")).cast("int"))
+    return placed.select(F.lit(chrom).alias("chrom"), F.lit(sample).alias("sample"), "pos", *strands)
+
+
+def counts_path(folder: str, sample: str, chrom: str, min_bq: int) -> str:
+    """Where a sample's counts of one reference lie, made at one threshold: counts of another are never taken for them."""
+    return f"{folder}/{sample}.{chrom}.bq{min_bq}.counts"
+
+
+def kept_counts(spark: SparkSession, folder: str, samples: list[str], chroms: list[str], min_bq: int) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """The stranded pileup of all tables of counts that are there, and the (chrom, sample) that they cover."""
+    found = [(c, s) for c in chroms for s in samples if exists(spark, counts_path(folder, s, c, min_bq))]
+    tables = [read_counts(spark, counts_path(folder, s, c, min_bq), c, s) for c, s in found]
+    return (reduce(DataFrame.unionByName, tables) if tables else None), found
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, local masters take a temporary one."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="seqmill-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def stored(table: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: later jobs read the same rows in the same files, whichever executors are lost."""
+    path = f"{shared_folder(table.sparkSession)}/seqmill-{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def write_sites(table: DataFrame, path: str) -> None:
@@ -97,6 +138,20 @@ def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def add_sites(table: DataFrame, path: str, keys: list[str], locus: tuple[str, ...] = ("chrom", "sample", "pos")) -> None:
+    """Add rows to what lies at path, by chrom and sample; an error, before anything is written, if a key is twice in the table or its locus is there already."""
+    spark = table.sparkSession
+    twice = duplicate_keys(table, keys).limit(3).collect()
+    if twice:
+        raise ValueError("keys twice in one table: " + ", ".join(str(tuple(r)[:-1]) for r in twice))
+    if exists(spark, path):
+        there = spark.read.parquet(path).select(*locus)
+        again = table.select(*locus).join(there, list(locus), "left_semi").distinct().limit(3).collect()
+        if again:
+            raise ValueError("loci that are written already: " + ", ".join(str(tuple(r)) for r in again))
+    table.write.mode("append").option("compression", "zstd").partitionBy("chrom", "sample").parquet(path)
+
+
 def write_posterior(posterior: DataFrame, path: str, frequencies: list[float] | None = None) -> None:
     """Tab-separated lines in order of sample, chrom, pos, with best_freq and the log-posteriors in nine digits.
 
