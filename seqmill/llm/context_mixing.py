@@ -462,7 +462,7 @@ def _context_counts(shared):
         tables = np.zeros((CONTEXTS, 2 << coder.bits), np.float32)
         for batch in batches:
             texts = column(batch, "text")
-            for at, n in text_slices(texts, 1 << 20):
+            for at, n in text_slices(texts, 1 << 21):
                 _, _, t = tokens_of(coder, texts.slice(at, n))
                 for _, _, decisions in coder.runs(t):
                     for k, slots in enumerate(decisions.slots()):
@@ -479,7 +479,7 @@ def _symbol_trainer(shared):
         mixer, seen, step = symbol_mixer(), 0.0, 0
         for batch in batches:
             texts = column(batch, "text")
-            for at, n in text_slices(texts, 1 << 20):
+            for at, n in text_slices(texts, 1 << 21):
                 _, _, t = tokens_of(coder, texts.slice(at, n))
                 for _, _, decisions in coder.runs(t):
                     odds, gate, cell = decisions.inputs(table)
@@ -742,6 +742,59 @@ def fit(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
 # ---- Spark: scores
 
 
+#: Bits of the filter over passages that others have, in blocks of BLOCK bytes, and how many a passage sets.
+FILTER_BITS, FILTER_HASHES = 1 << 25, 3
+
+
+def _filter_places(keys: np.ndarray) -> Iterator[np.ndarray]:
+    h = keys.view(np.uint64)
+    for k in range(FILTER_HASHES):
+        yield (mixed(h + np.uint64(k + 1)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _filter_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the bits that a task's passages set."""
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">i8").astype(np.int64)
+        for places in _filter_places(keys):
+            bits[places] = True
+    packed = np.packbits(bits).reshape(-1, BLOCK)
+    held = np.flatnonzero(packed.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([packed[i].tobytes() for i in held], pa.binary())], names=["block", "bits"])
+
+
+def _filter_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of some tasks."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            new = np.frombuffer(bits.as_buffer(), np.uint8)
+            total[block] = total[block] | new if block in total else new
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([b.tobytes() for b in total.values()], pa.binary())], names=["block", "bits"])
+
+
+def passage_filter(passages: DataFrame, cores: int) -> np.ndarray:
+    """FILTER_BITS bits, packed, whatever the input; a passage that is not in it is not among passages.
+
+    When the input fills it, it holds nothing back, and all passages meet their counts in the join.
+    """
+    blocks = passages.select("passage").coalesce(cores).mapInArrow(_filter_blocks, "block int, bits binary")
+    found = blocks.repartition(max(1, min(cores, 64)), "block").mapInArrow(_filter_union, "block int, bits binary").toArrow()
+    table = np.zeros((FILTER_BITS // 8 // BLOCK, BLOCK), np.uint8)
+    for block, bits in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
+        table[block] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return table.ravel()
+
+
+def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a passage may be in the filter."""
+    out = np.ones(len(keys), bool)
+    for places in _filter_places(keys):
+        out &= bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1 == 1
+    return out
+
+
 _FIRST = {
     "passage": pa.binary(), "row": pa.int64(), "times": pa.int32(), "own": pa.int32(), "others": pa.int32(), "score": pa.float64(), "rare": pa.list_(pa.binary()), "states": pa.list_(pa.int8()),
     "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "bytes": pa.int64(),
@@ -764,11 +817,12 @@ def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
 
-def _first_pass(shared, own: bool):
+def _first_pass(shared, own: bool, others_have=None):
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text one row with what its symbols and short passages give, and one for each other passage.
 
-        A passage's row has the score of its symbols where it first stands, and the words that escape there;
+        A passage that it has once and that the filter others_have says no other document has is in the text's row too.
+        Another passage's row has the score of its symbols where it first stands, and the words that escape there;
         whether it is known, and how likely the words are, is told by the joins.
         """
         m: LanguageModel = shared.value
@@ -776,7 +830,7 @@ def _first_pass(shared, own: bool):
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
             texts, ids, rows, fold_ = column(batch, "text"), get("doc_id"), get("row").to_numpy(zero_copy_only=False), _fold_places(batch)
-            for at, n in text_slices(texts, 1 << 20):
+            for at, n in text_slices(texts, 1 << 21):
                 part, row, held_out = texts.slice(at, n), rows[at : at + n], fold_[at : at + n] == 2
                 w, symbol, t = tokens_of(m.coder, part)
                 vocab = w.vocab.cast(pa.binary())
@@ -800,6 +854,11 @@ def _first_pass(shared, own: bool):
                 leads = np.zeros(len(key), bool)
                 leads[once] = True
                 leads &= long
+                if others_have is not None:
+                    alone = leads & (times[where] == 1)
+                    alone[alone] = ~_may_have(others_have.value, p.key[alone])
+                    leads &= ~alone
+                    long = long & ~alone
                 flag = math.log10(1 - m.known_share)
                 short = np.bincount(p.text[~long], weights=of_passage[~long] + flag, minlength=n)
                 sizes = np.bincount(p.text[rare_in[~long[rare_in]]], minlength=n)
@@ -810,7 +869,7 @@ def _first_pass(shared, own: bool):
                     _FIRST, passage=row_keys, row=row, times=np.zeros(n), own=np.zeros(n), others=np.zeros(n), score=short, rare=_lists(vocab.take(pa.array(code[listed])), sizes), states=_lists(pa.array(t.state[listed], pa.int8()), sizes), doc_id=ids.slice(at, n), held_out=held_out, n_tokens=w.counts + 1,
                     n_known=add(seen.astype(float)).astype(np.int64) + (m.end_count > 0), base=add(value) + m.base(np.array(m.end_count)), bytes=size,
                 )
-                others = np.bincount(p.text[long], minlength=n)
+                others = np.bincount(p.text[p.size >= LEAST], minlength=n)
                 lead = np.flatnonzero(leads)
                 count, text = times[where[lead]], p.text[lead]
                 chosen = leads[rare_in]
@@ -892,15 +951,16 @@ def score(docs: DataFrame, model: LanguageModel, words: DataFrame, own: bool = T
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row.
 
     own: the model was fitted on docs, so that training documents' own passages are taken off the counts.
-    Symbols are scored where the text is read. The passages of a text meet their counts in one join,
+    Symbols are scored where the text is read. Passages that others may have, by a filter of 4 MB, meet their counts in one join,
     the words that escape, by then a row each, in a second one; texts are not shuffled.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold(F.col("doc_id")).alias("fold"), F.monotonically_increasing_id().alias("row"))
-    first = rows.mapInArrow(_first_pass(shared, own), _FIRST_DDL)
     counted = _passage_table(spark, model.passages).withColumn("c", F.col("a") + F.col("b")).filter("c > 0")
     counted = counted.filter("c + h > 1") if own else counted  # what only one document has, itself may not use
+    others_have = spark.sparkContext.broadcast(passage_filter(counted, spark.sparkContext.defaultParallelism))
+    first = rows.mapInArrow(_first_pass(shared, own, others_have), _FIRST_DDL)
     resolved = first.join(counted.select("passage", "c"), "passage", "left").mapInArrow(_resolve(shared), _WORD_DDL)
     joined = resolved.join(words.filter("c > 0"), "word", "left")
     second = joined.mapInArrow(_second_pass(shared), _ROW_DDL)
