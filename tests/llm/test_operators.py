@@ -529,22 +529,6 @@ def test_files_and_tasks_change_no_score(spark, monkeypatch):
     assert len(one) > 100 and all(one[i] == pytest.approx(four[i], rel=1e-9) for i in one)
 
 
-def test_the_filter_of_passages_changes_no_score(spark, monkeypatch):
-    """With the filter and without one; all passages that are put into it are found in it, and few others."""
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    model = context_mixing.fit(docs)
-    told = lambda own: {r.doc_id: (r.score, r.base_score, r.n_known) for r in context_mixing.score(docs, *model, own).collect()}
-    with_filter = {own: told(own) for own in (True, False)}
-    passed = context_mixing._first_pass
-    monkeypatch.setattr(context_mixing, "_first_pass", lambda shared, own, others_have: passed(shared, own))
-    for own, got in with_filter.items():
-        assert all(got[i] == pytest.approx(x, rel=1e-9) for i, x in told(own).items())
-    keys = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 4000)
-    frame = spark.createDataFrame(pa.table({"passage": context_mixing._as_bytes(keys)})).repartition(3)
-    table = context_mixing.passage_filter(frame, 4)
-    assert context_mixing._may_have(table, keys).all() and context_mixing._may_have(table, keys + 12345).mean() < 0.01
-
-
 def test_held_out_texts_change_no_other_score(spark):
     rng = random.Random(14)
     texts, others = ([prose(rng, rng.randint(5, 60)) for _ in range(120)] for _ in range(2))
