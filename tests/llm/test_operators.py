@@ -674,6 +674,82 @@ def test_the_accuracy_of_given_labels_is_estimated():
     np.testing.assert_allclose(model.given, [0.8, 0.8], atol=0.03)
 
 
+def test_labellers_against_a_plain_loop():
+    """Expectation-maximisation over patterns equals the same done document by document."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(400) < 0.3
+    fires = rng.random((400, 5)) < np.where(truth[:, None], [0.8, 0.5, 0.6, 0.4, 0.7], [0.05, 0.02, 0.1, 0.01, 0.2])
+    given = np.where(rng.random(400) < 0.3, truth.astype(int), -1)
+    key, counts = np.unique(np.stack([(fires << np.arange(5)).sum(1), given]), axis=1, return_counts=True)
+    model = weak_labels.fit_labellers(key[0], key[1], counts.astype(float), rounds=20, trust=50, unlabelled=0.5)
+    prior, rates, right = 0.2, [[0.01, 0.3] for _ in range(5)], [0.95, 0.9]
+    for _ in range(20):
+        sums = {"bad": 0.0, "all": 0.0, "on": [[0.0, 0.0] for _ in range(5)], "said": [0.0, 0.0], "right": [0.0, 0.0]}
+        for row, g in zip(fires, given, strict=True):
+            odds = [1 - prior, prior]
+            for kind in (0, 1):
+                for i, on in enumerate(row):
+                    odds[kind] *= rates[i][kind] if on else 1 - rates[i][kind]
+                if g >= 0:
+                    odds[kind] *= right[kind] if g == kind else 1 - right[kind]
+            weight = 1.0 if g >= 0 else 0.5
+            share = [weight * o / sum(odds) for o in odds]
+            sums["bad"] += share[1]
+            sums["all"] += weight
+            for kind in (0, 1):
+                for i, on in enumerate(row):
+                    sums["on"][i][kind] += share[kind] * on
+                sums["said"][kind] += share[kind] * (g >= 0)
+                sums["right"][kind] += share[kind] * (g == kind)
+        good = sums["all"] - sums["bad"]
+        rates = [[(a + 0.1) / (good + 10), (b + 1) / (sums["bad"] + 5)] for a, b in sums["on"]]
+        right = [(sums["right"][k] + 0.95 * 50) / (sums["said"][k] + 50) for k in (0, 1)]
+        prior = (sums["bad"] + 1) / (sums["all"] + 5)
+    np.testing.assert_allclose(model.rates, rates, rtol=1e-8)
+    np.testing.assert_allclose([model.prior, *model.given], [prior, *right], rtol=1e-8)
+    on, bias = model.weights()
+    np.testing.assert_allclose(1 / (1 + np.exp(-(fires @ on + bias))), model.posterior((fires << np.arange(5)).sum(1)), rtol=1e-8)
+
+
+def test_telling_words_against_a_plain_count(spark):
+    """Words come from the other half's labels, none from too few texts, mixed ones, overlong ones or texts without a label."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(800):
+        bad = i % 4 == 0
+        words = prose(rng, 30).split() + (["Zorbik!", "x" * 65] if bad else []) + (["plain"] if i % 3 == 0 else []) + (["onlyhere"] if i in (0, 4) else [])
+        rows.append((i % 2, int(bad) if i < 790 else -1, None if i == 1 else " ".join(words)))
+    rows += [(h, g, t) for h in (0, 1) for g, t in ((-1, "zorbik unlabelled"), (1, None), (0, ""))]
+    rows = [((h + g) % 2 if g >= 0 else h, g, t) for h, g, t in rows]
+    got = weak_labels.telling_words(spark.createDataFrame(rows, "half int, given int, text string").repartition(4))
+    for half in (0, 1):
+        known = [(g, t or "") for h, g, t in rows if h == half and g >= 0]
+        share = sum(g for g, _ in known) / len(known)
+        seen = {}
+        for g, t in known:
+            for w in {x.lower().strip(".,;:!?\"'()") for x in t.split()}:
+                n, b = seen.get(w, (0, 0))
+                seen[w] = (n + 1, b + g)
+        want = {w for w, (n, b) in seen.items() if w and n >= 5 and len(w) <= 64 and b >= 0.97 * n and 0 < share < 1 and (b - n * share) / (n * share * (1 - share)) ** 0.5 >= 5}
+        assert set(got[half]) == want
+    assert any("zorbik" in words for words in got)
+
+
+def test_the_features_of_the_sample_are_bounded(spark):
+    """A bound on features leaves whole texts out of the scorer's sample, never parts; without words nothing tells."""
+    rng = random.Random(22)
+    bad = [i % 3 == 0 for i in range(200)]
+    docs = documents(spark, [prose(rng, 3000 if i == 5 else 30) + (" zorbik" if b else "") for i, b in enumerate(bad)])
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    whole, cut, none = (weak_labels.fit(docs, labels, max_features=n) for n in (1 << 25, 4000, 0))
+    assert (whole.weights != cut.weights).any() and whole.telling == cut.telling == none.telling
+    on, bias = none.labellers.weights()
+    np.testing.assert_allclose(none.weights[:5], on)
+    assert none.weights[-1] == bias and not none.weights[5:-1].any()
+    unlabelled = weak_labels.fit(docs, labels.limit(0))
+    assert unlabelled.telling == ([], []) and weak_labels.score(docs, unlabelled).count() == 200
+
+
 def test_labellers_are_weighed():
     """Simulated labellers with known rates: the fitted rates and posteriors come close."""
     rng = np.random.default_rng(0)
