@@ -60,9 +60,7 @@ def counted(spark: SparkSession, reads: DataFrame, folder: str | None, samples:
 
 def collect(reads: DataFrame, covariates: observations.Covariates, keep: CallFilter, min_coverage: int) -> tuple[DataFrame, DataFrame]:
     """(sites, observations) of reads."""
-    sites = pileup.sites(pileup.pileup(reads, keep.min_bq), min_coverage)
-    calls = observations.observed_calls(reads, sites, covariates, keep)
-    return sites, observations.collapse(calls, covariates)
+    return pileup.sites(pileup.pileup(reads, keep.min_bq), min_coverage), observations.collapsed_reads(reads, covariates, keep, min_coverage)
 
 
 def main(spark: SparkSession, args: list[str] | None = None) -> None:

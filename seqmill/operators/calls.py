@@ -66,6 +66,28 @@ def aligned_pairs(cigar: Column, pos: Column) -> Column:
     return F.flatten(F.transform(aligned_runs(cigar, pos), pair))
 
 
+def _exploded(reads: DataFrame, min_bq: int) -> DataFrame:
+    """Calls of A, C, G or T of at least min_bq, as they are called, with seq and alen of their read."""
+    reverse = F.col("flag").bitwiseAND(REVERSE) > 0
+    n = F.regexp_extract("cigar", "^([0-9]+)M$", 1).try_cast("int")
+    alen = F.when(n.isNotNull(), n).otherwise(aligned_length(F.col("cigar")))
+    read_num = F.col("flag").bitwiseAND(READ2).cast("boolean").cast("int") + 1
+    own = ["sample", "chrom", "mapq", "flag", "seq", "qual"]
+    # first the runs of matches, a few a read, then their positions, so that no struct is made for each call
+    runs = reads.select(*own, reverse.alias("is_reverse"), read_num.alias("read_num"), alen.alias("alen"), F.explode(aligned_runs(F.col("cigar"), F.col("pos"))).alias("run"))
+    calls = runs.select(*own, "is_reverse", "read_num", "alen", F.col("run.q").alias("q"), F.col("run.r").alias("r"), F.explode(F.sequence(F.lit(0), F.col("run.n") - 1)).alias("i"))
+    calls = calls.withColumns({"qpos": F.col("q") + F.col("i"), "refpos": F.col("r") + F.col("i")})
+    calls = calls.withColumn("bq", F.col("qual")[F.col("qpos")]).filter(F.col("bq") >= min_bq)
+    calls = calls.withColumn("called", F.substring("seq", F.col("qpos") + 1, F.lit(1))).filter(F.col("called").isin(*bases.BASES))
+    return calls.select("sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "flag", "bq", "called", "seq", "alen")
+
+
+def _read_off() -> list[Column]:
+    """base in sequencing order, and dend."""
+    called = F.when(F.col("is_reverse"), bases.complement_base(F.col("called"))).otherwise(F.col("called"))
+    return [called.alias("base"), bases.distance(F.col("qpos"), F.col("alen"), F.col("is_reverse")).alias("dend")]
+
+
 def base_calls(reads: DataFrame, keep: CallFilter = CallFilter(), context_length: int | None = None) -> DataFrame:
     """sample, chrom, refpos, qpos, is_reverse, read_num, mapq, bq, base and dend of every call kept.
 
@@ -73,26 +95,26 @@ def base_calls(reads: DataFrame, keep: CallFilter = CallFilter(), context_length
     context; calls without a whole context or with an N in it go. base is in sequencing order:
     complemented on reverse reads. Calls outside ACGT go on both strands.
     """
-    reads = reads.filter((F.col("mapq") >= keep.min_mq) & (F.col("flag").bitwiseAND(keep.skip_flags) == 0))
-    reverse = F.col("flag").bitwiseAND(REVERSE) > 0
-    n = F.regexp_extract("cigar", "^([0-9]+)M$", 1).try_cast("int")
-    alen = F.when(n.isNotNull(), n).otherwise(aligned_length(F.col("cigar")))
-    read_num = F.col("flag").bitwiseAND(READ2).cast("boolean").cast("int") + 1
-    # first the runs of matches, a few a read, then their positions, so that no struct is made for each call
-    runs = reads.select("sample", "chrom", "mapq", "seq", "qual", reverse.alias("is_reverse"), read_num.alias("read_num"), alen.alias("alen"), F.explode(aligned_runs(F.col("cigar"), F.col("pos"))).alias("run"))
-    calls = runs.select("sample", "chrom", "mapq", "seq", "qual", "is_reverse", "read_num", "alen", F.col("run.q").alias("q"), F.col("run.r").alias("r"), F.explode(F.sequence(F.lit(0), F.col("run.n") - 1)).alias("i"))
-    calls = calls.withColumns({"qpos": F.col("q") + F.col("i"), "refpos": F.col("r") + F.col("i")})
-    calls = calls.withColumn("bq", F.col("qual")[F.col("qpos")]).filter(F.col("bq") >= keep.min_bq)
-    calls = calls.select("sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "bq", F.substring("seq", F.col("qpos") + 1, F.lit(1)).alias("called"), "seq", "alen")
-    calls = calls.filter(F.col("called").isin(*bases.BASES))
+    calls = _exploded(reads.filter((F.col("mapq") >= keep.min_mq) & (F.col("flag").bitwiseAND(keep.skip_flags) == 0)), keep.min_bq)
     if context_length is not None:
         calls = calls.filter(bases.has_context(F.col("qpos"), F.col("alen"), F.col("is_reverse"), context_length))
         calls = calls.withColumn("context", bases.context(F.col("seq"), F.col("qpos"), F.col("is_reverse"), context_length)).filter(~F.col("context").contains("N"))
-    called = F.when(F.col("is_reverse"), bases.complement_base(F.col("called"))).otherwise(F.col("called"))
-    columns = ["sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "bq", called.alias("base"), bases.distance(F.col("qpos"), F.col("alen"), F.col("is_reverse")).alias("dend")]
+    columns = ["sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "bq", *_read_off()]
     return calls.select(*columns, *(["context"] if context_length is not None else []))
 
 
+def marked_calls(reads: DataFrame, keep: CallFilter, context_length: int) -> DataFrame:
+    """What base_calls() gives of `keep` and of a pileup at its base quality, with one explode: each call once, with
+    observed and piled, which say of which of the two it is. context is null where a call has no whole one."""
+    piled = F.coalesce(F.col("flag").bitwiseAND(SKIPPED_FLAGS) == 0, F.lit(False)) & F.coalesce(F.col("mapq") >= 0, F.lit(False))
+    kept = F.coalesce((F.col("mapq") >= keep.min_mq) & (F.col("flag").bitwiseAND(keep.skip_flags) == 0), F.lit(False))
+    calls = _exploded(reads.filter(piled | kept), keep.min_bq)
+    context = bases.context(F.col("seq"), F.col("qpos"), F.col("is_reverse"), context_length)
+    calls = calls.withColumn("context", F.when(bases.has_context(F.col("qpos"), F.col("alen"), F.col("is_reverse"), context_length), context))
+    observed = kept & F.coalesce(~F.col("context").contains("N"), F.lit(False))
+    return calls.select("sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "bq", *_read_off(), "context", piled.alias("piled"), observed.alias("observed"))
+
+
 def in_region(reads: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     """Reads that overlap [start, end) of a reference."""
     return reads.filter((F.col("chrom") == chrom) & (F.col("pos") < end) & (F.col("pos") + aligned_length(F.col("cigar")) > start))

@@ -65,24 +65,26 @@ def is_candidate(threshold: float) -> Column:
     return sum((f > threshold).cast("int") for f in base_frequencies()) > 1
 
 
-def with_contamination(sites: DataFrame) -> DataFrame:
+def with_contamination(sites: DataFrame, one: Column | None = None) -> DataFrame:
     """sites with contam_a .. contam_t: of the other samples with a consensus at the position, the
     fraction whose consensus is that base and differs from this sample's.
 
     All samples of a position are counted together and each one's own part is taken off, by a
     window over (chrom, pos): linear in samples, with no join of samples with each other.
+    one: where a site has several rows, which of them counts.
     """
     place = Window.partitionBy("chrom", "pos")
-    known = F.count_if(F.col("consensus") != "N").over(place)
+    counted = F.lit(True) if one is None else one
+    known = F.count_if(counted & (F.col("consensus") != "N")).over(place)
     others = F.greatest(known - (F.col("consensus") != "N").cast("long"), F.lit(1))
-    counts = {b: F.count_if(F.col("consensus") == b).over(place) for b in bases.BASES}
+    counts = {b: F.count_if(counted & (F.col("consensus") == b)).over(place) for b in bases.BASES}
     fraction = lambda b: F.when((F.col("consensus") == "N") | (F.col("consensus") == b), 0.0).otherwise(counts[b] / others)
     return sites.select("*", *(fraction(b).alias(f"contam_{b.lower()}") for b in bases.BASES))
 
 
-def sites(counts: DataFrame, min_coverage: int = 20) -> DataFrame:
+def sites(counts: DataFrame, min_coverage: int = 20, one: Column | None = None) -> DataFrame:
     """A pileup with consensus, alleles and contamination: the one table that calls are joined with."""
-    return with_contamination(counts.select("*", consensus(min_coverage).alias("consensus"), *alleles()))
+    return with_contamination(counts.select("*", consensus(min_coverage).alias("consensus"), *alleles()), one)
 
 
 def dense(counts: DataFrame, contigs: DataFrame) -> DataFrame:

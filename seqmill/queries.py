@@ -38,6 +38,10 @@ def _observed(spark: SparkSession, sf_dir: str, covariates: observations.Covaria
     return observations.observed_calls(reads_of(spark, sf_dir), _sites(spark, sf_dir), covariates)
 
 
+def _collapsed(spark: SparkSession, sf_dir: str, covariates: observations.Covariates = COVARIATES) -> DataFrame:
+    return observations.collapsed_reads(reads_of(spark, sf_dir), covariates)
+
+
 def _flag(c: Column) -> Column:
     return c.cast("int")
 
@@ -112,12 +116,12 @@ def covariate_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collapsed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations.collapse(_observed(spark, sf_dir), COVARIATES)
+    rows = _collapsed(spark, sf_dir)
     return rows.withColumn("is_reverse", _flag(F.col("is_reverse")))
 
 
 def local_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations.with_local_ids(observations.collapse(_observed(spark, sf_dir, COARSE), COARSE), COARSE)
+    rows = observations.with_local_ids(_collapsed(spark, sf_dir, COARSE), COARSE)
     return rows.select(*SITE, _flag(F.col("is_reverse")).alias("is_reverse"), "read_num", *COARSE.keys, "local_id")
 
 
@@ -172,7 +176,7 @@ def prior_betainc_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = observations.collapse(_observed(spark, sf_dir, COARSE), COARSE)
+    rows = _collapsed(spark, sf_dir, COARSE)
     true = F.when(F.col("is_reverse"), F.translate("major", "ACGT", "TGCA")).otherwise(F.col("major"))
     return rows.select(*SITE, "is_reverse", "read_num", "major", "minor", true.alias("base"), "dend_bin", *pileup.COUNTS, F.array(F.lit(1.0), F.col("dend_bin") / 10.0).alias("x"))
 
@@ -313,7 +317,7 @@ def dense_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A site's counts as arrays by strand and read number."""
-    rows = observations.with_local_ids(observations.collapse(_observed(spark, sf_dir, COARSE), COARSE), COARSE)
+    rows = observations.with_local_ids(_collapsed(spark, sf_dir, COARSE), COARSE)
     return places.nested(rows)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seqmill.functions import bases
 from seqmill.operators import observations, pileup
 from seqmill.operators.calls import CallFilter, aligned_length, aligned_pairs, base_calls
+from seqmill.sources.derived_reads import varied_reads
 
 READ = "sample string, chrom string, pos int, flag int, mapq int, cigar string, seq string, qual array<int>"
 ALL = CallFilter(0, 0)
@@ -97,3 +98,18 @@ def test_partitions_do_not_matter(spark):
     one = reads_of(spark, "/root/testdata/sf0.001")
     a, b = (sorted(map(tuple, pileup.sites(pileup.pileup(x)).collect())) for x in (one.coalesce(1), one.repartition(7)))
     assert a == b
+
+
+@pytest.mark.parametrize("covariates", [observations.Covariates(("s0", "s1", "s2")), observations.Covariates(("s0", "s1", "s2"), context_length=0, use_bq=False, use_mq=False, use_distance=False, use_sample=False)])
+@pytest.mark.parametrize("coverage", [0, 20])
+def test_one_explode_equals_pileup_and_join(spark, covariates, coverage):
+    whole = varied_reads(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))
+    # a read without a sample or a quality, and a position that only reads which a pileup skips have
+    odd = whole.limit(4).withColumn("sample", F.lit(None).cast("string")).union(whole.limit(3).withColumn("mapq", F.lit(None).cast("int")))
+    rows = whole.union(odd).union(whole.limit(5).withColumns({"pos": F.lit(9000), "flag": F.lit(1024), "mapq": F.lit(60)}))
+    calls = observations.observed_calls(rows, pileup.sites(pileup.pileup(rows), coverage), covariates)
+    known = observations.collapse(calls, covariates)
+    got = observations.collapsed_reads(rows, covariates, min_coverage=coverage)
+    assert got.columns == known.columns and got.dtypes == known.dtypes
+    assert known.count() > 100 and got.exceptAll(known).count() == 0 and known.exceptAll(got).count() == 0
+    assert observations.collapsed_reads(rows.limit(0), covariates).count() == 0
