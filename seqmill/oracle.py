@@ -153,7 +153,7 @@ def sql() -> dict[str, str]:
         "global_row_ids": f"{coarse} select {per}, is_reverse, read_num, dense_rank() over (order by {', '.join(c + ' nulls first' for c in _COARSE.split(', '))}) - 1 as cov_id, {_COUNTS} from observed group by {per}, is_reverse, read_num, {_COARSE}",
         "limited_reads": f"{base} select sample, least(count(*), 1500)::bigint as n from reads group by sample",
         "dense_covariates": f"{coarse}, d as (select distinct {per}, {_COARSE} from observed), k as (select {per}, count(*) as n, sum(dend_bin) as s from d group by {per}), e as (select chrom, sample, unnest(range(max(pos) + 5))::int as pos from pile group by 1, 2) select chrom, sample, (pos // 100)::int as tile, string_agg(coalesce(n, 0)::varchar, ',' order by pos) as sizes, coalesce(sum(s), 0)::bigint as sum_dend from e left join k using (chrom, sample, pos) group by 1, 2, 3",
-        "nested_observations": f"{coarse}, o as (select {per}, is_reverse, read_num, {_COARSE}, {_COUNTS} from observed group by {per}, is_reverse, read_num, {_COARSE}), l as (select *, (row_number() over (partition by {per} order by is_reverse, read_num, {_COARSE}) - 1)::int as local_id from o) select {per}, " + ", ".join(f"coalesce(list({{'local_id': local_id, 'n_a': n_a, 'n_c': n_c, 'n_g': n_g, 'n_t': n_t}} order by local_id) filter (is_reverse = {r} and read_num = {k}), []) as {n}" for n, r, k in (("f1", 0, 1), ("f2", 0, 2), ("r1", 1, 1), ("r2", 1, 2))) + f" from l group by {per}",
+        "nested_observations": f"{coarse}, o as (select {per}, is_reverse, read_num, {_COARSE}, {_COUNTS} from observed group by {per}, is_reverse, read_num, {_COARSE}), l as (select *, (row_number() over (partition by {per} order by is_reverse, read_num, {_COARSE}) - 1)::int as local_id from o) select {per}, " + ", ".join(f"coalesce(list(concat_ws(':', local_id, n_a, n_c, n_g, n_t) order by local_id) filter (is_reverse = {r} and read_num = {k}), []) as {n}" for n, r, k in (("f1", 0, 1), ("f2", 0, 2), ("r1", 1, 1), ("r2", 1, 2))) + f" from l group by {per}",
         "freq_grid": f"{base}, n as (select count(distinct pos) as n from reads), v as (select k::int as k, n, {_T('(k - 1)', '(n - 1)')} as v0, {_T('k', '(n - 1)')} as v1 from n, range(401) t(k) where k < n), g as (select k, case when k = 0 then 0.0 else (v0 + v1) / 2 end as f from v) select k, round(f, 9) as f, case when k > 0 then round(ln(f), 9) end as log_f, round(ln(1 - f), 9) as log_1mf from g",
         "prior_logprob": f"{base}, m as (select sample, round(avg(n_a + n_c + n_g + n_t) / 10) as b from pile group by 1), bounds as (select k::int as k, {_T('(k - 1)', '15')} as v0, {_T('k', '15')} as v1 from range({_POINTS}) t(k)) select sample, k, round(case when k = 0 then ln(0.9) else ln(0.1 * (pow(1 - v0, b) - pow(1 - v1, b) + pow(v1, b) - pow(v0, b))) end, 8) as lpf from m, bounds",
         "multinomial_loglik": f"{model}, {_SCORED} select round(sum(n_a * lp_a + n_c * lp_c + n_g * lp_g + n_t * lp_t), 4) as loglik from scored",

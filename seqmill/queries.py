@@ -16,6 +16,7 @@ from seqmill.jobs import train as training
 from seqmill.operators import likelihood, logit, network, observations, pileup, places, simulate
 from seqmill.operators.calls import SKIPPED_FLAGS, CallFilter, base_calls, with_bins
 from seqmill.sources.derived_reads import SAMPLES, reads_of, varied_reads_of
+from seqmill.sources.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 SITE = ["chrom", "sample", "pos"]
@@ -295,9 +296,9 @@ def varied_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def global_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with the number of their covariates in the whole data set."""
-    calls = _observed(spark, sf_dir, COARSE)
-    ids = places.covariate_ids(observations.dictionary_of_calls(calls, COARSE), COARSE)
-    rows = places.with_covariate_ids(observations.collapse(calls, COARSE), ids, COARSE)
+    collapsed = stored(_collapsed(spark, sf_dir, COARSE), "collapsed")
+    ids = places.covariate_ids(observations.dictionary(collapsed, COARSE), COARSE)
+    rows = places.with_covariate_ids(collapsed, ids, COARSE)
     return rows.select(*SITE, _flag(F.col("is_reverse")).alias("is_reverse"), "read_num", "cov_id", *pileup.COUNTS)
 
 
@@ -308,7 +309,7 @@ def limited_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of 100 positions: how many distinct covariates each position has, and a sum over them."""
-    seen = _observed(spark, sf_dir, COARSE)
+    seen = _collapsed(spark, sf_dir, COARSE)
     contigs = _pileup(spark, sf_dir).groupBy("chrom", "sample").agg((F.max("pos") + 5).alias("length"))
     tiles = places.dense_covariates(seen, contigs, COARSE, 100)
     bins = F.aggregate(F.flatten("matrices"), F.lit(0).cast("long"), lambda a, x: a + x["dend_bin"].cast("long"))
@@ -316,9 +317,9 @@ def dense_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A site's counts as arrays by strand and read number."""
-    rows = observations.with_local_ids(_collapsed(spark, sf_dir, COARSE), COARSE)
-    return places.nested(rows)
+    """A site's counts as arrays by strand and read number, each entry as local_id:n_a:n_c:n_g:n_t."""
+    sites = places.nested(observations.with_local_ids(_collapsed(spark, sf_dir, COARSE), COARSE))
+    return sites.select(*SITE, *(F.transform(n, lambda e: F.concat_ws(":", e["local_id"], *(e[c] for c in pileup.COUNTS))).alias(n) for n in places.ORIENTATIONS))
 
 
 ALL = [
