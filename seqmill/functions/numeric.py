@@ -31,6 +31,11 @@ def log_softmax(columns: list[Column]) -> list[Column]:
     return [c - total for c in columns]
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x rounded half away from 0, with the sign of x also where that gives 0."""
+    return F.when(x < 0, -F.round(-x, places)).otherwise(F.round(x, places))
+
+
 def scientific(x: Column) -> Column:
     """Nine significant digits, as 1.23456789e-01."""
     return F.format_string("%.8e", x)

@@ -249,14 +249,14 @@ def global_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posterior_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The posterior as it is written out: numbers in scientific notation."""
     post = likelihood.posterior(_likelihood(spark, sf_dir))
-    return post.select(*SITE, "k", numeric.scientific(F.round("log_post", 3)).alias("log_post"))
+    return post.select(*SITE, "k", numeric.scientific(numeric.rounded(F.col("log_post"), 3)).alias("log_post"))
 
 
 def posterior_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that is written out of each site: best_freq and the log-posterior of every grid point, in scientific notation."""
     post = likelihood.posterior(_likelihood(spark, sf_dir))
     best = F.max_by("f", F.struct("log_post", -F.col("k")))
-    values = F.transform(F.array_sort(F.collect_list(F.struct("k", "log_post"))), lambda x: numeric.scientific(F.round(x["log_post"], 3)))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("k", "log_post"))), lambda x: numeric.scientific(numeric.rounded(x["log_post"], 3)))
     return post.groupBy(*SITE).agg(best.alias("best"), values.alias("log_post")).select(*SITE, numeric.scientific(F.round("best", 6)).alias("best_freq"), "log_post")
 
 
