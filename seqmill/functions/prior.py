@@ -61,6 +61,31 @@ def betainc(a, b, x) -> np.ndarray:
     return out
 
 
+def _log_tails(a: float, b: float, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log I_x(a, b) and log(1 - I_x(a, b)): the smaller of the two is computed, so neither cancels or underflows."""
+    with np.errstate(divide="ignore"):
+        if a == 1 or b == 1:
+            small = b * np.log1p(-x) if a == 1 else a * np.log(x)
+            upper_is_small = np.full(x.shape, a == 1)
+        else:
+            front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log1p(-x)
+            upper_is_small = x >= (a + 1) / (a + b + 2)
+            lower = _fraction(np.full(x.shape, a), np.full(x.shape, b), np.where(upper_is_small, 0.0, x)) / a
+            upper = _fraction(np.full(x.shape, b), np.full(x.shape, a), np.where(upper_is_small, 1 - x, 0.0)) / b
+            small = front + np.log(np.where(upper_is_small, upper, lower))
+        rest = np.where(small > -math.log(2), np.log(-np.expm1(small)), np.log1p(-np.exp(small)))
+    return np.where(upper_is_small, rest, small), np.where(upper_is_small, small, rest)
+
+
+def _log_masses(a: float, b: float, v: np.ndarray) -> np.ndarray:
+    """The log of the beta mass of each window between boundaries, from the tail in which it is the larger part."""
+    lower, upper = _log_tails(a, b, v)
+    above = upper[:-1] < lower[1:]
+    big, small = np.where(above, upper[:-1], lower[1:]), np.where(above, upper[1:], lower[:-1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(np.isneginf(big), big, big + np.log(-np.expm1(small - big)))
+
+
 @F.pandas_udf(DoubleType())
 def betainc_column(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series(betainc(a, b, x))
@@ -84,12 +109,11 @@ class Prior:
         return np.array([math.log(self.a), math.log(self.b), math.log(self.z / (1 - self.z))])
 
     def log_probabilities(self, points: int, concentration: float = 10.0) -> np.ndarray:
-        """The log-probability of each grid point; they sum to 1. A window that underflows has -inf."""
+        """The log-probability of each grid point; they sum to 1. All is done in logs, so narrow priors keep their far windows."""
         v = boundaries(points, concentration)
-        low = np.diff(betainc(self.a, self.b, v))
-        high = -np.diff(betainc(self.b, self.a, v))  # of 1 - v, without cancellation
+        mass = np.logaddexp(_log_masses(self.a, self.b, v), _log_masses(self.b, self.a, v))  # of the window and of its mirror image
         with np.errstate(divide="ignore"):
-            return np.log(np.concatenate([[self.z], (1 - self.z) * (low - high)]))
+            return np.concatenate([[np.log(self.z)], np.log1p(-self.z) + mass])
 
     def gradient(self, points: int, concentration: float = 10.0, eps: float = 1e-5) -> np.ndarray:
         """d log_probabilities / d params, a row for each of the three, by central differences."""

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from seqmill.functions import numeric
+import math
+
+import numpy as np
+import pytest
+
+from seqmill.functions import numeric, prior
 
 
 def test_rounded_keeps_the_sign_of_what_becomes_zero(spark):
@@ -10,3 +15,20 @@ def test_rounded_keeps_the_sign_of_what_becomes_zero(spark):
     got = rows.orderBy("i").select(numeric.scientific(numeric.rounded(rows.x, 3)).alias("s")).collect()
     assert [r.s for r in got][:5] == ["-0.00000000e+00", "0.00000000e+00", "-1.00000000e-03", "1.23500000e+00", "0.00000000e+00"]
     assert rows.filter("i = 5").select(numeric.rounded(rows.x, 3).alias("x")).first().x is None
+
+
+@pytest.mark.parametrize("b", [790.0, 47_000.0])
+def test_a_narrow_prior_keeps_its_far_windows(b):
+    got, v = prior.Prior(1.0, b, 0.9).log_probabilities(16), prior.boundaries(16)
+    # log((1 - v0)^b - (1 - v1)^b), to which the mirror image adds nothing that a double shows, but in the last window
+    want = [math.log(0.1) + b * math.log1p(-x) + math.log(-math.expm1(b * (math.log1p(-y) - math.log1p(-x)))) for x, y in zip(v[:-1], v[1:], strict=True)]
+    assert np.isfinite(got).all()
+    assert got[1:-1] == pytest.approx(want[:-1], rel=1e-12)
+    assert np.exp(got).sum() == pytest.approx(1, abs=1e-12)
+
+
+@pytest.mark.parametrize(("a", "b"), [(2.5, 30.0), (0.3, 0.7), (1.0, 20.0), (4.0, 1.0), (1.0, 1.0)])
+def test_prior_in_logs_equals_differences_of_betainc(a, b):
+    v = prior.boundaries(16)
+    mass = np.diff(prior.betainc(a, b, v)) + np.diff(prior.betainc(b, a, v))
+    assert np.exp(prior.Prior(a, b, 0.5).log_probabilities(16)[1:]) * 2 == pytest.approx(mass, abs=1e-13)
