@@ -14,10 +14,33 @@ SAMPLES = ("s0", "s1", "s2")
 
 
 def _base(i: int) -> str:
+    """The letter at place i of a read, in SQL."""
     p = f"(pos + {i})"
     return f"substr('ACGT', cast(1 + ({p}*{p}*3 + {p}*5 + case when (ok*31 + pk*17 + {i}*7 + ln) % 97 = 0 then 1 + ok % 3 when {p} % 41 = 0 and sample = 's1' then 2 else 0 end) % 4 as int), 1)"
 
 
+def _letters(keys: DataFrame, n: int) -> DataFrame:
+    """keys (sample, pos, ok, pk, ln, none of them negative) with seq, the n letters of _base(), and qual.
+
+    The letters repeat every four positions, 7 i runs through all remainders of 97 and 5 i through those of 31. So a read is a
+    cut of a fixed text with at most one error and one position of s1 laid over it, and the step's code stays
+    below the size that the JVM compiles; the letters' formulas side by side are beyond it.
+    """
+    plain = ("AAGG" * (n // 4 + 2))[: n + 3]
+    quality = F.lit([10 + 5 * j % 31 for j in range(31 + n)]).cast("array<int>")
+    placed = keys.withColumns({
+        "seq": F.expr(f"substr('{plain}', cast(1 + pos % 4 as int), {n})"),
+        "marked": F.expr("case when sample = 's1' then (41 - pos % 41) % 41 end"),
+        "wrong": F.expr("pmod((ok*31 + pk*17 + ln) % 97 * -14, 97)"),
+        "qual": F.slice(quality, F.expr("cast(1 + (ok + ln*3) % 31 * 25 % 31 as int)"), n),
+    })
+    other = "substr('GGAA', cast(1 + (pos + marked) % 4 as int), 1)"
+    p = "(pos + wrong)"
+    error = f"substr('ACGT', cast(1 + ({p}*{p}*3 + {p}*5 + 1 + ok % 3) % 4 as int), 1)"
+    marked = placed.withColumn("seq", F.expr(f"case when marked < {n} then overlay(seq, {other}, cast(marked + 1 as int), 1) else seq end"))
+    return marked.withColumn("seq", F.expr(f"case when wrong < {n} then overlay(seq, {error}, cast(wrong + 1 as int), 1) else seq end"))
+
+
 def derived_reads(lineitem: DataFrame) -> DataFrame:
     """sample, chrom, pos, flag, mapq, cigar, seq, qual: one read for each row of lineitem."""
     keys = lineitem.selectExpr(
@@ -25,9 +48,7 @@ def derived_reads(lineitem: DataFrame) -> DataFrame:
         "cast((l_partkey*7 + l_linenumber*3) % 400 as int) as pos", "l_orderkey as ok", "l_partkey as pk", "l_linenumber as ln",
         "cast(16 * (l_orderkey % 2) + 64 * (1 + l_linenumber % 2) as int) as flag", "cast(l_quantity as int) as mapq",
     )
-    seq = "concat(" + ", ".join(_base(i) for i in range(LENGTH)) + ")"
-    qual = "array(" + ", ".join(f"cast(10 + (ok + {i * 5} + ln*3) % 31 as int)" for i in range(LENGTH)) + ")"
-    return keys.select("sample", "chrom", "pos", "flag", "mapq", F.lit(f"{LENGTH}M").alias("cigar"), F.expr(seq).alias("seq"), F.expr(qual).alias("qual"))
+    return _letters(keys, LENGTH).select("sample", "chrom", "pos", "flag", "mapq", F.lit(f"{LENGTH}M").alias("cigar"), "seq", "qual")
 
 
 #: Alignments of the varied reads in turn, and their lengths.
@@ -44,10 +65,10 @@ def varied_reads(lineitem: DataFrame) -> DataFrame:
         "cast(l_quantity as int) as mapq", f"cast((l_orderkey + l_partkey) % {len(CIGARS)} as int) as kind",
     )
     kind = F.col("kind") + 1
-    size = F.element_at(F.array(*map(F.lit, SIZES)), kind)
-    letters = "concat(" + ", ".join(_base(i) if i != 6 else f"case when ok % 11 = 0 then 'N' else {_base(i)} end" for i in range(max(SIZES))) + ")"
-    qual = "array(" + ", ".join(f"cast(10 + (ok + {i * 5} + ln*3) % 31 as int)" for i in range(max(SIZES))) + ")"
-    return long.select("sample", "chrom", "pos", "flag", "mapq", F.element_at(F.array(*map(F.lit, CIGARS)), kind).alias("cigar"), F.substring(F.expr(letters), F.lit(1), size).alias("seq"), F.slice(F.expr(qual), F.lit(1), size).alias("qual"))
+    size = F.element_at(F.lit(SIZES).cast("array<int>"), kind)
+    seq = F.expr("case when ok % 11 = 0 then overlay(seq, 'N', 7, 1) else seq end")
+    cut = _letters(long, max(SIZES)).withColumn("size", size)
+    return cut.select("sample", "chrom", "pos", "flag", "mapq", F.element_at(F.lit(CIGARS), kind).alias("cigar"), F.substring(seq, F.lit(1), F.col("size")).alias("seq"), F.slice("qual", F.lit(1), F.col("size")).alias("qual"))
 
 
 def spread(table: DataFrame) -> DataFrame:

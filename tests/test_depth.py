@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqmill.functions import numeric, prior
+from seqmill.sources import derived_reads
+from tests.oracle import SMALL
 
 
 def test_rounded_keeps_the_sign_of_what_becomes_zero(spark):
@@ -32,3 +36,22 @@ def test_prior_in_logs_equals_differences_of_betainc(a, b):
     v = prior.boundaries(16)
     mass = np.diff(prior.betainc(a, b, v)) + np.diff(prior.betainc(b, a, v))
     assert np.exp(prior.Prior(a, b, 0.5).log_probabilities(16)[1:]) * 2 == pytest.approx(mass, abs=1e-13)
+
+
+@pytest.mark.parametrize("reads", [derived_reads.derived_reads, derived_reads.varied_reads])
+def test_the_code_of_derived_reads_is_small_enough_to_be_compiled(spark, reads):
+    plan = reads(spark.read.parquet(f"{SMALL}/lineitem.parquet"))._jdf.queryExecution().executedPlan()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    assert sizes and max(sizes) < 8000  # the JVM interprets larger methods
+
+
+def test_derived_reads_follow_the_formulas_of_their_letters(spark):
+    lineitem = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    keys = lineitem.selectExpr("concat('s', cast(l_suppkey % 3 as string)) as sample", "cast((l_partkey*7 + l_linenumber*3) % 400 as int) as pos", "l_orderkey as ok", "l_partkey as pk", "l_linenumber as ln")
+    for n in (derived_reads.LENGTH, max(derived_reads.SIZES)):
+        got = derived_reads._letters(keys, n)
+        letters = F.concat(*(F.expr(derived_reads._base(i)) for i in range(n)))
+        qual = F.array(*(F.expr(f"cast(10 + (ok + {i * 5} + ln*3) % 31 as int)") for i in range(n)))
+        assert got.filter((F.col("seq") != letters) | (F.col("qual") != qual)).count() == 0
+        assert got.filter(F.col("seq") == letters).count() == lineitem.count()
