@@ -28,36 +28,45 @@ class CallFilter:
         return CallFilter(min_bq, 0, SKIPPED_FLAGS)
 
 
-def _ops(cigar: Column) -> Column:
-    sizes = F.transform(F.regexp_extract_all(cigar, F.lit(r"([0-9]+)([MIDNSHP=X])"), F.lit(1)), lambda n: n.cast("int"))
-    return F.arrays_zip(sizes.alias("n"), F.regexp_extract_all(cigar, F.lit(r"([0-9]+)([MIDNSHP=X])"), F.lit(2)).alias("op"))
+def _ops(cigar: Column) -> tuple[Column, Column]:
+    """The sizes and the letters of an alignment's operations, as two arrays."""
+    pattern = F.lit(r"([0-9]+)([MIDNSHP=X])")
+    whole = F.regexp_extract(cigar, "^([0-9]+)M$", 1).try_cast("int")
+    sizes = F.transform(F.regexp_extract_all(cigar, pattern, F.lit(1)), lambda n: n.cast("int"))
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(sizes), F.when(whole.isNotNull(), F.array(F.lit("M"))).otherwise(F.regexp_extract_all(cigar, pattern, F.lit(2)))
+
+
+def _starts(sizes: Column, letters: Column) -> Column:
+    """Where each operation begins, and where the last one ends, as query * 2^32 + reference: one sum for both."""
+    both, query, reference = ("M", "=", "X"), ("I", "S"), ("D", "N")
+    step = lambda n, op: n.cast("long") * F.when(op.isin(*both), 2**32 + 1).when(op.isin(*query), 2**32).when(op.isin(*reference), 1).otherwise(0)
+    nothing = F.array(F.lit(0).cast("long"))
+    summed = F.aggregate(F.zip_with(sizes, letters, step), nothing, lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+    one = (F.size(sizes) == 1) & (F.element_at(letters, 1) == "M")
+    return F.when(one, F.array(F.lit(0).cast("long"), F.element_at(sizes, 1).cast("long") * (2**32 + 1))).otherwise(summed)
+
+
+def _run(op: Column, at: Column, pos: Column) -> tuple[Column, Column, Column]:
+    """Whether an operation is a run of matches, and where it begins in the query and on the reference."""
+    return op.isin("M", "=", "X"), F.shiftright(at, 32).cast("int"), pos.cast("int") + at.bitwiseAND(2**32 - 1).cast("int")
 
 
 def aligned_length(cigar: Column) -> Column:
     """Reference bases that the alignment spans."""
-    return F.aggregate(_ops(cigar), F.lit(0), lambda total, o: total + F.when(o["op"].isin("M", "D", "N", "=", "X"), o["n"]).otherwise(0))
+    return F.element_at(_starts(*_ops(cigar)), -1).bitwiseAND(2**32 - 1).cast("int")
 
 
 def aligned_runs(cigar: Column, pos: Column) -> Column:
-    """An array of (q, r, n): n bases from qpos q on match the reference from r on; gaps and clips are left out.
+    """An array of (q, r, n): n bases from qpos q on match the reference from r on; gaps and clips are left out."""
+    sizes, letters = _ops(cigar)
+    zipped = F.arrays_zip(sizes.alias("n"), letters.alias("op"), _starts(sizes, letters).alias("at"))
+    matched = F.filter(zipped, lambda o: o["op"].isin("M", "=", "X") & (o["n"] > 0))
 
-    One run of matches needs no walk.
-    """
-    nothing = F.array().cast("array<struct<q:int,r:int,n:int>>")
-    start = F.struct(F.lit(0).alias("q"), pos.cast("int").alias("r"), nothing.alias("runs"))
-
-    def step(at: Column, o: Column) -> Column:
-        both = o["op"].isin("M", "=", "X")
-        run = F.array(F.struct(at["q"].alias("q"), at["r"].alias("r"), o["n"].alias("n")))
-        return F.struct(
-            (at["q"] + F.when(both | o["op"].isin("I", "S"), o["n"]).otherwise(0)).alias("q"),
-            (at["r"] + F.when(both | o["op"].isin("D", "N"), o["n"]).otherwise(0)).alias("r"),
-            F.when(both & (o["n"] > 0), F.concat(at["runs"], run)).otherwise(at["runs"]).alias("runs"),
-        )
+    def run(o: Column) -> Column:
+        _, q, r = _run(o["op"], o["at"], pos)
+        return F.struct(q.alias("q"), r.alias("r"), o["n"].alias("n"))
 
-    whole = F.regexp_extract(cigar, "^([0-9]+)M$", 1).try_cast("int")
-    simple = F.array(F.struct(F.lit(0).alias("q"), pos.cast("int").alias("r"), whole.alias("n")))
-    return F.when(whole > 0, simple).when(whole == 0, nothing).otherwise(F.aggregate(_ops(cigar), start, step)["runs"])
+    return F.transform(matched, run)
 
 
 def aligned_pairs(cigar: Column, pos: Column) -> Column:
@@ -69,13 +78,17 @@ def aligned_pairs(cigar: Column, pos: Column) -> Column:
 def _exploded(reads: DataFrame, min_bq: int) -> DataFrame:
     """Calls of A, C, G or T of at least min_bq, as they are called, with seq and alen of their read."""
     reverse = F.col("flag").bitwiseAND(REVERSE) > 0
-    n = F.regexp_extract("cigar", "^([0-9]+)M$", 1).try_cast("int")
-    alen = F.when(n.isNotNull(), n).otherwise(aligned_length(F.col("cigar")))
     read_num = F.col("flag").bitwiseAND(READ2).cast("boolean").cast("int") + 1
     own = ["sample", "chrom", "mapq", "flag", "seq", "qual"]
-    # first the runs of matches, a few a read, then their positions, so that no struct is made for each call
-    runs = reads.select(*own, reverse.alias("is_reverse"), read_num.alias("read_num"), alen.alias("alen"), F.explode(aligned_runs(F.col("cigar"), F.col("pos"))).alias("run"))
-    calls = runs.select(*own, "is_reverse", "read_num", "alen", F.col("run.q").alias("q"), F.col("run.r").alias("r"), F.explode(F.sequence(F.lit(0), F.col("run.n") - 1)).alias("i"))
+    sizes, letters = _ops(F.col("cigar"))
+    # the walk is a step of its own for each read; then come its operations, a few a read, then their positions
+    walked = reads.select(*own, "pos", reverse.alias("is_reverse"), read_num.alias("read_num"), sizes.alias("n"), letters.alias("op"))
+    walked = walked.withColumn("at", _starts(F.col("n"), F.col("op")))
+    walked = walked.withColumn("alen", F.element_at("at", -1).bitwiseAND(2**32 - 1).cast("int"))
+    ops = walked.select(*own, "pos", "is_reverse", "read_num", "alen", F.explode(F.arrays_zip("n", "op", "at")).alias("o"))
+    matches, q, r = _run(F.col("o.op"), F.col("o.at"), F.col("pos"))
+    runs = ops.filter(matches & (F.col("o.n") > 0)).select(*own, "is_reverse", "read_num", "alen", q.alias("q"), r.alias("r"), F.col("o.n").alias("n"))
+    calls = runs.select(*own, "is_reverse", "read_num", "alen", "q", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     calls = calls.withColumns({"qpos": F.col("q") + F.col("i"), "refpos": F.col("r") + F.col("i")})
     calls = calls.withColumn("bq", F.col("qual")[F.col("qpos")]).filter(F.col("bq") >= min_bq)
     calls = calls.withColumn("called", F.substring("seq", F.col("qpos") + 1, F.lit(1))).filter(F.col("called").isin(*bases.BASES))

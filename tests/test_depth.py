@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqmill.functions import numeric, prior
+from seqmill.operators.calls import base_calls
 from seqmill.sources import derived_reads
 from tests.oracle import SMALL
 
@@ -55,3 +56,18 @@ def test_derived_reads_follow_the_formulas_of_their_letters(spark):
         qual = F.array(*(F.expr(f"cast(10 + (ok + {i * 5} + ln*3) % 31 as int)") for i in range(n)))
         assert got.filter((F.col("seq") != letters) | (F.col("qual") != qual)).count() == 0
         assert got.filter(F.col("seq") == letters).count() == lineitem.count()
+
+
+def test_an_alignment_is_walked_once_and_in_steps_of_one_sum(spark):
+    """Many operations, of which each kind moves the query, the reference, both or neither."""
+    cigar = "3H2S" + "4M1I2M3D1=2N1X1P" * 50 + "5S"
+    want, q, r = [], 2, 7
+    for _ in range(50):
+        for n, op in ((4, "M"), (1, "I"), (2, "M"), (3, "D"), (1, "="), (2, "N"), (1, "X")):
+            want += [(q + i, r + i) for i in range(n)] if op in "M=X" else []
+            q, r = q + n * (op in "M=XI"), r + n * (op in "M=XDN")
+    rows = spark.createDataFrame([("s0", "c", 7, 0, 60, cigar, "A" * (q + 5), [30] * (q + 5)), ("s0", "c", 7, 0, 60, "0M", "", []), ("s0", "c", 7, 0, 60, None, "A", [30])], "sample string, chrom string, pos int, flag int, mapq int, cigar string, seq string, qual array<int>")
+    seen = base_calls(rows)
+    assert sorted((c.qpos, c.refpos) for c in seen.collect()) == want
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
