@@ -13,6 +13,8 @@ from seqmill.functions import bases
 from .calls import CallFilter, base_calls, marked_calls
 from .pileup import COUNTS, base_counts, coverage, sites
 
+#: Sites up to which they are broadcast.
+FEW = 100_000
 CONTAM = ["contam_a", "contam_c", "contam_g", "contam_t"]
 
 
@@ -65,12 +67,13 @@ def with_user_columns(calls: DataFrame, table: DataFrame, columns: tuple[str, ..
 def observed_calls(reads: DataFrame, site_table: DataFrame, covariates: Covariates, keep: CallFilter = CallFilter()) -> DataFrame:
     """Calls at sites with a consensus and a major allele, with all covariates of theirs.
 
-    On reverse reads the contamination columns are those of the complementary bases.
+    On reverse reads the contamination columns are those of the complementary bases. Sites are counted first and
+    broadcast if they are few, so that deep ones need no shuffle of calls: give a table that is written.
     """
     calls = base_calls(reads, keep, covariates.context_length)
     calls = calls.withColumn("dend_bin", bases.rounded(F.col("dend"), covariates.round_distance_by)).withColumnRenamed("refpos", "pos")
     known = site_table.filter("consensus <> 'N' and major <> 'N'").select("chrom", "sample", "pos", "major", "minor", *CONTAM)
-    joined = calls.join(known, ["chrom", "sample", "pos"])
+    joined = calls.join(F.broadcast(known) if site_table.count() <= FEW else known, ["chrom", "sample", "pos"])
     flipped = [F.when(F.col("is_reverse"), F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(CONTAM, reversed(CONTAM), strict=True)]
     return joined.select("chrom", "sample", "pos", "is_reverse", "read_num", "base", "bq", "mapq", "dend_bin", "context", *flipped, "major", "minor")
 

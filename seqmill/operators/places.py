@@ -56,10 +56,14 @@ def with_covariate_ids(observations: DataFrame, ids: DataFrame, covariates: Cova
 def limited(reads: DataFrame, n: int) -> DataFrame:
     """The first n reads of each sample, exactly n where there are as many, in the order in which they are read.
 
-    Reads are counted by task and sample; of most tasks all or none are kept, and only those that hold a sample's cut number
-    their reads of it.
+    Of a small n each task keeps its first n of a sample, so little is written. Reads are counted by task and sample; of
+    most tasks all or none are kept, and only those that hold a sample's cut number their reads of it.
     """
-    told = stored(reads.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "limited")
+    told = reads.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    if n <= FEW:  # the first n of each task are told before any shuffle
+        first = Window.partitionBy("sample", "_part").orderBy("_at")
+        told = told.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= n).drop("_nth")
+    told = stored(told, "limited")
     counts = told.groupBy("sample", "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("sample").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     cuts = counts.select("sample", "_part", "_n", (F.lit(n) - F.coalesce(before, F.lit(0))).alias("_room")).filter("_room > 0")

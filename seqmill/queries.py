@@ -36,7 +36,7 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _observed(spark: SparkSession, sf_dir: str, covariates: observations.Covariates = COVARIATES) -> DataFrame:
-    return observations.observed_calls(reads_of(spark, sf_dir), _sites(spark, sf_dir), covariates)
+    return observations.observed_calls(reads_of(spark, sf_dir), stored(_sites(spark, sf_dir), "sites"), covariates)
 
 
 def _collapsed(spark: SparkSession, sf_dir: str, covariates: observations.Covariates = COVARIATES) -> DataFrame:
@@ -127,21 +127,24 @@ def local_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variable_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _observed(spark, sf_dir).select(*COVARIATES.keys).distinct()
+    # written, as Spark leaves a distinct() out below counts of distinct values, which copy each call for each column
+    rows = stored(_observed(spark, sf_dir).select("bq", "mapq", "dend_bin", *observations.CONTAM).distinct(), "distinct")
     numbers = rows.select(F.lit(1).alias("const"), "bq", "mapq", "dend_bin", *observations.CONTAM, F.lit(1).alias("unit"), F.lit(0).alias("zero"))
     return observations.variable_columns(observations.column_statistics(numbers, numbers.columns))
 
 
 def minmax_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _observed(spark, sf_dir).select("bq", "mapq", "dend_bin").distinct()
+    rows = stored(_observed(spark, sf_dir).select("bq", "mapq", "dend_bin").distinct(), "distinct")
     low = observations.column_statistics(rows, rows.columns).collect()
     scaled = observations.normalise(rows, {r["name"]: (r["low"], r["high"]) for r in low})
     return scaled.select(*(F.round(c, 6).alias(c) for c in rows.columns))
 
 
 def locus_key_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _observed(spark, sf_dir)
-    missing = observations.missing_keys(_pileup(spark, sf_dir), seen, SITE)
+    # both sides are a row a site and are read several times
+    counts = stored(_pileup(spark, sf_dir), "pileup")
+    seen = stored(observations.observed_calls(reads_of(spark, sf_dir), stored(pileup.sites(counts), "sites"), COVARIATES).select(*SITE).distinct(), "seen")
+    missing = observations.missing_keys(counts, seen, SITE)
     return missing.groupBy("side").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
 
 
@@ -304,7 +307,7 @@ def global_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def limited_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many reads of each sample are left of its first 1,500."""
-    return places.limited(reads_of(spark, sf_dir), 1500).groupBy("sample").agg(F.count("*").alias("n"))
+    return places.limited(reads_of(spark, sf_dir).select("sample"), 1500).groupBy("sample").agg(F.count("*").alias("n"))
 
 
 def dense_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqmill import queries
 from seqmill.functions import numeric, prior
+from seqmill.operators import observations, places, pileup
 from seqmill.operators.calls import base_calls
 from seqmill.sources import derived_reads
 from tests.oracle import SMALL
@@ -71,3 +73,28 @@ def test_an_alignment_is_walked_once_and_in_steps_of_one_sum(spark):
     assert sorted((c.qpos, c.refpos) for c in seen.collect()) == want
     plan = seen._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_of_a_small_limit_each_task_writes_its_first_reads_alone(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(places, "stored", lambda table, name: written.append(table.count()) or table.persist())
+    reads = spark.range(9000).select(F.when(F.col("id") % 9 > 0, "hot").otherwise("small").alias("sample"), "id").repartition(5, "id")
+    assert {r["sample"]: r["count"] for r in places.limited(reads, 7).groupBy("sample").count().collect()} == {"hot": 7, "small": 7}
+    assert written == [7 * 2 * 5]
+
+
+def test_calls_at_few_sites_are_not_shuffled(spark, monkeypatch):
+    reads = derived_reads.reads_of(spark, SMALL)
+    sites = pileup.sites(pileup.pileup(reads)).persist()
+    few = observations.observed_calls(reads, sites, queries.COVARIATES)
+    assert "strategy=broadcast" in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(observations, "FEW", 0)
+    many = observations.observed_calls(reads, sites, queries.COVARIATES)
+    assert "strategy=broadcast" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert few.exceptAll(many).count() == many.exceptAll(few).count() == 0 < few.count()
+
+
+@pytest.mark.parametrize("name", ["minmax_normalized", "variable_columns"])
+def test_statistics_read_distinct_rows_and_not_calls_again(spark, name):
+    plan = getattr(queries, name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower()
