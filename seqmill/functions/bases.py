@@ -18,7 +18,7 @@ def complement(seq: Column) -> Column:
 
 def complement_base(base: Column) -> Column:
     """One base complemented; anything outside ACGT is N."""
-    return F.when(base.isin(*BASES), F.translate(base, "ACGT", "TGCA")).when(base.isNotNull(), "N")
+    return F.when(base == "A", "T").when(base == "C", "G").when(base == "G", "C").when(base == "T", "A").when(base.isNotNull(), "N")
 
 
 def base_index(base: Column) -> Column:
@@ -32,11 +32,22 @@ def context(seq: Column, qpos: Column, is_reverse: Column, k: int) -> Column:
     Letters outside ACGT become N, so a context that holds one can be dropped or encoded as the
     baseline on either strand.
     """
+    return context_of(sequenced(seq, is_reverse), qpos, is_reverse, k)
+
+
+def sequenced(seq: Column, is_reverse: Column) -> Column:
+    """A read's letters in sequencing order, letters outside ACGT as N: what context_of() cuts, made once a read."""
+    clean = F.regexp_replace(seq, "[^ACGT]", "N")
+    return F.when(is_reverse, F.translate(F.reverse(clean), "ACGT", "TGCA")).otherwise(clean)
+
+
+def context_of(sequenced: Column, qpos: Column, is_reverse: Column, k: int) -> Column:
+    """context() of a read's letters in sequencing order."""
     if k == 0:
         return F.lit("")
-    left = F.substring(seq, qpos - k + 1, F.lit(k))
-    right = F.translate(F.reverse(F.substring(seq, qpos + 2, F.lit(k))), "ACGT", "TGCA")
-    return F.regexp_replace(F.when(is_reverse, right).otherwise(left), "[^ACGT]", "N")
+    right = F.length(sequenced) - qpos - 1  # bases sequenced before it, on a reverse read
+    cut = F.substring(sequenced, F.greatest(right - k + 1, F.lit(1)), F.least(right, F.lit(k)))
+    return F.when(is_reverse, cut).otherwise(F.substring(sequenced, qpos - k + 1, F.lit(k)))
 
 
 def has_context(qpos: Column, alen: Column, is_reverse: Column, k: int) -> Column:

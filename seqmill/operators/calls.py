@@ -75,11 +75,14 @@ def aligned_pairs(cigar: Column, pos: Column) -> Column:
     return F.flatten(F.transform(aligned_runs(cigar, pos), pair))
 
 
-def _exploded(reads: DataFrame, min_bq: int) -> DataFrame:
-    """Calls of A, C, G or T of at least min_bq, as they are called, with seq and alen of their read."""
+def _exploded(reads: DataFrame, min_bq: int, sequenced: bool = False) -> DataFrame:
+    """Calls of A, C, G or T of at least min_bq, as they are called, with alen of their read; sequenced: and its letters in sequencing order."""
     reverse = F.col("flag").bitwiseAND(REVERSE) > 0
     read_num = F.col("flag").bitwiseAND(READ2).cast("boolean").cast("int") + 1
-    own = ["sample", "chrom", "mapq", "flag", "seq", "qual"]
+    if sequenced:  # once a read, as contexts are cuts of it
+        reads = reads.withColumn("sequenced", bases.sequenced(F.col("seq"), reverse))
+    told = ["sequenced"] if sequenced else []
+    own = ["sample", "chrom", "mapq", "flag", "seq", "qual", *told]
     sizes, letters = _ops(F.col("cigar"))
     # the walk is a step of its own for each read; then come its operations, a few a read, then their positions
     walked = reads.select(*own, "pos", reverse.alias("is_reverse"), read_num.alias("read_num"), sizes.alias("n"), letters.alias("op"))
@@ -92,7 +95,16 @@ def _exploded(reads: DataFrame, min_bq: int) -> DataFrame:
     calls = calls.withColumns({"qpos": F.col("q") + F.col("i"), "refpos": F.col("r") + F.col("i")})
     calls = calls.withColumn("bq", F.col("qual")[F.col("qpos")]).filter(F.col("bq") >= min_bq)
     calls = calls.withColumn("called", F.substring("seq", F.col("qpos") + 1, F.lit(1))).filter(F.col("called").isin(*bases.BASES))
-    return calls.select("sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "flag", "bq", "called", "seq", "alen")
+    return calls.select("sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "flag", "bq", "called", "alen", *told)
+
+
+def _kept(keep: CallFilter) -> Column:
+    return (F.col("mapq") >= keep.min_mq) & (F.col("flag").bitwiseAND(keep.skip_flags) == 0)
+
+
+def forward_calls(reads: DataFrame, keep: CallFilter) -> DataFrame:
+    """sample, chrom, refpos, is_reverse, bq and base of every call kept, base as on the forward strand."""
+    return _exploded(reads.filter(_kept(keep)), keep.min_bq).select("sample", "chrom", "refpos", "is_reverse", "bq", F.col("called").alias("base"))
 
 
 def _read_off() -> list[Column]:
@@ -108,10 +120,10 @@ def base_calls(reads: DataFrame, keep: CallFilter = CallFilter(), context_length
     context; calls without a whole context or with an N in it go. base is in sequencing order:
     complemented on reverse reads. Calls outside ACGT go on both strands.
     """
-    calls = _exploded(reads.filter((F.col("mapq") >= keep.min_mq) & (F.col("flag").bitwiseAND(keep.skip_flags) == 0)), keep.min_bq)
+    calls = _exploded(reads.filter(_kept(keep)), keep.min_bq, context_length is not None)
     if context_length is not None:
         calls = calls.filter(bases.has_context(F.col("qpos"), F.col("alen"), F.col("is_reverse"), context_length))
-        calls = calls.withColumn("context", bases.context(F.col("seq"), F.col("qpos"), F.col("is_reverse"), context_length)).filter(~F.col("context").contains("N"))
+        calls = calls.withColumn("context", bases.context_of(F.col("sequenced"), F.col("qpos"), F.col("is_reverse"), context_length)).filter(~F.col("context").contains("N"))
     columns = ["sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "bq", *_read_off()]
     return calls.select(*columns, *(["context"] if context_length is not None else []))
 
@@ -120,9 +132,9 @@ def marked_calls(reads: DataFrame, keep: CallFilter, context_length: int) -> Dat
     """What base_calls() gives of `keep` and of a pileup at its base quality, with one explode: each call once, with
     observed and piled, which say of which of the two it is. context is null where a call has no whole one."""
     piled = F.coalesce(F.col("flag").bitwiseAND(SKIPPED_FLAGS) == 0, F.lit(False)) & F.coalesce(F.col("mapq") >= 0, F.lit(False))
-    kept = F.coalesce((F.col("mapq") >= keep.min_mq) & (F.col("flag").bitwiseAND(keep.skip_flags) == 0), F.lit(False))
-    calls = _exploded(reads.filter(piled | kept), keep.min_bq)
-    context = bases.context(F.col("seq"), F.col("qpos"), F.col("is_reverse"), context_length)
+    kept = F.coalesce(_kept(keep), F.lit(False))
+    calls = _exploded(reads.filter(piled | kept), keep.min_bq, True)
+    context = bases.context_of(F.col("sequenced"), F.col("qpos"), F.col("is_reverse"), context_length)
     calls = calls.withColumn("context", F.when(bases.has_context(F.col("qpos"), F.col("alen"), F.col("is_reverse"), context_length), context))
     observed = kept & F.coalesce(~F.col("context").contains("N"), F.lit(False))
     return calls.select("sample", "chrom", "refpos", "qpos", "is_reverse", "read_num", "mapq", "bq", *_read_off(), "context", piled.alias("piled"), observed.alias("observed"))

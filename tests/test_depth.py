@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqmill import queries
-from seqmill.functions import numeric, prior
+from seqmill.functions import bases, numeric, prior
 from seqmill.operators import observations, places, pileup
 from seqmill.operators.calls import base_calls
 from seqmill.sources import derived_reads
@@ -99,3 +99,13 @@ def test_calls_at_few_sites_are_not_shuffled(spark, monkeypatch):
 def test_statistics_read_distinct_rows_and_not_calls_again(spark, name):
     plan = getattr(queries, name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan.lower()
+
+
+def test_contexts_cut_from_a_read_equal_those_cut_from_each_call(spark):
+    rows = [(s, q, r, k) for s in ("ACGTNacx", "A", "", "TTGCA", None) for q in range(8) for r in (True, False) for k in (1, 2, 3) if r or q >= k]
+    for k in (1, 2, 3):
+        table = spark.createDataFrame([x[:3] for x in rows if x[3] == k], "seq string, qpos int, rev boolean")
+        right = F.translate(F.reverse(F.substring("seq", F.col("qpos") + 2, F.lit(k))), "ACGT", "TGCA")
+        left = F.substring("seq", F.col("qpos") - k + 1, F.lit(k))
+        want = F.regexp_replace(F.when(F.col("rev"), right).otherwise(left), "[^ACGT]", "N")
+        assert table.filter(~bases.context(F.col("seq"), F.col("qpos"), F.col("rev"), k).eqNullSafe(want)).count() == 0
