@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from seqmill.functions import bases
 
-from .calls import CallFilter, base_calls
+from .calls import CallFilter, forward_calls
 
 COUNTS = ["n_a", "n_c", "n_g", "n_t"]
 SITE = ["chrom", "sample", "pos"]
@@ -20,16 +20,14 @@ def base_counts(base: Column) -> list[Column]:
 
 def pileup(reads: DataFrame, min_bq: int = 20) -> DataFrame:
     """chrom, sample, pos and the counts of A, C, G, T: one shuffle, with partial counts before it."""
-    calls = base_calls(reads, CallFilter.for_pileup(min_bq))
-    forward = F.when(F.col("is_reverse"), F.translate("base", "ACGT", "TGCA")).otherwise(F.col("base"))
-    return calls.groupBy("chrom", "sample", F.col("refpos").alias("pos")).agg(*base_counts(forward))
+    calls = forward_calls(reads, CallFilter.for_pileup(min_bq))
+    return calls.groupBy("chrom", "sample", F.col("refpos").alias("pos")).agg(*base_counts(F.col("base")))
 
 
 def stranded_pileup(reads: DataFrame, min_bq: int = 20) -> DataFrame:
     """Counts by strand: f_a .. f_t of forward and r_a .. r_t of reverse reads."""
-    calls = base_calls(reads, CallFilter.for_pileup(min_bq))
-    forward = F.when(F.col("is_reverse"), F.translate("base", "ACGT", "TGCA")).otherwise(F.col("base"))
-    sums = [F.count_if((forward == b) & (F.col("is_reverse") == r)).alias(f"{s}_{b.lower()}") for r, s in ((False, "f"), (True, "r")) for b in bases.BASES]
+    calls = forward_calls(reads, CallFilter.for_pileup(min_bq))
+    sums = [F.count_if((F.col("base") == b) & (F.col("is_reverse") == r)).alias(f"{s}_{b.lower()}") for r, s in ((False, "f"), (True, "r")) for b in bases.BASES]
     return calls.groupBy("chrom", "sample", F.col("refpos").alias("pos")).agg(*sums)
 
 

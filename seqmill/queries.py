@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from seqmill.functions import bases, numeric, prior
 from seqmill.jobs import train as training
 from seqmill.operators import likelihood, logit, network, observations, pileup, places, simulate
-from seqmill.operators.calls import SKIPPED_FLAGS, CallFilter, base_calls, with_bins
+from seqmill.operators.calls import SKIPPED_FLAGS, CallFilter, base_calls, forward_calls, with_bins
 from seqmill.sources.derived_reads import SAMPLES, reads_of, varied_reads_of
 from seqmill.sources.tables import stored
 
@@ -149,7 +149,7 @@ def locus_key_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _pileup(spark, sf_dir)
+    counts = stored(_pileup(spark, sf_dir), "pileup")  # a row a site, read twice: for the lengths and to be filled up
     contigs = counts.groupBy("chrom", "sample").agg((F.max("pos") + 5).alias("length"))
     return pileup.dense(counts, contigs).select(*SITE, *pileup.COUNTS)
 
@@ -219,9 +219,8 @@ def nn_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _phred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls as a pileup takes them, collapsed to (site, bq, base), with phred error probabilities."""
-    calls = base_calls(reads_of(spark, sf_dir), CallFilter.for_pileup())
-    forward = F.when(F.col("is_reverse"), F.translate("base", "ACGT", "TGCA")).otherwise(F.col("base"))
-    coarse = calls.groupBy("chrom", "sample", F.col("refpos").alias("pos"), "bq", forward.alias("base")).agg(F.count("*").alias("n"))
+    calls = forward_calls(reads_of(spark, sf_dir), CallFilter.for_pileup())
+    coarse = calls.groupBy("chrom", "sample", F.col("refpos").alias("pos"), "bq", "base").agg(F.count("*").alias("n"))
     # the pileup is a further sum of the same rows, so reads are exploded once; sites then stay where they are
     site = Window.partitionBy(*SITE)
     counts = [F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).over(site).alias(c) for b, c in zip(bases.BASES, pileup.COUNTS, strict=True)]
