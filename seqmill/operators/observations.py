@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqmill.functions import bases
+from seqmill.sources.tables import stored
 
 from .calls import CallFilter, base_calls, marked_calls
 from .pileup import COUNTS, base_counts, coverage, sites
@@ -85,27 +86,46 @@ def collapse(calls: DataFrame, covariates: Covariates, site: tuple[str, ...] = (
 
 
 def collapsed_reads(reads: DataFrame, covariates: Covariates, keep: CallFilter = CallFilter(), min_coverage: int = 20) -> DataFrame:
-    """collapse() of the observed_calls() of reads at the sites of their own pileup, with one explode and no join.
+    """collapse() of the observed_calls() of reads at the sites of their own pileup, with one explode.
 
     Calls are counted by site, strand and covariates first, those of the pileup alone by site and strand. What a hot
-    position holds is then one row for each of its distinct covariates, and windows over the position add up its
-    pileup and contamination. Columns of a user's table are not of the reads: they need collapse().
+    position holds is then one row for each of its distinct covariates. These rows are written; sites are summed from
+    them, and joined with them, not with calls. Columns of a user's table are not of the reads: they need collapse().
     """
+    return collapsed_counts(stored(counted_reads(reads, covariates, keep), "counted"), covariates, min_coverage)
+
+
+def _own(covariates: Covariates) -> list[str]:
+    return ["read_num", *(c for c in ("bq", "mapq", "dend_bin", "context") if c in covariates.keys)]
+
+
+def counted_reads(reads: DataFrame, covariates: Covariates, keep: CallFilter = CallFilter()) -> DataFrame:
+    """Counts of calls by site, strand and own covariates, those of the pileup beside them (piled_a .. piled_t): what
+    collapsed_counts() and piled_counts() both read, so that it can be written once for the two."""
     calls = marked_calls(reads, keep, covariates.context_length).withColumn("dend_bin", bases.rounded(F.col("dend"), covariates.round_distance_by))
-    own = ["read_num", *(c for c in ("bq", "mapq", "dend_bin", "context") if c in covariates.keys)]
-    told = [F.when(F.col("observed"), F.col(c)).alias(c) for c in own]
+    told = [F.when(F.col("observed"), F.col(c)).alias(c) for c in _own(covariates)]
     piled = [F.count_if(F.col("piled") & (F.col("base") == b)).alias(f"piled_{b.lower()}") for b in bases.BASES]
-    rows = calls.groupBy("chrom", "sample", F.col("refpos").alias("pos"), "is_reverse", "observed", *told).agg(*(c.alias(f"own_{n}") for c, n in zip(base_counts(F.col("base")), COUNTS, strict=True)), *piled)
-    # all windows are over parts of these keys and in one order: one shuffle, one sort
-    site = Window.partitionBy("chrom", "pos", "sample").orderBy("is_reverse")
-    whole = site.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    forward = [F.when(F.col("is_reverse"), F.col(f"piled_{b}")).otherwise(F.col(f"piled_{a}")) for a, b in zip("acgt", "tgca", strict=True)]
-    rows = rows.repartition("chrom", "pos").select("*", *(F.sum(c).over(whole).alias(n) for c, n in zip(forward, COUNTS, strict=True)), F.row_number().over(site).alias("nth"))
-    known = sites(rows, min_coverage, (F.col("nth") == 1) & (coverage() > 0)).filter("observed and consensus <> 'N' and major <> 'N' and chrom is not null and sample is not null and pos is not null")
+    return calls.groupBy("chrom", "sample", F.col("refpos").alias("pos"), "is_reverse", "observed", *told).agg(*(c.alias(f"own_{n}") for c, n in zip(base_counts(F.col("base")), COUNTS, strict=True)), *piled)
+
+
+def _forward() -> list[Column]:
+    return [F.when(F.col("is_reverse"), F.col(f"piled_{b}")).otherwise(F.col(f"piled_{a}")) for a, b in zip("acgt", "tgca", strict=True)]
+
+
+def piled_counts(counted: DataFrame) -> DataFrame:
+    """The pileup of counted_reads()."""
+    return counted.groupBy("chrom", "sample", "pos").agg(*(F.sum(c).alias(n) for c, n in zip(_forward(), COUNTS, strict=True))).filter(coverage() > 0)
+
+
+def collapsed_counts(counted: DataFrame, covariates: Covariates, min_coverage: int = 20) -> DataFrame:
+    """The collapsed_reads() of counted_reads(), which are read twice: give what is written."""
+    table = stored(sites(piled_counts(counted), min_coverage), "sites")
+    known = table.filter("consensus <> 'N' and major <> 'N'").select("chrom", "sample", "pos", "major", "minor", *CONTAM)
+    rows = counted.filter("observed").join(F.broadcast(known) if table.count() <= FEW else known, ["chrom", "sample", "pos"])
     flipped = [F.when(F.col("is_reverse"), F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(CONTAM, reversed(CONTAM), strict=True)]
-    counted = known.select("chrom", "sample", "pos", "is_reverse", *own, *flipped, "major", "minor", *(F.col(f"own_{n}").alias(n) for n in COUNTS))
+    told = rows.select("chrom", "sample", "pos", "is_reverse", *_own(covariates), *flipped, "major", "minor", *(F.col(f"own_{n}").alias(n) for n in COUNTS))
     keys = list(dict.fromkeys(["chrom", "sample", "pos", "is_reverse", "read_num", *covariates.keys]))
-    return counted.select(*keys, "major", "minor", *COUNTS)
+    return told.select(*keys, "major", "minor", *COUNTS)
 
 
 def dictionary(observations: DataFrame, covariates: Covariates) -> DataFrame:

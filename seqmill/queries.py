@@ -311,8 +311,9 @@ def limited_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of 100 positions: how many distinct covariates each position has, and a sum over them."""
-    seen = _collapsed(spark, sf_dir, COARSE)
-    contigs = _pileup(spark, sf_dir).groupBy("chrom", "sample").agg((F.max("pos") + 5).alias("length"))
+    counted = stored(observations.counted_reads(reads_of(spark, sf_dir), COARSE), "counted")
+    seen, counts = observations.collapsed_counts(counted, COARSE), observations.piled_counts(counted)
+    contigs = counts.groupBy("chrom", "sample").agg((F.max("pos") + 5).alias("length"))
     tiles = places.dense_covariates(seen, contigs, COARSE, 100)
     bins = F.aggregate(F.flatten("matrices"), F.lit(0).cast("long"), lambda a, x: a + x["dend_bin"].cast("long"))
     return tiles.select("chrom", "sample", "tile", F.array_join(F.transform("matrices", lambda m: F.size(m).cast("string")), ",").alias("sizes"), bins.alias("sum_dend"))
