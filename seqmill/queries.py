@@ -15,7 +15,7 @@ from seqmill.functions import bases, numeric, prior
 from seqmill.jobs import train as training
 from seqmill.operators import likelihood, logit, network, observations, pileup, places, simulate
 from seqmill.operators.calls import SKIPPED_FLAGS, CallFilter, base_calls, forward_calls, with_bins
-from seqmill.sources.derived_reads import SAMPLES, reads_of, varied_reads_of
+from seqmill.sources.derived_reads import SAMPLES, placed_reads_of, reads_of, varied_reads_of
 from seqmill.sources.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,9 @@ def _observed(spark: SparkSession, sf_dir: str, covariates: observations.Covaria
 
 
 def _collapsed(spark: SparkSession, sf_dir: str, covariates: observations.Covariates = COVARIATES) -> DataFrame:
-    return observations.collapsed_reads(reads_of(spark, sf_dir), covariates)
+    # with base qualities a task of any reads keeps most calls apart, so reads are dealt by where they lie
+    reads = placed_reads_of(spark, sf_dir) if covariates.use_bq else reads_of(spark, sf_dir)
+    return observations.collapsed_reads(reads, covariates)
 
 
 def _flag(c: Column) -> Column:

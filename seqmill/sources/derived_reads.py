@@ -41,13 +41,19 @@ def _letters(keys: DataFrame, n: int) -> DataFrame:
     return marked.withColumn("seq", F.expr(f"case when wrong < {n} then overlay(seq, {error}, cast(wrong + 1 as int), 1) else seq end"))
 
 
-def derived_reads(lineitem: DataFrame) -> DataFrame:
-    """sample, chrom, pos, flag, mapq, cigar, seq, qual: one read for each row of lineitem."""
+def derived_reads(lineitem: DataFrame, parts: int | None = None) -> DataFrame:
+    """sample, chrom, pos, flag, mapq, cigar, seq, qual: one read for each row of lineitem.
+
+    parts: deal the reads into as many tasks by what tells their calls apart, as files sorted by position hold them: calls
+    of the same site and covariates then meet before they are shuffled, and what a task holds does not grow with the input.
+    """
     keys = lineitem.selectExpr(
         "concat('s', cast(l_suppkey % 3 as string)) as sample", "concat('chr', l_returnflag) as chrom",
         "cast((l_partkey*7 + l_linenumber*3) % 400 as int) as pos", "l_orderkey as ok", "l_partkey as pk", "l_linenumber as ln",
         "cast(16 * (l_orderkey % 2) + 64 * (1 + l_linenumber % 2) as int) as flag", "cast(l_quantity as int) as mapq",
     )
+    if parts is not None:
+        keys = keys.repartition(parts, "sample", "chrom", F.floor(F.col("pos") / 40), "flag", "mapq")
     return _letters(keys, LENGTH).select("sample", "chrom", "pos", "flag", "mapq", F.lit(f"{LENGTH}M").alias("cigar"), "seq", "qual")
 
 
@@ -71,15 +77,34 @@ def varied_reads(lineitem: DataFrame) -> DataFrame:
     return cut.select("sample", "chrom", "pos", "flag", "mapq", F.element_at(F.lit(CIGARS), kind).alias("cigar"), F.substring(seq, F.lit(1), F.col("size")).alias("seq"), F.slice("qual", F.lit(1), F.col("size")).alias("qual"))
 
 
+#: Rows of lineitem a task: what a task holds does not grow with the input.
+TASK_ROWS = 250_000
+
+
+def _parts(table: DataFrame) -> int:
+    """Tasks to deal a table into; its rows are counted by the files' own footers."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))
+
+
 def spread(table: DataFrame) -> DataFrame:
-    """A table of few files dealt anew, as one with a single row group is read by one task; one of many files as it is."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    """A table of few files dealt anew by its keys, as one with a single row group is read by one task; one of many files as it is."""
+    few = len(table.inputFiles()) < table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(_parts(table), "l_orderkey", "l_linenumber") if few else table
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
 def varied_reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return varied_reads(spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+    return varied_reads(spread(_lineitem(spark, sf_dir)))
 
 
 def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived_reads(spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+    return derived_reads(spread(_lineitem(spark, sf_dir)))
+
+
+def placed_reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reads_of(), dealt by where they lie: for steps that keep nearly every call apart within a task of any reads."""
+    lineitem = _lineitem(spark, sf_dir)
+    return derived_reads(lineitem, _parts(lineitem))
