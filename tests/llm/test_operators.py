@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqmill.llm import chat, components, context_mixing, fingerprint, host_rules, mixing, near_dedup, oracle, packing, pii, queries, warc, weak_labels
+from seqmill.llm import chat, components, context_mixing, fingerprint, host_rules, mixing, near_dedup, oracle, packing, pii, queries, symbols, warc, weak_labels
 from seqmill.llm.common import keyed_join, stash
 from tests.oracle import SMALL, both
 
@@ -576,6 +576,66 @@ def test_contexts_see_only_what_is_before():
     assert (both_.contexts[:, 3:] == one.contexts).all()
 
 
+def test_equal_tokens_are_counted_at_once_and_as_often_as_they_are_there(monkeypatch):
+    """Counts of slots, with tokens waiting and without, are those of every decision by itself; a repeated text costs no decisions more."""
+    p = np.random.default_rng(4).dirichlet(np.full(40, 0.5))
+    words = pa.array([f"w{i}".encode() for i in range(38)], pa.binary())
+    coder = symbols.Coder(words, np.arange(40) % 3, context_mixing.PrefixCode.of(np.log10(np.stack([p, p, p]))), 14)
+    rng = random.Random(16)
+    texts = pa.array([" ".join(f"w{rng.randint(0, 45)}" for _ in range(rng.randint(0, 30))) for _ in range(60)] + [""] + ["w1 w2 w3"] * 90)
+    _, _, t = symbols.tokens_of(coder, texts)
+    plain = np.zeros((symbols.CONTEXTS, 2 << 14))
+    for _, _, decisions in coder.runs(t):
+        for k, slots in enumerate(decisions.slots()):
+            np.add.at(plain[k], 2 * slots + decisions.bit, 1)
+    for wait in (1, 1 << 20):
+        monkeypatch.setattr(symbols, "_WAIT", wait)
+        seen = symbols.Seen(coder)
+        for part in (texts[:20], texts[20:]):
+            seen.add(symbols.tokens_of(coder, part)[2])
+        seen.count()
+        assert (seen.tables == plain).all()
+    worked = []
+    runs = symbols.PrefixCode.runs
+    monkeypatch.setattr(symbols.PrefixCode, "runs", lambda *a: (worked.append(len(r[3])) or r for r in runs(*a)))
+    for n in (1, 90):
+        seen = symbols.Seen(coder)
+        seen.add(symbols.tokens_of(coder, pa.array(["w1 w2 w3"] * n))[2])
+        seen.count()
+    assert len(worked) == 6 and worked[:3] == worked[3:]
+
+
+def test_rows_of_words_are_narrow_and_few(spark):
+    """A word's row carries nothing of its document, passages that say nothing have no row, and words are summed by text before they leave a task."""
+    rng = random.Random(17)
+    docs = documents(spark, [prose(rng, 60) for _ in range(80)])
+    m, words = context_mixing.fit(docs)
+    shared = spark.sparkContext.broadcast(m)
+    rows = context_mixing.bounded(docs).select("doc_id", "text", context_mixing.fold(F.col("doc_id")).alias("fold"), F.monotonically_increasing_id().alias("row"))
+    first = rows.mapInArrow(context_mixing._first_pass(shared, True), context_mixing._FIRST_DDL).withColumn("c", F.lit(None).cast("long")).cache()
+    escaping = first.filter("length(states) > 0").agg(F.sum(F.length("states"))).first()[0] or 0
+    resolved = first.mapInArrow(context_mixing._resolve(shared), context_mixing._WORD_DDL).cache()
+    assert len(resolved.columns) == 5 and resolved.filter("doc is not null").count() == 80
+    assert first.filter("length(states) = 0 and doc is null").count() > 0
+    assert resolved.count() == escaping + first.filter("length(states) = 0 and doc is not null").count()
+    joined = resolved.coalesce(1).join(F.broadcast(words.filter("c > 0")), "word", "left")
+    second = joined.mapInArrow(context_mixing._second_pass(shared), context_mixing._ROW_DDL)
+    assert second.filter("n_tokens is null").groupBy("row").count().filter("count > 1").count() == 0
+
+
+def test_a_word_belongs_to_the_class_that_has_it_most(spark):
+    """The last of equal classes, without a sort of all words."""
+    rng = random.Random(18)
+    texts = [f"{prose(rng, 8)} shared{'x' * (i % 4)}" for i in range(90)]
+    docs = spark.createDataFrame([(i, t, ("de", "en", "fr")[i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    m, words = context_mixing.fit(docs)
+    by_class = spark.read.parquet(m.passages).filter(F.col("cls") >= 0)
+    expected = by_class.groupBy("word").agg(F.max_by("cls", F.struct(F.col("a") + F.col("b"), "cls")).alias("cls"))
+    folder = words.inputFiles()[0].rsplit("/", 1)[0]
+    got = {bytes(r.word): r.cls for r in spark.read.parquet(folder).collect()}
+    assert got == {bytes(r.word): r.cls for r in expected.collect()} and len(set(got.values())) > 1
+
+
 # ---- 7
 
 
